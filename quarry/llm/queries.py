@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .quality import judge
 from .sharding import shard_documents
+from .simhash import near_duplicates
 from .urls import filter_urls
 
 
@@ -26,6 +27,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_url_filter, op10_sharding)}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, ["doc_id"]).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_simhash, op7_url_filter, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
