@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .packing import pack, token_pieces
 from .quality import judge
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .sstable import read_tables, write_tables
+from .tokens import tokenizer_path
 from .urls import filter_urls
 
 
@@ -32,6 +36,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, ["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_simhash, op7_url_filter, op10_sharding)}
+def op2_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = read_tables(write_tables(docs, tokenizer_path("word_bpe_49k.json"), end_id=2))
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1)
+    packed = pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op7_url_filter, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
