@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import contamination
 from .packing import pack, token_pieces
 from .quality import judge
 from .sharding import shard_documents
@@ -49,6 +50,28 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op7_url_filter, op10_sharding)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op7_url_filter, op9_decontamination, op10_sharding)}
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontamination": rf"""
+with d as (select doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+p as (select distinct item_id, least(len(w), 10) n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') phrase
+      from b, unnest(range(1, len(w) - least(len(w), 10) + 2)) t(i) where len(w) > 0),
+g as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') phrase
+      from d, (select distinct n from p) k, unnest(range(1, len(w) - n + 2)) t(i) where len(w) >= n),
+m as (select distinct doc_id, i, p.n, item_id from g join p using (phrase)),
+h as (select doc_id, count(distinct i + j) n_hit from m, unnest(range(0, n)) t(j) group by 1),
+s as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) items from m group by 1)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+       sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join h using (doc_id) left join s using (doc_id)""",
+}
