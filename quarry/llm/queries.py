@@ -9,6 +9,7 @@ from .common import table
 from .decontam import contamination
 from .packing import pack, token_pieces
 from .quality import judge
+from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .sstable import read_tables, write_tables
@@ -56,7 +57,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op7_url_filter, op9_decontamination, op10_sharding)}
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op6_secret_scan, op7_url_filter, op9_decontamination, op10_sharding)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
