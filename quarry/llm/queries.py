@@ -14,6 +14,7 @@ from .sharding import shard_documents
 from .simhash import near_duplicates
 from .sstable import read_tables, write_tables
 from .tokens import tokenizer_path
+from .toxicity import score_toxicity
 from .urls import filter_urls
 
 
@@ -62,7 +63,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op6_secret_scan, op7_url_filter, op9_decontamination, op10_sharding)}
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op6_secret_scan, op7_url_filter, op9_decontamination, op10_sharding)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
