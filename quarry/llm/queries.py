@@ -13,6 +13,7 @@ from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .sstable import read_tables, write_tables
+from .substring import remove_repeats
 from .tokens import tokenizer_path
 from .toxicity import score_toxicity
 from .urls import filter_urls
@@ -68,7 +69,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op6_secret_scan, op7_url_filter, op9_decontamination, op10_sharding)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = remove_repeats(docs, ["doc_id"], digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op6_secret_scan, op7_url_filter, op8_substring_dedup, op9_decontamination, op10_sharding)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
