@@ -2,7 +2,7 @@
 
 Lines are sequences of white-space tokens, tagged secret begin, inside or outside. Features are a
 token's shape, length and key words, those of both neighbours, and classes of the whole text (share
-of tokens with digits, words a line). The field learns from the base patterns' own spans, on a
+of tokens with digits, words a line). The field learns from the base patterns' own values, on a
 bounded sample: the MAX_DOCS documents with a base pattern's lead and the MAX_DOCS others with the
 smallest hash of their id. It then tags all lines of all texts by Viterbi; a line is skipped only
 where no token can outweigh what leaving the outside tag costs, so its decoding is known. Tagged
@@ -43,12 +43,12 @@ MASK = "[REDACTED]"
 _EDGE = b"\"'.,;:!?()[]{}<>|*$%&#-`"
 
 
-def base_spans(text: bytes) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in bytes, by start, then kind as listed."""
+def base_spans(text: bytes, value: int = 0) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in bytes, by start, then kind as listed; with value=2 of assigned values alone."""
     low = text.lower()
     found = []
     if any(x in low for x in LEADS):
-        found += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        found += [(*m.span(value), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if b"AKIA" in text:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
@@ -117,8 +117,8 @@ def _places(line: bytes) -> list[tuple[int, int]]:
 
 
 def training_rows(text: bytes) -> list[tuple[list[bytes], list[int]]]:
-    """A few sequences (tokens, tags) of a text: around its base spans, and elsewhere."""
-    spans = base_spans(text)
+    """A few sequences (tokens, tags) of a text: around its base patterns' values, and elsewhere."""
+    spans = base_spans(text, 2)
     near, far, at = [], [], 0
     for line in text.split(b"\n"):
         own = [(a - at, b - at) for a, b, _ in spans if a < at + len(line) and b > at]
