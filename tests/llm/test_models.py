@@ -1,0 +1,219 @@
+"""Learned operators: exact base results, held-out accuracy, and odd cases."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from quarry.llm import boosting, crf, decontam, gru, quality, secrets, toxicity, urls
+
+from .conftest import prose
+
+
+def test_quality_base(docs, none, labels, texts):
+    rows = quality.judge(docs, labels).collect()
+    assert len(rows) == len(texts) and set(docs.columns) <= set(rows[0].asDict())
+    for r in rows:
+        text = r["text"] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        seen, dups = set(), 0
+        for line in text.split("\n"):
+            if line.strip(" \t\n\v\f\r"):
+                dups += line in seen
+                seen.add(line)
+        windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        hit = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dups, len(hit))
+        assert tuple(r[c] for c in quality.COUNTS) == want
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (r["kept"] and r["base_failed"])
+    assert quality.judge(none, labels).count() == 0
+    assert all(r["kept"] != r["base_failed"] for r in quality.judge(docs, labels.limit(0)).collect())
+
+
+def test_boosting_learns_and_keeps_signs():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 3))
+    y = (x[:, 0] - 0.7 * x[:, 1] ** 2 + 0.3 * rng.normal(size=3000) > 0).astype(float)
+    model = boosting.fit(x[:2000], y[:2000], np.array([1, 0, -1]))
+    assert ((model.scores(x[2000:]) > 0.5) == y[2000:]).mean() > 0.85
+    for j, sign in ((0, 1), (2, -1)):
+        line = np.repeat(x[:50, None], 40, 1)
+        line[:, :, j] = np.linspace(-3, 3, 40)
+        steps = np.diff(model.scores(line.reshape(-1, 3)).reshape(50, 40), axis=1) * sign
+        assert steps.min() >= -1e-12
+
+
+def test_gru_gradients():
+    rng = np.random.default_rng(0)
+    w = {k: v.astype(np.float64) for k, v in gru.new(3, 5, 5, 2).items()}
+    x, there = rng.normal(size=(6, 4, 7)), np.ones((6, 4, 1))
+    there[4:, 1] = 0
+    y = rng.normal(size=4)
+    loss = lambda: float((gru.forward(w, x, there)[0] * y).sum())
+    _, saved = gru.forward(w, x, there, keep=True)
+    grads, dx = gru.backward(w, saved, y)
+    for name, got in [*grads.items(), ("x", dx)]:
+        target = x if name == "x" else w[name]
+        for at in [tuple(rng.integers(0, n) for n in target.shape) for _ in range(4)]:
+            old = target[at]
+            target[at] = old + 1e-4
+            up = loss()
+            target[at] = old - 1e-4
+            down = loss()
+            target[at] = old
+            assert abs((up - down) / 2e-4 - got[at]) < 2e-3 * max(1, abs(got[at]))
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(2)
+    rows, marks = [], []
+    for i in range(900):
+        text = prose(rng, rng.randint(20, 150)).split(" ")
+        toxic = i % 4 == 0
+        for _ in range(rng.randint(2, 6) if toxic else 0):
+            text.insert(rng.randrange(len(text)), rng.choice(["grobnix", "Zlorf", "vexling!"]))
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    held = [r for r in toxicity.score_toxicity(docs, labels).collect() if r["held_out"]]
+    assert 100 < len(held) < 260 and sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) / len(held) > 0.95
+
+
+def test_toxicity_odd_cases(docs, none, labels, texts):
+    rows = toxicity.score_toxicity(docs, labels).collect()
+    assert len(rows) == len(texts) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    assert {r["score"] for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.score_toxicity(none, labels).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 16, 31, 32, 33, 48, 49, 200])
+def test_windows_cover_all_words(n):
+    seen = {j for s in toxicity.window_starts(n) for j in range(s, min(n, s + toxicity.WINDOW))}
+    assert seen == set(range(n))
+
+
+def test_crf_decoding_is_exact():
+    rng = np.random.default_rng(4)
+    moves = rng.normal(size=(3, 3))
+    moves[0, 2] = crf.NEVER
+    for n in (1, 2, 5):
+        score = rng.normal(size=(n, 3))
+        best = max(np.ndindex(*(3,) * n), key=lambda t: sum(score[i, k] for i, k in enumerate(t)) + sum(moves[a, b] for a, b in zip(t, t[1:], strict=False)) + (crf.NEVER if t[0] == 2 else 0))
+        assert tuple(crf.viterbi(score, moves)) == best
+
+
+def secret_rows():
+    rng = random.Random(8)
+    code = lambda n, chars="0123456789abcdef": "".join(rng.choice(chars) for _ in range(n))
+    rows = []
+    for i in range(120):
+        text = prose(rng, 60)
+        if i % 3 == 0:
+            text += f'\nthe token = "{code(40)}" of'
+        if i % 5 == 0:
+            text += f"\nÉ Password: {code(12, 'abcXYZ019_')} and AKIA{code(16, 'ABCDEFGH0123')}"
+        rows.append((i, text))
+    rows += [(200, 'token="short" secret=abcdefgh passwd = \'0123456789\'; API_KEY : zzzzzzzzzz'), (201, "ſecret=abcdefghij toKen=abcdefghij"), (202, "AKIA0123 AKIA0123456789AB"), (203, "f" * 31 + " " + "e" * 33), (204, None), (205, "")]
+    rows += [(206, f'lines\nthe tocken = "{code(40, "0123456789ABCDEF")}" here')]  # no base pattern fits
+    return rows
+
+
+def test_secrets(spark, none):
+    rows = secret_rows()
+    docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, spans string")
+    model = secrets.fit_secrets(docs.where("doc_id <> 206"))
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(docs, model).collect()}
+    assert secrets.scan_secrets(docs).count() == len(rows)
+    assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for i, text in rows:
+        text = text or ""
+        found = [(*m.span(), 0) for m in assign.finditer(text) if len(m[2]) >= 8]
+        found += [(*m.span(), 1) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        found += [(*m.span(), 2) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        found.sort(key=lambda x: (x[0], x[2]))
+        named = [f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in found]
+        r = got[i]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == j for *_, k in found) for j in range(3))
+        assert r["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("model")] == named
+    assert "model" in got[206]["spans"]
+    assert sum("model" in r["spans"] for r in got.values()) <= 6
+    assert secrets.scan_secrets(none).count() == 0
+
+
+def test_secrets_are_masked(spark):
+    rows = secret_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.scan_secrets(docs, redact=True).collect()}
+    plain = dict(rows)
+    assert got[204] is None and got[205] == "" and got[1] == plain[1]
+    assert secrets.MASK in got[0] and not re.search("[0-9a-f]{32}", " ".join(x for x in got.values() if x))
+
+
+def test_decontamination(spark, docs, none, texts):
+    base = dict(texts)
+    items = [("a", " ".join(base[3].split()[4:30])), ("b", base[9]), ("c", "one"), ("d", None), ("e", ""), ("f", "never seen words here at all my friend of old times now"), ("a", base[4][:200]), (None, base[11])]
+    items = spark.createDataFrame(items, "item_id string, text string")
+    lower = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    phrases = {}
+    for r in items.collect():
+        w = lower(r["text"])
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            phrases.setdefault(tuple(w[i : i + n]), set()).add(r["item_id"])
+    for some in (decontam.MAX_TERMS, 3):  # with and without sending the vocabulary
+        decontam.MAX_TERMS, old = some, decontam.MAX_TERMS
+        rows = decontam.contamination(docs, items).collect()
+        decontam.MAX_TERMS = old
+        assert len(rows) == len(texts)
+        for r in rows:
+            w = lower(r["text"])
+            hit, found = set(), set()
+            for n in {len(p) for p in phrases}:
+                for i in range(len(w) - n + 1):
+                    if (p := tuple(w[i : i + n])) in phrases:
+                        hit |= set(range(i, i + n))
+                        found |= phrases[p]
+            found.discard(None)
+            assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
+            assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    kept = {r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()}
+    assert kept == {r["doc_id"] for r in rows if not r["contaminated"]}
+    assert decontam.contamination(none, items).count() == 0
+    assert not any(r["contaminated"] for r in decontam.contamination(docs, items.limit(0)).collect())
+
+
+def test_index_proximity(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a x x x x x b"), (3, "b q a")], "doc_id long, text string")
+    rows = decontam.indexed_rows(docs, ["doc_id"])
+    index = decontam.build_index(rows)
+    phrase = spark.createDataFrame([("a b", 2, ["a", "b"])], "phrase string, n int, terms array<string>")
+    near = decontam.proximity_matches(index, phrase, 2).join(rows, "k_row")
+    assert {r["doc_id"] for r in near.collect()} == {1, 3}
+    assert {(r["doc_id"], r["start"]) for r in decontam.phrase_matches(index, phrase).join(rows, "k_row").collect()} == {(1, 0)}
+
+
+def test_urls(spark):
+    good = [f"https://site{i % 7}.example.net/en/{i}" for i in range(60)]
+    bad = [f"http://x{i % 5}.other.net/win/{i}" for i in range(60)]
+    odd = [None, "", "no scheme", "HTTP://A.EXAMPLE.COM/de/1", "http://example.com/de", "x://y://net/", "http://net", "http://NET/#a?b", "http://evilnet/", "http://a.org/fr/x?u=/en/", "http://q.test/" + "a" * 20_000, "http://x2.other.test/win/9"]
+    rows = [(i, u, "mine") for i, u in enumerate(good + bad + odd + good[:1])]
+    got = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, rule string")).collect()}
+    assert len(got) == len(rows)
+    for i, u, _ in rows:
+        rest = (u or "").split("://", 1)
+        host = re.split("[/?#]", rest[1])[0] if len(rest) == 2 else ""
+        path = re.split("[?#]", rest[1][len(host) :])[0] if len(rest) == 2 else ""
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fits = [(len(r), r, v) for r, v in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        want = max(fits, default=(0, None, None))
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, want[1])
+        assert got[i]["verdict"] == (want[2] or got[i]["verdict"]) and got[i]["verdict"] in ("allow", "block")
+    assert got[131]["verdict"] == "block"  # resembles what the rules block
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert urls.filter_urls(empty).count() == 0
+    assert urls.filter_urls(spark.createDataFrame([(1, "http://a.test/")], "page_id long, url string")).first()["verdict"] == "allow"
