@@ -67,7 +67,7 @@ def xmp_packet(latin: Column) -> Column:
 
 def xmp_fields(xml: Column) -> dict[str, Column]:
     """Element-form properties of a packet; attributes aren't read."""
-    items = lambda tag: F.filter(F.transform(F.regexp_extract_all(found(xml, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(r"(?is)<rdf:li[^>]*>([^<]*)</rdf:li>"), 1), F.trim), lambda x: x != "")
+    items = lambda tag: F.filter(F.transform(F.regexp_extract_all(found(xml, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(r"(?is)<rdf:li[^>]*>([^<]*)</rdf:li>"), 1), lambda x: F.trim(x)), lambda x: x != "")
     first = lambda tag: F.try_element_at(items(tag), F.lit(1))
     joined = lambda tag, by: F.nullif(F.array_join(items(tag), by), F.lit(""))
     single = {k: F.trim(found(xml, rf"(?i)<{tag}>([^<]+)</{tag}>")) for k, tag in XMP_SINGLE.items()}
@@ -91,13 +91,13 @@ def _pdf_string(latin: Column, key: str) -> Column:
     return F.nullif(F.trim(F.coalesce(literal, wide)), F.lit(""))
 
 
-def pdf_fields(latin: Column) -> dict[str, Column]:
-    """What a PDF's uncompressed objects and XMP tell; ``latin``: its bytes, one character each.
+def pdf_fields(latin: Column, packet: Column) -> dict[str, Column]:
+    """What a PDF's uncompressed objects and XMP packet tell; ``latin``: its bytes, one character each.
 
     Objects in compressed streams aren't read.
     """
     out = {k: pdf_date(_pdf_string(latin, k)) if k.endswith("Date") else _pdf_string(latin, k) for k in PDF_INFO}
-    xmp = xmp_fields(xmp_packet(latin))
+    xmp = xmp_fields(packet)
     part = found(latin, r"(?i)<pdfaid:part>(\d+)")
     level = found(latin, r"(?i)<pdfaid:conformance>([A-Za-z]+)")
     for k in ("Title", "Author", "Description", "Keywords", "Producer"):
@@ -110,15 +110,19 @@ def pdf_fields(latin: Column) -> dict[str, Column]:
     }
 
 
-def rtf_fields(text: Column) -> dict[str, Column]:
-    """An RTF file's information group, from its first 32 KB; null fields without a group."""
-    info = F.when(F.contains(text, F.lit("{\\info")), F.substring_index(text, "{\\info", -1))
+def rtf_info(text: Column) -> Column:
+    """From an RTF file's information group on; null without one."""
+    return F.when(F.contains(text, F.lit("{\\info")), F.substring_index(text, "{\\info", -1))
+
+
+def rtf_fields(text: Column, info: Column) -> dict[str, Column]:
+    """An RTF file's information, from its first 32 KB and ``rtf_info`` of them."""
     number = lambda w: found(info, rf"\\{w}(-?\d+)").try_cast("long")
     clean = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\\[a-z]+-?\d* ?|[{}]", "")), F.lit(""))
     out = {k: clean(found(info, rf"\{{\\{w}\s+((?:[^{{}}\\]|\\.)*)\}}")) for k, w in RTF_TEXT.items()}
     out |= {k: rtf_date(found(info, rf"\{{\\{w}([^}}]*)\}}")) for k, w in RTF_DATES.items()}
     out |= {k: number(w) for k, w in RTF_NUMBERS.items()}
-    has = F.contains(text, F.lit("{\\info"))
+    has = info.isNotNull()
     out["totalEditingTime"] = hours_minutes(number("edmins"))
     out["rtfVersion"] = F.when(has, found(text, r"^\{\\rtf(\d+)"))
     out["defaultLanguageId"] = F.when(has, found(text, r"\\deflang(\d+)").try_cast("long"))
@@ -137,7 +141,7 @@ def docx_text(xml: Column) -> Column:
 def rtf_text(text: Column) -> Column:
     """The plain text of an RTF file whose skipped groups don't nest more than two deep."""
     hidden = "fonttbl|colortbl|stylesheet|info|pict|header|footer|headerl|headerr|footerl|footerr|footnote|object|themedata|generator"
-    text = F.regexp_replace(text, rf"\{{(?:\\\*)?\\(?:{hidden})(?:[^{{}}]|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*\}}|\{{\\\*(?:[^{{}}]|\{{[^{{}}]*\}})*\}}", "")
+    text = F.regexp_replace(text, rf"\{{(?:\\\*)?\\(?:{hidden})(?:[^{{}}]|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*\}}|\{{\\\*(?:[^{{}}]|\{{[^{{}}]*\}})*\}}", "{}")
     text = F.regexp_replace(text, r"[\r\n]", "")
     text = F.regexp_replace(text, r"\\(?:par|line)(?![a-z]) ?", "\n")
     text = F.regexp_replace(text, r"\\tab(?![a-z]) ?", "\t")

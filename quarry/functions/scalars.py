@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from .values import EXCERPT_CAP, PREVIEW, TRUNCATED
 
 
+def windows_1252(content: Column) -> Column:
+    """Bytes as windows-1252 text; its five undefined bytes stay control characters."""
+    high = "".join(chr(b) for b in range(128, 160))
+    named = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
+    return F.translate(F.decode(content, "ISO-8859-1"), high, named)
+
+
 def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 
@@ -59,12 +66,12 @@ def clock(seconds: Column) -> Column:
     """h:mm:ss, or m:ss below an hour."""
     s = F.floor(seconds)
     h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
-    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%d:%02d", m, r))
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).when(seconds.isNotNull(), F.format_string("%d:%02d", m, r))
 
 
 def minutes_clock(seconds: Column) -> Column:
     """m:ss with minutes beyond 59."""
-    return F.format_string("%d:%02d", F.floor(seconds / 60), F.floor(seconds % 60))
+    return F.when(seconds.isNotNull(), F.format_string("%d:%02d", F.floor(seconds / 60), F.floor(seconds % 60)))
 
 
 def hours_minutes(minutes: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import utf16_length
+from .scalars import utf16_length, windows_1252
 
 
 def encoding(content: Column) -> Column:
@@ -27,7 +27,7 @@ def decoded(content: Column) -> Column:
     kind = encoding(content)
     text = (
         F.when(kind == "utf-8", F.make_valid_utf8(content.cast("string"))).when(kind == "utf-16le", F.decode(content, "UTF-16LE"))
-        .when(kind == "utf-16be", F.decode(content, "UTF-16BE")).otherwise(F.decode(content, "windows-1252"))
+        .when(kind == "utf-16be", F.decode(content, "UTF-16BE")).otherwise(windows_1252(content))
     )
     return F.regexp_replace(text, "^\ufeff", "")
 

@@ -11,6 +11,7 @@ import numpy as np
 
 HIDDEN, ATTENTION = 8, 8
 BLOCK = 4096  # windows scored at once
+CHUNK = 1024  # windows scored at once by half-overlapping blocks
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -92,6 +93,63 @@ def backward(w: dict, saved: tuple, g: np.ndarray) -> tuple[dict, np.ndarray]:
     return grads, dx
 
 
+def gate_weights(w: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights for ``half_overlapping``: of inputs (both directions' gates), states, attention.
+
+    Signs and factors are folded in, so that a gate is 1 / (1 + exp(.)) and a tanh 1 - 2 / (1 + exp(.)).
+    """
+    fold = np.r_[-np.ones(2 * HIDDEN), 2 * np.ones(HIDDEN)].astype(np.float32)
+    inputs = np.concatenate([np.concatenate([w[k + "x"], w[k + "o"][None]]) * fold for k in "fb"], 1)
+    states = [np.ascontiguousarray((w[k + "h"] * fold).T) for k in "fb"]
+    return inputs, states[0], states[1], np.ascontiguousarray(np.concatenate([2 * w["aw"], w["ow"][:, None]], 1).T)
+
+
+def half_overlapping(w: dict, folded: tuple, gates: np.ndarray, sizes: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Logits of windows made of a block of words and, where ``more``, the next one.
+
+    gates: (blocks + 1, words of a block, gates) of each word; sizes: words in each of the blocks + 1.
+    The same numbers as ``forward``, laid out so that a step reads both its blocks in place.
+    """
+    blocks, half = len(gates) - 1, gates.shape[1]
+    g = np.ascontiguousarray(gates.transpose(1, 2, 0))
+    there = np.arange(half)[:, None] < sizes
+    mask = np.concatenate([there[:, :-1], there[:, 1:] & more]).astype(np.float32)
+    steps, n = 2 * half, 3 * HIDDEN
+    states = np.empty((steps, 2 * HIDDEN, blocks), np.float32)
+    u, zr, c = np.empty((n, blocks), np.float32), np.empty((2 * HIDDEN, blocks), np.float32), np.empty((HIDDEN, blocks), np.float32)
+    with np.errstate(over="ignore"):
+        for way in (0, 1):
+            h = np.zeros((HIDDEN, blocks), np.float32)
+            own = slice(way * HIDDEN, (way + 1) * HIDDEN)
+            for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
+                a = g[t, way * n : (way + 1) * n, :-1] if t < half else g[t - half, way * n : (way + 1) * n, 1:]
+                np.matmul(folded[1 + way], h, out=u)
+                np.add(a[: 2 * HIDDEN], u[: 2 * HIDDEN], out=zr)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[HIDDEN:], u[2 * HIDDEN :], out=c)
+                c += a[2 * HIDDEN :]
+                np.exp(c, out=c)
+                c += 1
+                np.divide(-2, c, out=c)
+                c += 1
+                c -= h
+                np.subtract(1, zr[:HIDDEN], out=zr[:HIDDEN])
+                c *= zr[:HIDDEN]
+                c *= mask[t]
+                h = np.add(h, c, out=states[t, own])
+        seen = np.matmul(folded[3], states)
+        e = seen[:, :ATTENTION]
+        np.exp(e, out=e)
+        e += 1
+        np.divide(-2, e, out=e)
+        e += 1
+    score = np.einsum("tan,a->tn", e, w["av"]) + np.where(mask > 0, 0, np.float32(-1e9))
+    alpha = np.exp(score - score.max(0))
+    return (alpha * seen[:, ATTENTION]).sum(0) / alpha.sum(0) + w["ob"]
+
+
 class Adam:
     def __init__(self, w: dict, rate: float):
         self.w, self.rate, self.step = w, rate, 0

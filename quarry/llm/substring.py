@@ -58,11 +58,14 @@ def _anchors(texts: list[bytes], codes: _Codes, window: int, gram: int) -> tuple
     at, _ = window_starts(starts, window, len(words))
     if not len(at):
         return words, starts, at, at, grams
-    spread = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
-    places = np.empty(len(at), np.int64)
-    for k in range(0, len(at), 65_536):
-        part = at[k : k + 65_536]
-        places[k : k + 65_536] = part + spread[part].argmin(1)
+    # The leftmost smallest hash of the grams in each window: hashes' upper halves, then places.
+    least = grams & np.uint64(0xFFFFFFFF << 32) | np.arange(len(grams), dtype=np.uint64)
+    width, need = 1, window - gram + 1
+    while width < need:
+        step = min(width, need - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    places = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     return words, starts, at, places, grams
 
 
@@ -189,21 +192,19 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
         def work(part: pa.RecordBatch) -> list:
             texts = texts_of(part)
             lists = part.column(part.schema.get_field_index("k_a")).to_pylist()
-            words, starts, at, places, _ = _anchors(texts, codes, window, gram)
+            asked_ = [i for i, pairs in enumerate(lists) if pairs]
+            words, starts, at, places, _ = _anchors([texts[i] for i in asked_], codes, window, gram)
             first = np.searchsorted(at, starts)
-            segments, done = [], []
-            for i, pairs in enumerate(lists):
-                own = words[starts[i] : starts[i + 1]]
-                if not pairs:
-                    segments.append(None)
-                    done.append(finish(own, None))
-                    continue
-                p, s = np.array([x["p"] for x in pairs]), np.array([x["shard"] for x in pairs], np.int64)
-                mine, anchor = at[first[i] : first[i + 1]] - starts[i], places[first[i] : first[i + 1]] - starts[i]
+            segments: list = [None] * len(texts)
+            done = [None if pairs else finish(t.split(), None) for t, pairs in zip(texts, lists, strict=True)]
+            for j, i in enumerate(asked_):
+                own = words[starts[j] : starts[j + 1]]
+                p, s = np.array([x["p"] for x in lists[i]]), np.array([x["shard"] for x in lists[i]], np.int64)
+                mine, anchor = at[first[j] : first[j + 1]] - starts[j], places[first[j] : first[j + 1]] - starts[j]
                 k = np.minimum(np.searchsorted(p, anchor), len(p) - 1)
                 hit = p[k] == anchor
-                segments.append(_segments(own, mine[hit], s[k[hit]], window))
-                done.append((len(own), None, None))
+                segments[i] = _segments(own, mine[hit], s[k[hit]], window)
+                done[i] = (len(own), None, None)
             left = [None if s is None else t.decode() for s, t in zip(segments, texts, strict=True)]
             return [left, segments, *([d[j] for d in done] for j in range(3))]
 

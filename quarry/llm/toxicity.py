@@ -82,10 +82,15 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.row = model, {}
         self.table = np.zeros((1, FIXED + 2 * WIDTH), np.float32)
+        self.folded = gru.gate_weights(model.weights)
+        self.gates = self.gates_of(self.table)
+
+    def gates_of(self, inputs: np.ndarray) -> np.ndarray:
+        return inputs @ self.folded[0][:-1] + self.folded[0][-1]
 
     def rows_of(self, words: list[bytes]) -> np.ndarray:
         if len(self.row) > REMEMBERED:
-            self.row, self.table = {}, self.table[:1]
+            self.row, self.table, self.gates = {}, self.table[:1], self.gates[:1]
         got = list(map(self.row.get, words))
         if None in got:
             new = {w: None for w, r in zip(words, got, strict=True) if r is None}
@@ -96,7 +101,7 @@ class Scorer:
                 x[i, FIXED : FIXED + WIDTH] = w["words"][at]
                 x[i, FIXED + WIDTH :] = w["chars"][grams].mean(0)
                 self.row[word] = len(self.table) + i
-            self.table = np.concatenate([self.table, x])
+            self.table, self.gates = np.concatenate([self.table, x]), np.concatenate([self.gates, self.gates_of(x)])
             got = list(map(self.row.__getitem__, words))
         return np.array(got, np.int64)
 
@@ -115,11 +120,26 @@ class Scorer:
         """(highest logit, mean probability, 1) of each text, and its number of windows."""
         words = [words_in(t) for t in texts]
         sizes = np.array([len(x) for x in words], np.int64)
-        first = np.r_[0, np.cumsum(sizes)]
-        counts = np.array([len(window_starts(n)) for n in sizes.tolist()], np.int64)
-        base = np.repeat(first[:-1], counts)
-        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        logits = self.logits(self.rows_of([w for x in words for w in x]), base + STEP * within, base + np.repeat(sizes, counts))
+        blocks = -(-sizes // STEP)
+        counts = np.where(sizes > 0, np.maximum(blocks - 1, 1), 0)  # as many as window_starts has
+        first = np.cumsum(blocks) - blocks
+        at = np.arange(sizes.sum()) + np.repeat(first * STEP - np.cumsum(sizes) + sizes, sizes)
+        placed = np.zeros((int(blocks.sum()) + 1) * STEP, np.int64)
+        placed[at] = self.rows_of([w for x in words for w in x])
+        placed = placed.reshape(-1, STEP)
+        filled = np.full(len(placed), STEP, np.int64)
+        filled[-1] = 0
+        has = sizes > 0
+        filled[(first + blocks - 1)[has]] = sizes[has] - STEP * (blocks[has] - 1)
+        more = np.ones(len(placed) - 1, bool)
+        more[(first + blocks - 1)[has]] = False
+        every = np.zeros(len(placed) - 1, np.float32)
+        for k in range(0, len(every), gru.CHUNK):
+            part = slice(k, k + gru.CHUNK + 1)
+            every[k : k + gru.CHUNK] = gru.half_overlapping(self.model.weights, self.folded, self.gates[placed[part]], filled[part], more[k : k + gru.CHUNK])
+        last = np.zeros(len(every), bool)  # a text's last block starts no window, unless it is its only one
+        last[(first + blocks - 1)[blocks > 1]] = True
+        logits = every[~last]
         out = np.zeros((len(texts), 3))
         full = counts > 0
         if full.any():

@@ -12,6 +12,9 @@ from .functions.values import CATEGORIES, FIELDS
 from .operators import merge, numbering, sinks, views
 from .plans import normalize
 from .plans.mapping import Mapping, apply_mapping, project
+from .plans.metadata import entries, gathered
+from .sources.archives import unzip
+from .sources.chunks import parts
 from .sources.files import capture
 
 QUERIES: dict = {}
@@ -372,3 +375,89 @@ def cache_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.cache_stats(_t(spark, sf_dir, "documents").select(F.col("n_chars").alias("size"), F.encode("text", "UTF-8").alias("content")))
 
 
+
+
+@query("select doc_id, member, length(text)::bigint as n, md5(text) as digest from (select doc_id, text, 'zip-' || doc_id || '/a/doc.txt' member from documents)")
+def unzip_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents wrapped as stored archives by built-in functions, then expanded."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    name, size = b"a/doc.txt", F.octet_length("b")
+    entry = lambda body: F.concat(_le(F.lit(20), 2), F.unhex(F.lit("0000" * 2 + "00000000" + "00000000")), _le(size), _le(size), _le(F.lit(len(name)), 2), F.unhex(F.lit("0000")), body)
+    local = F.concat(F.lit(b"PK\3\4"), entry(F.lit(name)), F.col("b"))
+    central = F.concat(F.lit(b"PK\1\2"), _le(F.lit(20), 2), entry(F.unhex(F.lit("00" * 14))), F.lit(name))
+    end = F.concat(F.lit(b"PK\5\6"), F.unhex(F.lit("00000000" + "0100" * 2)), _le(F.octet_length(central)), _le(F.octet_length(local)), F.unhex(F.lit("0000")))
+    archives = docs.select("doc_id", F.concat(F.lit("zip-"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("path"), F.concat(local, central, end).alias("content"))
+    found = unzip(archives, "doc_id").withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
+    return found.select("doc_id", F.col("path").alias("member"), F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
+def _extracted(spark: SparkSession, sf_dir: str, table: str, key: str, extension: str, content: Column, *paths: tuple[str, str]) -> DataFrame:
+    """Metadata of files built from a table's columns: a column for each (name, key of the metadata)."""
+    rows = _t(spark, sf_dir, table).select(key, F.lit(extension).alias("extension"), content.alias("content"))
+    found = gathered(entries(parts(rows, key), key), key)
+    return found.select(key, *(F.get_json_object("deepMeta", f"$['{k}']").alias(n) for n, k in paths))
+
+
+def _sized(kind: bytes, data: Column, order=_le) -> Column:
+    return F.concat(F.lit(kind), order(F.octet_length(data)), data)
+
+
+@query("""select c_custkey, '2' as channels, ((c_custkey % 40 + 8) * 1000)::varchar as rate, c_mktsegment as artist, (t // 60) || ':' || printf('%02d', t % 60) as duration
+  from (select *, (c_custkey * 400000) // ((c_custkey % 40 + 8) * 4000) t from customer)""")
+def wav_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = (F.col("c_custkey") % 40 + 8) * 1000
+    fmt = F.concat(F.unhex(F.lit("01000200")), _le(rate), _le(rate * 4), F.unhex(F.lit("04001000")))
+    name = F.concat(F.encode("c_mktsegment", "UTF-8"), F.unhex(F.lit("00")))
+    name = F.when(F.octet_length(name) % 2 == 1, F.concat(name, F.unhex(F.lit("00")))).otherwise(name)
+    body = F.concat(_raw("WAVE"), _sized(b"fmt ", fmt), _sized(b"LIST", F.concat(_raw("INFO"), _sized(b"IART", name))), _raw("data"), _le(F.col("c_custkey") * 400_000))
+    return _extracted(spark, sf_dir, "customer", "c_custkey", "wav", F.concat(F.lit(b"RIFF\0\0\0\0"), body), ("channels", "channels"), ("rate", "sampleRate"), ("artist", "artist"), ("duration", "duration"))
+
+
+@query("select c_custkey, c_name as title, c_mktsegment as artist, 'ID3v2.3' as version from customer")
+def id3_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = lambda kind, text: F.concat(F.lit(kind), _be(F.octet_length(text) + 1), F.unhex(F.lit("000003")), F.encode(text, "UTF-8"))
+    frames = F.concat(frame(b"TIT2", F.col("c_name")), frame(b"TPE1", F.col("c_mktsegment")))
+    n = F.octet_length(frames)
+    safe = F.concat(F.unhex(F.lit("0000")), _be(F.shiftright(n, 7), 1), _be(n.bitwiseAND(127), 1))
+    content = F.concat(_raw("ID3"), F.unhex(F.lit("030000")), safe, frames)
+    return _extracted(spark, sf_dir, "customer", "c_custkey", "mp3", content, ("title", "title"), ("artist", "artist"), ("version", "id3Version"))
+
+
+@query("select p_partkey, (p_partkey % 4000 + 1)::varchar as width, (p_size * 37)::varchar as height, p_name as author, p_brand as comment from part")
+def png_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h = _sides()
+    chunk = lambda kind, data: F.concat(_be(F.octet_length(data)), F.lit(kind), data, F.unhex(F.lit("00000000")))
+    text = lambda key, value: chunk(b"tEXt", F.concat(F.lit(key + b"\0"), F.encode(value, "UTF-8")))
+    content = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), chunk(b"IHDR", F.concat(_be(w), _be(h), F.unhex(F.lit("0802000000")))), text(b"Author", F.col("p_name")), text(b"Comment", F.col("p_brand")), chunk(b"IDAT", F.lit(b"x")))
+    return _extracted(spark, sf_dir, "part", "p_partkey", "png", content, ("width", "Width"), ("height", "Height"), ("author", "PNG:Author"), ("comment", "PNG:Comment"))
+
+
+@query("select o_orderkey, 'MP4' as format, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') as created, case when o_custkey = 0 then null when o_custkey >= 3600 then (o_custkey // 3600) || ':' || printf('%02d', o_custkey // 60 % 60) || ':' || printf('%02d', o_custkey % 60) else (o_custkey // 60)::varchar || ':' || printf('%02d', o_custkey % 60) end as duration from orders")
+def mp4_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = lambda kind, data: F.concat(_be(F.octet_length(data) + 8), F.lit(kind), data)
+    made = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + 2_082_844_800
+    mvhd = F.concat(F.unhex(F.lit("00000000")), _be(made), _be(made), _be(F.lit(1000)), _be(F.col("o_custkey") * 1000), F.unhex(F.lit("00" * 80)))
+    content = F.concat(box(b"ftyp", _raw("isom")), box(b"moov", box(b"mvhd", mvhd)))
+    return _extracted(spark, sf_dir, "orders", "o_orderkey", "mp4", content, ("format", "Format"), ("created", "CreationDate"), ("duration", "Duration"))
+
+
+@query("select s_suppkey, s_name as title, (s_nationkey + 1)::varchar as pages, 'Ann' as author from supplier")
+def rtf_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit(r"{\rtf1\ansi{\info{\title "), F.col("s_name"), F.lit(r"}{\author Ann}{\nofpages"), (F.col("s_nationkey") + 1).cast("string"), F.lit(r"}}\pard x}"))
+    x = markup.rtf_fields(text, markup.rtf_info(text))
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", x["title"].alias("title"), x["pageCount"].cast("string").alias("pages"), x["author"].alias("author"))
+
+
+@query("select s_suppkey, s_name as title, strftime(make_timestamp(2000 + s_nationkey, 3, 4, 0, 0, 0), '%Y-%m-%dT%H:%M:%S.000Z') as created, 2::bigint as pages, s_name as keywords from supplier")
+def pdf_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("%PDF-1.4\n<</Title ("), F.col("s_name"), F.lit(")/CreationDate (D:"), (F.col("s_nationkey") + 2000).cast("string"), F.lit("0304)>> /Type /Pages /Type /Page /Type/Page <x:xmpmeta><dc:subject><rdf:li>"), F.col("s_name"), F.lit("</rdf:li></dc:subject></x:xmpmeta>"))
+    x = markup.pdf_fields(text, markup.xmp_packet(text))
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", x["Title"].alias("title"), x["CreationDate"].alias("created"), x["pageCount"].alias("pages"), x["Keywords"].alias("keywords"))
+
+
+@query("select c_custkey, c_name as title, c_mktsegment as company, c_mktsegment as client from customer")
+def office_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    core = F.concat(F.lit("<x><dc:title><b>"), F.col("c_name"), F.lit("</b></dc:title></x>"))
+    app = F.concat(F.lit("<Properties><Company>"), F.col("c_mktsegment"), F.lit("</Company></Properties>"))
+    custom = F.concat(F.lit('<Properties><property name="Client"><vt:lpwstr>'), F.col("c_mktsegment"), F.lit("</vt:lpwstr></property></Properties>"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", markup.office_fields(core, markup.CORE)["title"].alias("title"), markup.office_fields(app, markup.APP)["company"].alias("company"), markup.custom_properties(custom)["Client"].alias("client"))
