@@ -68,7 +68,7 @@ def _exif(data: Column) -> Column:
     text = F.decode(_tail(data, 6), "ISO-8859-1")
     short = F.when(count > 32, F.left(text, F.lit(32))).otherwise(text)
     list_ = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)).cast("int") - 1), lambda i: _number_json(_exif_number(data, i, kind)))
-    numbers = F.regexp_replace(F.concat(F.lit("["), F.array_join(list_, ","), F.lit("]")), r"^\[([^,]*)\]$", "$1")
+    numbers = F.nullif(F.regexp_replace(F.concat(F.lit("["), F.array_join(list_, ","), F.lit("]")), r"^\[([^,]*)\]$", "$1"), F.lit(""))  # cut off: null
     return F.when(kind == 2, json_value(_clean(text))).when(kind.isin(1, 7) & (count > 4), json_value(_clean(short))).otherwise(numbers)
 
 
