@@ -93,4 +93,13 @@ s as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_i
 select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
        sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join h using (doc_id) left join s using (doc_id)""",
+    "op8_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+g as (select doc_id, i, array_to_string(w[i:i + 19], ' ') s from d, unnest(range(1, len(w) - 18)) t(i) where len(w) >= 20),
+f as (select doc_id, i, row_number() over (partition by s order by doc_id, i) r from g),
+c as (select distinct doc_id, i + j p from f, unnest(range(0, 20)) t(j) where r > 1),
+o as (select doc_id, unnest(w) word, generate_subscripts(w, 1) p from d),
+k as (select doc_id, string_agg(word, ' ' order by p) kept, count(*) n from o anti join c using (doc_id, p) group by 1)
+select doc_id, len(w)::bigint n_words, len(w)::bigint - coalesce(n, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256
+from d left join k using (doc_id)""",
 }
