@@ -132,7 +132,8 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component: the row with its smallest doc_id.
 
-    Of rows that repeat that id one stays. Rows with a null doc_id can't be told apart and stay.
+    Of rows that repeat that id one stays, whatever their texts, and rows with a null doc_id all stay.
+    The pipeline uses neardup.drop_near_copies, which keeps one row of each component.
     """
     kept = near_duplicates(docs.select("doc_id", "text"), ["doc_id"], shingle).where("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
     first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.lit(0)))
