@@ -1,6 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network over character and word inputs.
 
-Every text is lowered and cut into words; all windows of WINDOW words that start STEP words apart
+Every text is lowered and cut into words; runs of over LONGEST bytes (scripts without spaces) count as
+several that overlap by two characters, so that all of their trigrams are seen; all windows of WINDOW words that start STEP words apart
 are scored, so neighbours overlap by half and each word of a text is scored. A document's score is
 a logistic function of its highest window logit and its windows' mean probability, fitted on the
 training documents.
@@ -33,6 +34,7 @@ from . import gru
 from .texts import texts_of, with_columns
 
 WINDOW, STEP = 32, 16
+LONGEST = 64  # bytes of a token
 MAX_DOCS = 2_000
 DOC_WINDOWS = 48
 WORDS, CHARS, WIDTH = 4096, 1024, 4  # rows and numbers of the embeddings
@@ -46,12 +48,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 5 == 0
 
 
+def _back(run: bytes, at: int) -> int:
+    """The start of the character that ``at`` is in."""
+    least = max(at - 3, 0)
+    while at > least and run[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def _tokens(run: bytes) -> list[bytes]:
+    """A run of letters in tokens of at most LONGEST bytes that overlap by two characters."""
+    out, at = [], 0
+    while len(run) - at > LONGEST:
+        end = _back(run, at + LONGEST)
+        out.append(run[at:end])
+        at = _back(run, _back(run, end - 1) - 1)
+    return [*out, run[at:]]
+
+
 def words_in(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).split()
+    runs = text.translate(_TABLE).split()
+    if max(map(len, runs), default=0) <= LONGEST:
+        return runs
+    return [w for run in runs for w in _tokens(run)]
 
 
 def trigrams(word: bytes) -> list[bytes]:
-    w = b"^" + word[:64] + b"$"
+    w = b"^" + word + b"$"
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 

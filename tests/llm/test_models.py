@@ -83,6 +83,28 @@ def test_toxicity_held_out(spark):
     assert 100 < len(held) < 260 and sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) / len(held) > 0.95
 
 
+@pytest.mark.parametrize("text", ["漢字仮名" * 40 + "毒害", "abcdefg" * 30, "é" * 33, "😀" * 17 + "x", "a" * 64, "a" * 65])
+def test_long_runs_are_read_to_their_end(text):
+    run = text.encode()
+    tokens = toxicity.words_in(b"one " + run + b" two")[1:-1]
+    assert all(len(w) <= toxicity.LONGEST and w.decode() in text for w in tokens)
+    grams = {g for w in tokens for g in toxicity.trigrams(w)}
+    assert grams >= {run[i : i + 3] for i in range(len(run) - 2)}
+
+
+def test_toxicity_in_text_without_spaces(spark):
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i in range(900):
+        text = "".join(chr(rng.randrange(0x4E00, 0x4E80)) for _ in range(rng.randint(80, 300)))
+        rows.append((i, text[:60] + "毒害恶" + text[60:] if i % 4 == 0 else text))
+        marks.append((i, int(i % 4 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    held = [r for r in toxicity.score_toxicity(docs, labels).collect() if r["held_out"]]
+    right = sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) / len(held)
+    assert right > 0.9, right
+
+
 def test_toxicity_odd_cases(docs, none, labels, texts):
     rows = toxicity.score_toxicity(docs, labels).collect()
     assert len(rows) == len(texts) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
