@@ -282,6 +282,18 @@ def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_records(existing, incoming).select("id", "notes", "levelOfDescription", "title")
 
 
+@query("""with e as (select doc_id::varchar id, source notes, case when lang = 'en' then 'Series' else 'File' end lvl, 'old' title from documents),
+n as (select doc_id::varchar id, case when quality = 1 then 'good' else '' end notes, 'File' lvl, 'toxic ' || toxic title from labels)
+select coalesce(n.id, e.id) as id, case when n.id is null then e.notes when n.notes = '' and e.notes is not null then e.notes else n.notes end as notes,
+  case when n.id is null or e.lvl <> 'File' then e.lvl else n.lvl end as "levelOfDescription", case when n.id is null then e.title else n.title end as title from e full join n on e.id = n.id""")
+def merge_upsert_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as existing records, all labels as edits of them."""
+    shape = lambda rows, notes, level, title: rows.select(F.col("doc_id").cast("string").alias("id"), notes.alias("notes"), level.alias("levelOfDescription"), title.alias("title"), *(F.lit(None).cast("string").alias(c) for c in ("description", "referenceCode")))
+    existing = shape(_t(spark, sf_dir, "documents"), F.col("source"), F.when(F.col("lang") == "en", "Series").otherwise("File"), F.lit("old"))
+    incoming = shape(_t(spark, sf_dir, "labels"), F.when(F.col("quality") == 1, "good").otherwise(""), F.lit("File"), F.concat(F.lit("toxic "), F.col("toxic").cast("string")))
+    return merge.merge_records(existing, incoming).select("id", "notes", "levelOfDescription", "title")
+
+
 @query("select doc_id as id, n_chars from documents where doc_id not in (select doc_id from labels)")
 def cache_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.new_files(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars"), _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
@@ -293,6 +305,13 @@ def cache_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.orphans(_t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"), kept)
 
 
+@query("select doc_id as id, n_chars from documents where doc_id not in (select page_id from pages)")
+def cache_orphans_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the cache, all pages as records."""
+    cache = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    return merge.orphans(cache, _t(spark, sf_dir, "pages").select(F.col("page_id").alias("id")))
+
+
 @query("""select doc_id, case when doc_id % 4 = 0 then doc_id + 1 else (select max(doc_id + 1) from documents where doc_id % 4 = 0) + row_number() over (partition by doc_id % 4 = 0 order by doc_id) end as seq from documents""")
 def assign_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 1).alias("_seq"))

@@ -33,3 +33,9 @@ def test_query_equals_its_sql(spark, duck, name):
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
+
+
+def test_whole_tables_enter(spark, duck):
+    ids = duck.execute("select doc_id from documents union select doc_id from labels").fetchall()
+    assert QUERIES["merge_upsert_whole"](spark, SF_DIR).count() == len(ids)
+    assert QUERIES["cache_orphans_whole"](spark, SF_DIR).count() > 0
