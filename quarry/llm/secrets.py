@@ -126,9 +126,9 @@ def training_rows(text: bytes) -> list[tuple[list[bytes], list[int]]]:
             places = _places(line)
             tags, last = [], None
             for a, b in places:
-                hit = next((i for i, (s, e) in enumerate(own) if s < b and e > a), None)
-                tags.append(crf.OUT if hit is None else crf.INSIDE if last is not None else crf.BEGIN)
-                last = hit
+                hits = [i for i, (s, e) in enumerate(own) if s < b and e > a]
+                tags.append(crf.OUT if not hits else crf.INSIDE if hits[0] == last else crf.BEGIN)
+                last = hits[-1] if hits else None
             words = [line[a:b] for a, b in places]
             for k in range(0, len(words), STEPS // 2):
                 got = (words[k : k + STEPS], tags[k : k + STEPS])
@@ -231,6 +231,24 @@ class Tagger:
         return out
 
 
+def _rest(text: bytes, run: tuple[int, int], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """What a tagged run adds: its tokens that no base span overlaps, neighbours as one span."""
+    at, end = run
+    base = [(a, b) for a, b, _ in base if a < end and b > at]
+    if not base:
+        return [(at, end, "model")]
+    out, last = [], None
+    for k, (a, b) in enumerate(_places(text[at:end])):
+        if any(s < at + b and e > at + a for s, e in base):
+            continue
+        if out and last == k - 1:
+            out[-1] = (out[-1][0], at + b, "model")
+        else:
+            out.append((at + a, at + b, "model"))
+        last = k
+    return out
+
+
 def _points(text: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Byte spans as spans of code points."""
     if not spans or text.isascii():
@@ -271,7 +289,7 @@ def scan_secrets(docs: DataFrame, model: crf.Chain | None = None, redact: bool =
             counts, digests, named, new = [], [], [], []
             for text, more in zip(texts, added, strict=True):
                 base = base_spans(text)
-                spans = sorted(base + [(a, b, "model") for a, b in more if not any(s < b and e > a for s, e, _ in base)], key=lambda x: (x[0], KINDS.index(x[2])))
+                spans = sorted(base + [x for run in more for x in _rest(text, run, base)], key=lambda x: (x[0], KINDS.index(x[2])))
                 counts.append([sum(k == kind for _, _, k in base) for kind in KINDS[:3]])
                 digests.append(hashlib.sha256(_named(_points(text, base)).encode()).hexdigest())
                 named.append(_named(_points(text, spans)))
