@@ -92,13 +92,27 @@ def flac(b: bytes) -> Iterator[Part]:
         at += 4 + n
 
 
+def _unpaged(b: bytes) -> bytes:
+    """The packets of an Ogg file's first stream without page headers; other bytes as they are."""
+    out, at, serial = [], 0, b[14:18]
+    while b[at : at + 4] == b"OggS" and at + 27 <= len(b):
+        start = at + 27 + b[at + 26]
+        end = start + sum(b[at + 27 : start])
+        if b[at + 14 : at + 18] == serial:
+            out.append(b[start:end])
+        at = end
+    return b"".join(out) if out else b
+
+
 def ogg(b: bytes) -> Iterator[Part]:
+    packets = _unpaged(b)
     for mark, kind in ((b"\x01vorbis", "ogg:vorbis"), (b"OpusHead", "ogg:opus")):
         if (at := b.find(mark)) >= 0:
             yield kind, b[at + len(mark) : at + len(mark) + 32]
     for mark in (b"\x03vorbis", b"OpusTags"):
-        if (at := b.find(mark)) >= 0:
-            yield from vorbis(b[at + len(mark) : at + MOST])
+        source = packets if mark in packets else b  # a later stream's comments are read as they lie
+        if (at := source.find(mark)) >= 0:
+            yield from vorbis(source[at + len(mark) :])
 
 
 def _syncsafe(b: bytes) -> int:
@@ -203,7 +217,7 @@ def exif(b: bytes) -> Iterator[Part]:
             where = at + 10 + 12 * k if n <= 4 else struct.unpack_from(o + "I", b, at + 10 + 12 * k)[0]
             if tag in (0x8769, 0x8825):
                 open_.append(("gps" if tag == 0x8825 else "tag", struct.unpack_from(o + "I", b, at + 10 + 12 * k)[0]))
-            elif 0 < n <= 1024 and tag != 0x927C:
+            elif n > 0 and tag != 0x927C:
                 unit = {3: 2, 4: 4, 5: 4, 9: 4, 10: 4}.get(kind, 1)
                 value = b[where : where + n]
                 if o == "<":
@@ -218,7 +232,12 @@ def ole2(b: bytes) -> Iterator[Part]:
     big, small = 1 << int.from_bytes(b[30:32], "little"), 64
     word = lambda d, i: int.from_bytes(d[i : i + 4], "little")
     sector = lambda i: b[(i + 1) * big : (i + 2) * big]
-    fat = b"".join(sector(word(b, 76 + 4 * i)) for i in range(109) if word(b, 76 + 4 * i) < 0xFFFFFFFC)
+    held, at, seen = [word(b, 76 + 4 * i) for i in range(109)], word(b, 68), set()
+    while at < 0xFFFFFFFC and at not in seen and len(more := sector(at)) == big:  # further FAT sectors' numbers
+        seen.add(at)
+        held += [word(more, i) for i in range(0, big - 4, 4)]
+        at = word(more, big - 4)
+    fat = b"".join(sector(i) for i in held if i < 0xFFFFFFFC)
 
     def chain(first: int, table: bytes, read: Callable[[int], bytes]) -> bytes:
         out, at = [], first

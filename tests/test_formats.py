@@ -8,6 +8,7 @@ import zipfile
 import pytest
 
 from quarry.plans.extract import extract
+from quarry.sources import chunks
 from quarry.sources.archives import unzip
 
 
@@ -162,3 +163,38 @@ def test_unzip(spark):
     assert bytes(got[1, "in/pack.v1/x/a.txt"]["content"]) == b"hello" and got[1, "in/pack.v1/b.json"]["type"] == "application/json"
     assert bytes(got[2, "cut/c.txt"]["content"])[:100] == "".join(map(str, range(5000))).encode()[:100]
     assert got[1, "in/pack.v1/b.json"]["modificationTime"].year >= 1980
+
+
+def test_large_parts_are_read_whole():
+    # an OLE2 file whose summary lies beyond the FAT sectors that the header names
+    small, free, end, far = ole2_file(), 0xFFFFFFFF, 0xFFFFFFFE, 13_960
+    sectors = [small[512 * (i + 1) : 512 * (i + 2)] for i in range(len(small) // 512 - 1)]
+    fat = [free] * (110 * 128)
+    fat[111] = fat[112] = end
+    mini = [b"\0" * 512, *sectors[3:]]  # the summary starts in its second sector
+    minifat = struct.pack("<128I", *[free] * 8, *(x + 8 if x < 128 else x for x in struct.unpack("<120I", sectors[2][:480])))
+    fat[far : far + len(mini)] = [*range(far + 1, far + len(mini)), end]
+    body = bytearray(512 * (far + len(mini)))
+    body[: 110 * 512] = struct.pack(f"<{110 * 128}I", *fat)
+    body[110 * 512 : 111 * 512] = struct.pack("<128I", 109, *[free] * 126, end)
+    tree = bytearray(sectors[1])
+    tree[116:120], tree[244:248] = struct.pack("<I", far), struct.pack("<I", 8)
+    body[111 * 512 : 113 * 512] = bytes(tree) + minifat
+    body[far * 512 :] = b"".join(mini)
+    head = bytearray(small[:512])
+    head[48:52], head[60:64] = struct.pack("<I", 111), struct.pack("<I", 112)
+    head[68:76], head[76:512] = struct.pack("<II", 110, 1), struct.pack("<109I", *range(109))
+    assert list(chunks.ole2(bytes(head + body))) == list(chunks.ole2(small)) != []
+
+    # an EXIF text of 3,000 bytes
+    text = b"d" * 2999 + b"\0"
+    image = b"II*\0" + struct.pack("<IHHHIII", 8, 1, 0x010E, 2, len(text), 26, 0) + text
+    assert dict(chunks.exif(image))["tag:010e"][6:] == text
+
+    # Vorbis comments over several pages, with a picture of 150,000 bytes before the title
+    comment = lambda x: struct.pack("<I", len(x)) + x
+    packet = b"\x03vorbis" + comment(b"lib") + struct.pack("<I", 2) + comment(b"PICTURE=" + b"p" * 150_000) + comment(b"TITLE=Last")
+    page = lambda data: b"OggS" + b"\0" * 22 + bytes([-(-len(data) // 255)]) + b"\xff" * (len(data) // 255) + bytes([len(data) % 255] * (len(data) % 255 > 0)) + data
+    pages = page(b"\x01vorbis" + b"\0" * 30) + b"".join(page(packet[i : i + 65_025]) for i in range(0, len(packet), 65_025))
+    got = dict(chunks.ogg(pages))
+    assert got["vorbis:title"] == b"Last" and got["vorbis:picture"] == b"p" * 150_000
