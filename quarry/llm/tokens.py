@@ -3,7 +3,9 @@
 Text is cut where the tokenizer's own first step is sure to cut: before a single space or line feed
 between characters that are no white space (or at any of them, where a tokenizer drops white
 space). Ids of such pieces don't depend on their neighbours, so each piece is encoded once and then
-looked up. Other texts are encoded whole. Either way the ids are those of encoding the whole text.
+looked up. Other texts, and those that hold the string of an added token such as ``<|endoftext|>``,
+are encoded whole. Either way the ids are those of encoding the whole text with the library's own
+settings and ``add_special_tokens=False``.
 """
 
 from __future__ import annotations
@@ -49,12 +51,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.whole.model
         self.normalizer = self.whole.normalizer
         kind = str(self.whole.pre_tokenizer)
         self.spaced = self.normalizer is None  # a word's leading space belongs to its piece
-        self.cuts = "ByteLevel" in kind
+        added = self.whole.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]  # found in the raw text, before it is cut
+        self.cuts = "ByteLevel" in kind and not any(t.normalized for t in added)
         self.letters = _byte_letters()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -89,7 +92,7 @@ class Encoder:
             self.old, self.new = self.new, {}
         out, get, piece = [], self.new.get, self._piece
         for text in texts:
-            if not self.cuts or self.spaced and not _plain(text):
+            if not self.cuts or self.spaced and not _plain(text) or any(t in text for t in self.added):
                 out.append(self._ids(text))
                 continue
             if self.spaced:
