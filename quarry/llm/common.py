@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Java and DuckDB regular expression of a word; the same set as bytes.split() drops.
 WORD = r"[^\x20\x09-\x0D]+"
 
+HOT_ROWS = 1024  # of a key in one task of a join
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where a session names none, as in tests, a local temporary folder is set.
+    Only where a local session names none, as in tests, a temporary folder is set; on a cluster
+    executors would each write to a disk of their own, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -52,6 +57,26 @@ def clear_work(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tasks_for(spark: SparkSession, rows: int, rows_a_task: int) -> int:
+    """Tasks for work that grows with rows rather than bytes: one per ``rows_a_task``, and enough for all cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_a_task))
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, within: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (few rows a key) on ``key``, rows of a hot key dealt to several tasks.
+
+    A key is hot with over HOT_ROWS rows of ``big``, or over one in 100,000 of them, so at most
+    100,000 hot keys are broadcast. Rows of ``big`` are dealt by a hash of the columns ``within``;
+    ``small``'s rows of a hot key are copied once for every share. ``how``: inner, left, left_semi or left_anti.
+    """
+    sizes = big.groupBy(key).agg(F.count("*").alias("k_n"))
+    most = max(HOT_ROWS, big.count() // 100_000)
+    hot = F.broadcast(sizes.where(F.col("k_n") > most).select(F.col(key).alias("k_hot"), F.ceil(F.col("k_n") / most).cast("int").alias("k_shares")))
+    dealt = big.join(hot, F.col(key).eqNullSafe(F.col("k_hot")), "left").withColumn("k_share", F.coalesce(F.pmod(F.xxhash64(*within), F.col("k_shares")), F.lit(0)).cast("int")).drop("k_hot", "k_shares")
+    copies = small.join(hot, F.col(key) == F.col("k_hot"), "left").withColumn("k_share", F.explode(F.sequence(F.lit(0), F.coalesce("k_shares", F.lit(1)) - 1))).drop("k_hot", "k_shares")
+    return dealt.join(copies, [key, "k_share"], how).drop("k_share")
+
+
 def utf8_size(text: Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

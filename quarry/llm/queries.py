@@ -56,7 +56,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), ["doc_id"])
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +89,19 @@ g as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') phrase
       from d, (select distinct n from p) k, unnest(range(1, len(w) - n + 2)) t(i) where len(w) >= n),
 m as (select distinct doc_id, i, p.n, item_id from g join p using (phrase)),
 h as (select doc_id, count(distinct i + j) n_hit from m, unnest(range(0, n)) t(j) group by 1),
-s as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) items from m group by 1)
+s as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) items from m group by 1),
+q as (select doc_id, unnest(w) term, generate_subscripts(w, 1) pos from d),
+u as (select distinct phrase, n, unnest(string_split(phrase, ' ')) term, generate_subscripts(string_split(phrase, ' '), 1) o from p),
+f as (select term, count(*) df from q group by 1),
+r as (select phrase, n, arg_min(term, (df, o)) term from u join f using (term) group by 1, 2 having count(*) = n),
+a as (select phrase, n, doc_id, pos from r join q using (term)),
+z as (select distinct phrase, doc_id from (
+      select phrase, n, a.doc_id, a.pos from a join u using (phrase, n) join q on q.doc_id = a.doc_id and q.term = u.term and abs(q.pos - a.pos) <= 16
+      group by 1, 2, 3, 4 having count(distinct o) = n)),
+e as (select doc_id, count(distinct item_id) n_near from z join p using (phrase) group by 1)
 select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
-       sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-from d left join h using (doc_id) left join s using (doc_id)""",
+       sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(n_near, 0)::bigint n_near_items
+from d left join h using (doc_id) left join s using (doc_id) left join e using (doc_id)""",
     "op8_substring_dedup": r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
 g as (select doc_id, i, array_to_string(w[i:i + 19], ' ') s from d, unnest(range(1, len(w) - 18)) t(i) where len(w) >= 20),

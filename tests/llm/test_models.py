@@ -197,22 +197,28 @@ def test_decontamination(spark, docs, none, texts):
         n = min(10, len(w))
         for i in range(len(w) - n + 1 if w else 0):
             phrases.setdefault(tuple(w[i : i + n]), set()).add(r["item_id"])
-    for some in (decontam.MAX_TERMS, 3):  # with and without sending the vocabulary
-        decontam.MAX_TERMS, old = some, decontam.MAX_TERMS
-        rows = decontam.contamination(docs, items).collect()
-        decontam.MAX_TERMS = old
-        assert len(rows) == len(texts)
-        for r in rows:
-            w = lower(r["text"])
-            hit, found = set(), set()
-            for n in {len(p) for p in phrases}:
-                for i in range(len(w) - n + 1):
-                    if (p := tuple(w[i : i + n])) in phrases:
-                        hit |= set(range(i, i + n))
-                        found |= phrases[p]
-            found.discard(None)
-            assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
-            assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    often = Counter(w for _, t in texts for w in lower(t))
+    rows = decontam.contamination(docs, items).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        w = lower(r["text"])
+        hit, found, near = set(), set(), set()
+        for n in {len(p) for p in phrases}:
+            for i in range(len(w) - n + 1):
+                if (p := tuple(w[i : i + n])) in phrases:
+                    hit |= set(range(i, i + n))
+                    found |= phrases[p]
+        found.discard(None)
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        if len(w) < 1000:
+            at = {x: [i for i, y in enumerate(w) if y == x] for x in set(w)}
+            for p, names in phrases.items():
+                if set(p) <= set(w) and not names <= near:
+                    rare = min(range(len(p)), key=lambda o: (often[p[o]], o))
+                    if any(all(any(abs(q - i) <= decontam.NEAR for q in at[x]) for x in p) for i in at[p[rare]]):
+                        near |= names
+            assert r["n_near_items"] == len(near - {None}) >= r["n_items"]
     kept = {r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()}
     assert kept == {r["doc_id"] for r in rows if not r["contaminated"]}
     assert decontam.contamination(none, items).count() == 0
