@@ -69,8 +69,11 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, within: list[str], h
     100,000 hot keys are broadcast. Rows of ``big`` are dealt by a hash of the columns ``within``;
     ``small``'s rows of a hot key are copied once for every share. ``how``: inner, left, left_semi or left_anti.
     """
+    rows = big.count()
+    if rows <= HOT_ROWS:
+        return big.join(small, key, how)
     sizes = big.groupBy(key).agg(F.count("*").alias("k_n"))
-    most = max(HOT_ROWS, big.count() // 100_000)
+    most = max(HOT_ROWS, rows // 100_000)
     hot = F.broadcast(sizes.where(F.col("k_n") > most).select(F.col(key).alias("k_hot"), F.ceil(F.col("k_n") / most).cast("int").alias("k_shares")))
     dealt = big.join(hot, F.col(key).eqNullSafe(F.col("k_hot")), "left").withColumn("k_share", F.coalesce(F.pmod(F.xxhash64(*within), F.col("k_shares")), F.lit(0)).cast("int")).drop("k_hot", "k_shares")
     copies = small.join(hot, F.col(key) == F.col("k_hot"), "left").withColumn("k_share", F.explode(F.sequence(F.lit(0), F.coalesce("k_shares", F.lit(1)) - 1))).drop("k_hot", "k_shares")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -15,8 +15,8 @@ def _signature(edges: DataFrame) -> tuple:
 def connected(edges: DataFrame) -> DataFrame:
     """``edges``: a, b (long). Returns a, b with b the smallest member of a's component, b < a.
 
-    Each round is written in the shared folder. Stars are formed by partial minima and equi-joins,
-    so a member with very many links is never gathered in one task.
+    Each round is written in the shared folder. Stars are formed by partial minima and by joins that
+    deal a hub's links to several tasks, so a member with very many links is never gathered in one.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
@@ -24,9 +24,9 @@ def connected(edges: DataFrame) -> DataFrame:
         last = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both, least, "a", ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = written(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = spread_join(large, least, "a", ["b"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
     return edges

@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from .common import batch_rows, written
+from .common import batch_rows, spread_join, tasks_for, written
 from .components import connected
 from .texts import texts_of, with_columns
 
 SHINGLE = 3  # words
 SEED = 42
+ROWS_A_TASK = 20_000  # fingerprints whose variants one task emits
 NEAR = 1 + 64  # masks of at most one bit come first
 
 _ONE = [1 << i for i in range(64)]
@@ -111,32 +111,22 @@ def links(fps: DataFrame) -> DataFrame:
     """``fps``: k_fp, distinct. Returns a, b: links whose components are those of all links."""
     near, far = _signed(MASKS[:NEAR]), _signed(MASKS)
     ball = F.when(F.expr("bit_count(k_fp) % 2 = 0"), F.expr(f"array({far})")).otherwise(F.expr(f"array({near})"))
+    fps = fps.repartition(tasks_for(fps.sparkSession, fps.count(), ROWS_A_TASK), "k_fp")  # rows are few bytes here and 1,057 times as many below
     emitted = fps.select("k_fp", F.posexplode(ball).alias("tag", "mask")).select(F.col("k_fp").bitwiseXOR(F.col("mask")).alias("v"), F.col("tag").cast("short").alias("tag"))
     return emitted.repartition("v").sortWithinPartitions("v").mapInArrow(_edges, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` (doc_id, text, more), or their columns ``keep``, with fingerprint and component_id."""
-    marked = written(fingerprints(docs, keep, shingle), "fingerprints")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("fingerprint", "component_id")]
+    numbered = docs.withColumn("k_row", F.monotonically_increasing_id())
+    marked = written(fingerprints(numbered, [*{**dict.fromkeys(keep), "doc_id": None, "k_row": None}], shingle), "fingerprints")
     fps = written(marked.groupBy("k_fp").agg(F.min("doc_id").alias("k_least")), "distinct-fingerprints")
     batch_rows(docs.sparkSession, 50_000)
     stars = connected(links(fps.select("k_fp")))
     rooted = fps.join(stars.select(F.col("a").alias("k_fp"), F.col("b").alias("k_root")), "k_fp", "left").withColumn("k_root", F.coalesce("k_root", "k_fp"))
     rooted = written(rooted, "rooted")
     least = rooted.groupBy("k_root").agg(F.min("k_least").alias("component_id"))
-    member = rooted.join(least, "k_root").select("k_fp", "component_id")
-    found = marked.drop("component_id", "fingerprint").join(member, "k_fp")
-    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("k_fp")), 16, "0")).drop("k_fp")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component: the row with its smallest doc_id.
-
-    Of rows that repeat that id one stays, whatever their texts, and rows with a null doc_id all stay.
-    The pipeline uses neardup.drop_near_copies, which keeps one row of each component.
-    """
-    kept = near_duplicates(docs.select("doc_id", "text"), ["doc_id"], shingle).where("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.lit(0)))
-    named = docs.where("doc_id is not null").withColumn("k_first", first)
-    stay = named.join(kept, F.col("doc_id") == F.col("k_id"), "left_semi").where("k_first = 1").drop("k_first")
-    return stay.unionByName(docs.where("doc_id is null"))
+    member = spread_join(rooted, least, "k_root", ["k_fp"]).select("k_fp", "component_id")
+    found = spread_join(marked, member, "k_fp", ["k_row"])  # a third of all rows may be copies of one text
+    return found.select(*keep, F.lpad(F.lower(F.hex("k_fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -176,16 +176,6 @@ def test_simhash_links_at_every_distance(spark):
     check_components([(i, int(np.int64(signed[i][0]).view(np.uint64)), min(m)) for m in least.values() for i in m])
 
 
-def test_near_duplicate_stage_keeps_one(docs, texts):
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    component = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect() if r["doc_id"] is not None}
-    ids = [r["doc_id"] for r in kept.collect()]
-    named = [i for i in ids if i is not None]
-    assert len(named) == len(set(named)) and set(named) <= set(component) and len(ids) - len(named) == 2
-    assert set(component.values()) >= set(named)
-
-
 def test_substring_dedup(docs, none, texts):
     found = substring.remove_repeats(docs).collect()
     assert len(found) == len(texts)
