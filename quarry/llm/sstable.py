@@ -35,18 +35,19 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import utf8_size, work_path, written
-from .texts import with_columns
+from .common import batch_rows, utf8_size, work_path, written
+from .texts import BATCH_ROWS, slices
 from .tokens import encoder
 
 BLOCK_BYTES = 64_000
 SHARD_TEXT_BYTES = 24_000_000  # of text in a shard, about
 BLOOM_BITS, BLOOM_HASHES = 10, 7  # a key
+GROUP = 1_000  # shards whose files are numbered together
 MAGIC = b"QSSTABL1"
 FOOTER = struct.Struct("<QQQQQQBI8s")
 ENTRY = struct.Struct("<8sQIQQ")
@@ -188,65 +189,44 @@ class Reader:
                 before += len(ids)
 
 
-def _encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int], width: int) -> DataFrame:
-    """doc_id, k_shard and ids of each document; a repeated id that fills shards is spread over them."""
-    edges = np.array(bounds, np.int64)
-
-    def make():
-        code, turn = encoder(tokenizer), [0]
-
-        def work(part: pa.RecordBatch) -> list:
-            ids = [x or 0 for x in part.column(part.schema.get_field_index("doc_id")).to_pylist()]
-            texts = [x or "" for x in part.column(part.schema.get_field_index("text")).to_pylist()]
-            values = [np.r_[np.frombuffer(x, "<u4"), np.uint32(end_id)].astype(f"<u{width}").tobytes() for x in code.encode(texts)]
-            low, high = np.searchsorted(edges, ids, "left"), np.searchsorted(edges, ids, "right")
-            turns = turn[0] + np.arange(len(ids))
-            turn[0] += len(ids)
-            return [low + turns % np.maximum(high - low, 1), values]
-
-        return work
-
-    return with_columns(docs, make, [T.StructField("k_shard", T.IntegerType()), T.StructField("ids", T.BinaryType())], keep=["doc_id"])
-
-
 def write_tables(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None) -> DataFrame:
-    """Write ``docs`` (doc_id, text) as table files below ``out``; returns shard, file, entries, ids, first.
+    """Write ``docs`` (doc_id, text) as table files below ``out``; returns shard, file, entries, ids, first, base.
 
-    first: ids in all files before this one.
+    Spark's range partitioning by doc_id, then by place in the input, deals documents to shards, so a
+    repeated id that fills shards is spread over them. first: ids in all files before this one.
     """
     spark = docs.sparkSession
     out = out or work_path(spark, "sstables")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.monotonically_increasing_id().alias("k_row"), "text")
     shards = max(1, -(-(docs.agg(F.sum(utf8_size(F.col("text")))).first()[0] or 0) // SHARD_TEXT_BYTES))
-    at = [i / shards for i in range(1, shards)]
-    bounds = (docs.agg(F.percentile_approx("doc_id", at, max(10_000, 20 * shards))).first()[0] or []) if at else []
+    batch_rows(spark, BATCH_ROWS)
     width = 2 if max(encoder(tokenizer).whole.get_vocab_size() - 1, end_id) < 2**16 else 4
-    rows = _encoded(docs, tokenizer, end_id, bounds, width).repartitionById(shards, "k_shard").sortWithinPartitions("k_shard", "doc_id")
+    rows = docs.repartitionByRange(shards, "doc_id", "k_row").sortWithinPartitions("doc_id", "k_row").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(out)
-        fs.create_dir(base, recursive=True)
-        shard, stream, table, done = None, None, None, []
-
-        def finish() -> None:
-            if table:
-                table.close()
-                stream.close()
-                done.append((shard, name, table.entries, table.ids))
-
+        code, shard, table = encoder(tokenizer), TaskContext.get().partitionId(), None
         for batch in batches:
-            for doc_id, s, value in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if s != shard:
-                    finish()
-                    shard, name = s, f"{base}/{s:06d}-{uuid.uuid4().hex}.sst"
+            for part in slices(batch):
+                if table is None:
+                    fs, base = pafs.FileSystem.from_uri(out)
+                    fs.create_dir(base, recursive=True)
+                    name = f"{base}/{shard:06d}-{uuid.uuid4().hex}.sst"
                     stream = fs.open_output_stream(name)
                     table = Writer(stream, width)
-                table.add(key_of(doc_id), value)
-        finish()
-        yield pa.RecordBatch.from_pydict({n: [d[i] for d in done] for i, n in enumerate(("shard", "file", "entries", "ids"))}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())]))
-
-    files = written(rows.mapInArrow(write, "shard int, file string, entries long, ids long"), "sstable-files")
-    return files.withColumn("first", F.sum("ids").over(W.orderBy("shard", "file")) - F.col("ids")).withColumn("base", F.lit(out))
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                for doc_id, ids in zip(part.column(0).to_pylist(), code.encode(texts), strict=True):
+                    table.add(key_of(doc_id), np.r_[np.frombuffer(ids, "<u4"), np.uint32(end_id)].astype(f"<u{width}").tobytes())
+        if table is not None:
+            table.close()
+            stream.close()
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "entries": [table.entries], "ids": [table.ids]}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())]))
+
+    files = written(rows.mapInArrow(write, "shard int, file string, entries long, ids long"), "sstable-files").withColumn("k_group", F.expr(f"shard div {GROUP}"))
+    # Running sums in two steps, so that no task orders all files: over groups of shards, and within each.
+    groups = files.groupBy("k_group").agg(F.sum("ids").alias("k_ids"))
+    groups = groups.withColumn("k_before", F.sum("k_ids").over(W.orderBy("k_group")) - F.col("k_ids")).drop("k_ids")
+    own = F.sum("ids").over(W.partitionBy("k_group").orderBy("shard")) - F.col("ids")
+    return files.withColumn("k_own", own).join(groups, "k_group").withColumn("first", F.col("k_before") + F.col("k_own")).withColumn("base", F.lit(out)).drop("k_group", "k_before", "k_own")
 
 
 def read_tables(files: DataFrame) -> DataFrame:
