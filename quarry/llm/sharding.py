@@ -112,22 +112,29 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
     return [p.found for p in probes]
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.02) -> DataFrame:
-    """``docs`` (doc_id, text, more) with size, text_crc32, law, shard, slot and grown_shard."""
+def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.02, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, more), or their columns ``keep``, with size, text_crc32, law, shard, slot and grown_shard.
+
+    Hashes are computed once and written with the rows; ``keep`` without the text spares writing it.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.drop(*(c for c in OWN if c in docs.columns)).withColumns({"k_hash": _hash60(text), "k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(FLIP)), "size": utf8_size(F.col("text")) + 8, "text_crc32": F.crc32(text)})
-    keys = written(rows.select("k_hash", "k_id", "size"), "shard-keys")
-    shard, cuts = F.lit(0), splitters(keys, shards, tolerance)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in OWN]
+    keys = {"k_hash": _hash60(text), "k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(FLIP)), "size": utf8_size(F.col("text")) + 8, "text_crc32": F.crc32(text), "k_row": F.monotonically_increasing_id()}
+    rows = written(docs.select(*(F.col(f"`{c}`") for c in keep), *(v.alias(k) for k, v in keys.items())), "shard-keys")
+    shard, cuts = F.lit(0), splitters(rows.select("k_hash", "k_id", "size"), shards, tolerance)
     for h, d in cuts:
         above = F.col("k_hash") > h
         if d is not None:
             above = above | ((F.col("k_hash") == h) & (F.col("k_id") > F.lit(_signed(d) ^ FLIP)))
         shard = shard + above.cast("int")
-    slices = max(LEAST_SLICES, keys.count() // ROWS_PER_SLICE)
+    slices = max(LEAST_SLICES, rows.count() // ROWS_PER_SLICE)
     # Slots: rows of a shard are numbered slice by slice, so that no task numbers a whole shard.
-    place = {"shard": shard, "k_slice": F.pmod(F.col("k_id"), F.lit(slices))}
-    first = keys.withColumns(place).groupBy("shard", "k_slice").agg(F.count("*").alias("k_n"))
+    placed = rows.withColumns({"shard": shard, "k_slice": F.pmod(F.xxhash64("k_row"), F.lit(slices))})
+    first = placed.groupBy("shard", "k_slice").agg(F.count("*").alias("k_n"))
     first = first.withColumn("k_first", F.sum("k_n").over(W.partitionBy("shard").orderBy("k_slice")) - F.col("k_n")).drop("k_n")
-    own = F.row_number().over(W.partitionBy("shard", "k_slice").orderBy("k_id", "k_hash")) - 1
-    placed = rows.withColumns(place).withColumn("k_own", own).join(first, ["shard", "k_slice"])
-    return placed.withColumns({"law": F.lit("bytes"), "slot": F.col("k_first") + F.col("k_own"), "grown_shard": F.lit(None).cast("int")}).drop("k_hash", "k_id", "k_slice", "k_own", "k_first")
+    own = F.row_number().over(W.partitionBy("shard", "k_slice").orderBy("k_id", "k_hash", "k_row")) - 1
+    placed = placed.withColumn("k_own", own).join(first, ["shard", "k_slice"])
+    return placed.select(
+        *(F.col(f"`{c}`") for c in keep), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        (F.col("k_first") + F.col("k_own")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
