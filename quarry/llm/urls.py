@@ -20,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, tasks_for, written
 
 #: (rule, verdict); the longest that fits wins.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 ORDER = 3  # characters of context
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ROWS_A_TASK = 2_000  # URLs whose grams one task makes
 START, END = "\x02", "\x03"
 OWN = ("host", "path", "rule", "verdict", "lm_score", "lm_threshold")
 
@@ -88,13 +89,14 @@ def url_scores(urls: DataFrame) -> DataFrame:
     score: whole micro-nats a gram, rounded down.
     """
     held = F.substring(F.md5("k_url"), 1, 1).isin("0", "1", "2")
+    n = {r["label"]: r["n"] for r in urls.groupBy("label").agg(F.count("*").alias("n")).collect()}  # at most three rows
+    urls = urls.repartition(tasks_for(urls.sparkSession, sum(n.values()), ROWS_A_TASK), "k_url")  # few bytes here, many grams below
     exploded = urls.withColumn("k_held", held).withColumn("gram", F.explode(_grams(F.col("k_url"))))
     weight = lambda kind: F.when((F.col("label") == kind) & ~F.col("k_held"), F.col("n")).otherwise(0)
     grams = exploded.groupBy("gram").agg(F.sum(weight("allow")).alias("n_allow"), F.sum(weight("block")).alias("n_block"))
     ratios = gram_ratios(written(grams, "url-grams"))
-    kinds = F.broadcast(urls.agg(F.count_if(F.col("label") == "allow").alias("k_a"), F.count_if(F.col("label") == "block").alias("k_b")))  # one row
-    summed = exploded.join(ratios, "gram").groupBy("k_url", "k_held", "label", "n").agg(F.floor(F.sum("ratio") / F.count("*")).alias("score"))
-    return summed.join(kinds, F.lit(True)).withColumn("score", F.when((F.col("k_a") > 0) & (F.col("k_b") > 0), F.col("score")).otherwise(0)).drop("k_a", "k_b")
+    score = F.floor(F.sum("ratio") / F.count("*")) if n.get("allow") and n.get("block") else F.lit(0).cast("long")
+    return spread_join(exploded, ratios, "gram", ["k_url"]).groupBy("k_url", "k_held", "label", "n").agg(score.alias("score"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
