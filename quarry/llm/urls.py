@@ -1,9 +1,10 @@
 """URL filter: rules by host and path, and a ratio of character language models for the rest.
 
 Two smoothed variable-order Markov models of characters are counted over all URLs that the rules
-allow and block (four fifths of them; the last fifth calibrates). A model's probability of a
-character interpolates contexts of 3, 2, 1 and 0 characters by Witten-Bell smoothing; the order in
-effect varies with what a context has been seen to continue with. A URL's score is the difference
+allow and block, but for 3 in 16 by hash: two of these calibrate, the third tests. Digits 1 to 9
+count as 0. A model's probability of a character interpolates contexts of 3, 2, 1 and 0 characters
+by Witten-Bell smoothing; the order in effect varies with what a context has been seen to continue
+with. A URL's score is the difference
 of its log-likelihoods over its length, in whole micro-nats a gram, so that sums don't depend on
 their order. The threshold lies midway between the mean scores of the calibrating URLs of either
 kind. Counting works on distinct URLs and then on distinct grams, so copies of a URL and frequent
@@ -57,8 +58,9 @@ def _grams(url: Column) -> Column:
     """The grams of ORDER + 1 characters that end at each character, digits as 0, with the end."""
     text = F.concat(F.lit(START * ORDER), F.translate(url, "123456789", "000000000"), F.lit(END))
     chars = F.split(text, "")
-    ends = F.sequence(F.lit(1), F.size(chars) - ORDER)
-    return F.transform(ends, lambda i: F.array_join(F.slice(chars, i, ORDER + 1), ""))
+    shifted = F.arrays_zip(*(F.slice(chars, k + 1, F.size(chars)).alias(f"c{k}") for k in range(ORDER + 1)))  # linear in the URL's length
+    whole = F.slice(shifted, 1, F.size(chars) - ORDER)
+    return F.transform(whole, lambda z: F.concat(*(z[f"c{k}"] for k in range(ORDER + 1))))
 
 
 def gram_ratios(grams: DataFrame) -> DataFrame:
@@ -84,29 +86,43 @@ def gram_ratios(grams: DataFrame) -> DataFrame:
 
 
 def url_scores(urls: DataFrame) -> DataFrame:
-    """``urls``: k_url (distinct), label (allow, block or null), n. Returns k_url, k_held, label, n, score.
+    """``urls``: k_url (distinct), label (allow, block or null), n. Returns k_url, k_fold, label, n, score.
 
     score: whole micro-nats a gram, rounded down.
     """
-    held = F.substring(F.md5("k_url"), 1, 1).isin("0", "1", "2")
+    digit = F.substring(F.md5("k_url"), 1, 1)
+    fold = F.when(digit.isin("0", "1"), "calibrate").when(digit == "2", "test").otherwise("count")
     n = {r["label"]: r["n"] for r in urls.groupBy("label").agg(F.count("*").alias("n")).collect()}  # at most three rows
     urls = urls.repartition(tasks_for(urls.sparkSession, sum(n.values()), ROWS_A_TASK), "k_url")  # few bytes here, many grams below
-    exploded = urls.withColumn("k_held", held).withColumn("gram", F.explode(_grams(F.col("k_url"))))
-    weight = lambda kind: F.when((F.col("label") == kind) & ~F.col("k_held"), F.col("n")).otherwise(0)
+    exploded = urls.withColumn("k_fold", fold).withColumn("gram", F.explode(_grams(F.col("k_url"))))
+    weight = lambda kind: F.when((F.col("label") == kind) & (F.col("k_fold") == "count"), F.col("n")).otherwise(0)
     grams = exploded.groupBy("gram").agg(F.sum(weight("allow")).alias("n_allow"), F.sum(weight("block")).alias("n_block"))
-    ratios = gram_ratios(written(grams, "url-grams"))
+    ratios = written(gram_ratios(written(grams, "url-grams")), "gram-ratios")
     score = F.floor(F.sum("ratio") / F.count("*")) if n.get("allow") and n.get("block") else F.lit(0).cast("long")
-    return spread_join(exploded, ratios, "gram", ["k_url"]).groupBy("k_url", "k_held", "label", "n").agg(score.alias("score"))
+    return spread_join(exploded, ratios, "gram", ["k_url"]).groupBy("k_url", "k_fold", "label", "n").agg(score.alias("score"))
 
 
-def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
-    """``pages`` (url, more) with host, path, rule, verdict, lm_score and lm_threshold."""
-    pages = pages.drop(*(c for c in OWN if c in pages.columns)).withColumn("k_url", F.coalesce(F.col("url"), F.lit("")))
+def _scored(pages: DataFrame, rules) -> tuple[DataFrame, int]:
+    """Scores of the distinct URLs (``pages``: k_url), and the threshold."""
     label = verdict_of(rule_of(host_of(F.col("k_url")), path_of(F.col("k_url")), rules), rules)
     urls = pages.groupBy("k_url").agg(F.count("*").alias("n")).withColumn("label", label)
     scores = written(url_scores(written(urls, "urls")), "url-scores")
-    mean = {r["label"]: r["m"] for r in scores.where("k_held and label is not null").groupBy("label").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("m")).collect()}  # two rows
-    threshold = round((mean["allow"] + mean["block"]) / 2) if len(mean) == 2 else 0
+    mean = {r["label"]: r["m"] for r in scores.where("k_fold = 'calibrate' and label is not null").groupBy("label").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("m")).collect()}  # two rows
+    return scores, round((mean["allow"] + mean["block"]) / 2) if len(mean) == 2 else 0
+
+
+def held_out_errors(pages: DataFrame, rules=RULES) -> dict[str, tuple[int, int]]:
+    """By the rules' verdict: URLs of the test fold, and those that the model judges otherwise."""
+    scores, threshold = _scored(pages.select(F.coalesce(F.col("url"), F.lit("")).alias("k_url")), rules)
+    wrong = F.count_if((F.col("score") >= threshold) != (F.col("label") == "allow"))
+    rows = scores.where("k_fold = 'test' and label is not null").groupBy("label").agg(F.count("*").alias("n"), wrong.alias("wrong")).collect()  # two rows
+    return {r["label"]: (r["n"], r["wrong"]) for r in rows}
+
+
+def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+    """``pages`` (url, more) with host, path, rule, verdict, lm_score and lm_threshold."""
+    pages = pages.drop(*(c for c in OWN if c in pages.columns)).withColumn("k_url", F.coalesce(F.col("url"), F.lit("")))
+    scores, threshold = _scored(pages, rules)
     judged = pages.join(scores.select("k_url", "score"), "k_url", "left")
     rule = rule_of(host_of(F.col("k_url")), path_of(F.col("k_url")), rules)
     return judged.select(

@@ -252,6 +252,9 @@ def test_urls(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, want[1])
         assert got[i]["verdict"] == (want[2] or got[i]["verdict"]) and got[i]["verdict"] in ("allow", "block")
     assert got[131]["verdict"] == "block"  # resembles what the rules block
+    more = [(x.format(i),) for i in range(300) for x in ("https://s{}.example.net/en/", "http://x{}.other.net/win/")]
+    errors = urls.held_out_errors(spark.createDataFrame(more, "url string"))
+    assert errors.keys() == {"allow", "block"} and all(wrong == 0 < n for n, wrong in errors.values())
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.filter_urls(empty).count() == 0
     assert urls.filter_urls(spark.createDataFrame([(1, "http://a.test/")], "page_id long, url string")).first()["verdict"] == "allow"
