@@ -46,11 +46,6 @@ def one_hot(keys: list[tuple[str, ...]], features: dict[str, int]) -> np.ndarray
     return x
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
-
-
 def fit(keys: list[tuple[str, ...]], tokens: np.ndarray, files: np.ndarray, tags: np.ndarray, lengths: np.ndarray, n_files: int, rounds: int = 60, rate: float = 0.15, ridge: float = 1e-3) -> Chain:
     """tokens, tags: (sequences, steps), padded; tokens index ``keys``; files: (sequences,) file features."""
     n, steps = tokens.shape
@@ -65,30 +60,34 @@ def fit(keys: list[tuple[str, ...]], tokens: np.ndarray, files: np.ndarray, tags
     legal = np.zeros((TAGS, TAGS))
     legal[OUT, INSIDE] = NEVER
     gold = np.eye(TAGS)[tags] * there[..., None]
-    pairs = there[:, 1:, None, None] * np.eye(TAGS)[tags[:, :-1]][..., :, None] * np.eye(TAGS)[tags[:, 1:]][..., None, :]
-    pairs_gold = pairs.sum((0, 1))
-    first = np.array([0, 0, NEVER])
+    pairs = there[:, 1:].ravel()
+    before, after = (np.eye(TAGS)[x.ravel()[pairs]] for x in (tags[:, :-1], tags[:, 1:]))
+    pairs_gold = before.T @ after
+    first = np.array([1, 1, 0])
     for step in range(1, rounds + 1):
         score = (x @ w[0])[own] + (x @ w[1])[left] + (x @ w[2])[right] + w[3][files][:, None, :]
-        move = w[4] + legal
-        alpha, beta = np.zeros((n, steps, TAGS)), np.zeros((n, steps, TAGS))
-        alpha[:, 0] = score[:, 0] + first
+        psi = np.exp(score - score.max(2, keepdims=True))
+        move = np.exp(w[4] + legal - w[4].max())
+        alpha, beta = np.empty((n, steps, TAGS)), np.ones((n, steps, TAGS))  # each scaled to sum to 1
+        alpha[:, 0] = psi[:, 0] * first
+        alpha[:, 0] /= alpha[:, 0].sum(1, keepdims=True)
         for t in range(1, steps):
-            alpha[:, t] = np.where(there[:, t, None], _log_sum(alpha[:, t - 1, :, None] + move, 1) + score[:, t], alpha[:, t - 1])
+            a = (alpha[:, t - 1] @ move) * psi[:, t]
+            alpha[:, t] = np.where(there[:, t, None], a / a.sum(1, keepdims=True), alpha[:, t - 1])
         for t in range(steps - 2, -1, -1):
-            beta[:, t] = np.where(there[:, t + 1, None], _log_sum(move + (score[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-        z = _log_sum(alpha[:, -1], 1)
-        node = np.exp(alpha + beta - z[:, None, None]) * there[..., None]
-        edge = np.exp(alpha[:, :-1, :, None] + move + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * there[:, 1:, None, None]
-        g = node - gold
+            b = (psi[:, t + 1] * beta[:, t + 1]) @ move.T
+            beta[:, t] = np.where(there[:, t + 1, None], b / b.sum(1, keepdims=True), 1)
+        node = alpha * beta
+        node = node / node.sum(2, keepdims=True) * there[..., None]
+        a, b = alpha[:, :-1].reshape(-1, TAGS)[pairs], (psi * beta)[:, 1:].reshape(-1, TAGS)[pairs]
+        edges = move * ((a / ((a @ move) * b).sum(1, keepdims=True)).T @ b)
+        g = (node - gold).reshape(-1, TAGS)
         grads = []
         for at in (own, left, right):
-            summed = np.zeros((len(keys) + 1, TAGS))
-            np.add.at(summed, at.ravel(), g.reshape(-1, TAGS))
+            summed = np.stack([np.bincount(at.ravel(), g[:, k], len(keys) + 1) for k in range(TAGS)], 1)
             grads.append(x.T @ summed)
-        by_file = np.zeros((n_files, TAGS))
-        np.add.at(by_file, files, g.sum(1))
-        grads += [by_file, edge.sum((0, 1)) - pairs_gold]
+        by_file = np.stack([np.bincount(np.repeat(files, steps), g[:, k], n_files) for k in range(TAGS)], 1)
+        grads += [by_file, edges - pairs_gold]
         for i, grad in enumerate(grads):
             grad = grad / n + ridge * w[i]
             moment[i] = 0.9 * moment[i] + 0.1 * grad

@@ -1,10 +1,12 @@
 """Secret scans: base patterns, and a conditional random field that adds spans.
 
 Lines are sequences of white-space tokens, tagged secret begin, inside or outside. Features are a
-token's shape, length and key words, those of both neighbours, and classes of the whole text (share
-of tokens with digits, words a line). The field learns from the base patterns' own values, on a
-bounded sample: the MAX_DOCS documents with a base pattern's lead and the MAX_DOCS others with the
-smallest hash of their id. It then tags all lines of all texts by Viterbi; a line is skipped only
+token's shape, length, changes of character class and key words, those of both neighbours, and
+classes of the whole text (share of tokens with digits, words a line). The field learns from whole
+documents of a bounded sample: the MAX_DOCS with a base pattern's lead and the MAX_DOCS others with
+the smallest hash of their id. So that it finds what no base pattern fits, lines with a base value
+also enter with the value masked by made-up secrets of other styles, its cue changed or gone, and
+harmless tokens such as addresses, dates and numbers beside it. It then tags all lines of all texts by Viterbi; a line is skipped only
 where no token can outweigh what leaving the outside tag costs, so its decoding is known. Tagged
 runs that don't overlap a base span are added as kind ``model``.
 
@@ -16,7 +18,9 @@ columns replace input columns of the same names.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf
+from .common import written
 from .texts import texts_of, with_columns
 
 #: The base patterns.
@@ -34,9 +39,12 @@ HEX = re.compile(rb"[0-9a-f]{32,}")  # maximal runs of 32 or more
 LEADS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 LEAD_PATTERN = r"""(?:[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[A-Za-z"']*\x20*[:=]|AKIA|[0-9a-f]{32}"""
 KINDS = ("assign", "access", "hex", "model")
-MAX_DOCS = 600
+MAX_DOCS = 200  # of either kind, that the field learns from
 STEPS = 24  # tokens in a training sequence
-SEQUENCES = 3  # of either kind, from a document
+VARIANTS = 12  # perturbed copies of a training line with a value
+LOWER, DIGITS, HEX_DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+UPPER = LOWER.upper()
+ALNUM = LOWER + UPPER + DIGITS
 FILE_CLASSES = 16
 MASK = "[REDACTED]"
 
@@ -78,6 +86,11 @@ def word_key(word: bytes) -> tuple[str, ...]:
         out.append("assigns")
     if b"=" in core or b":" in core:
         out.append("joins")
+    if b"." in core:
+        out.append("dots")
+    kinds = [0 if 48 <= c <= 57 else 1 if 65 <= c <= 90 else 3 if c < 128 and not 97 <= c <= 122 else 2 for c in core]
+    turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    out += [f"turns:{min(turns, 12) // 3}", f"turns:{min(turns, 12) // 3}{length}", f"rate:{min(3, 8 * turns // len(core))}{length}"]
     return tuple(out)
 
 
@@ -116,65 +129,137 @@ def _places(line: bytes) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", line)]
 
 
-def training_rows(text: bytes) -> list[tuple[list[bytes], list[int]]]:
-    """A few sequences (tokens, tags) of a text: around its base patterns' values, and elsewhere."""
+#: Words before a made-up secret, besides the base patterns' own.
+CUES = ("key", "pwd", "auth", "credential", "bearer", "access", "private", "login")
+
+
+def made_up(rng: random.Random) -> list[str]:
+    """The tokens of a secret of a random style, longer or shorter than any the base patterns know."""
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    style = rng.randrange(8)
+    if style == 0:
+        return [some(HEX_DIGITS.upper(), rng.choice((16, 24, 32, 40)))]
+    if style == 1:
+        return [some(ALNUM + "+/", rng.randint(20, 60)) + "=" * rng.randrange(3)]
+    if style == 2:
+        return [some(LOWER + DIGITS, rng.randint(14, 40))]
+    if style == 3:
+        mark = rng.choice("_-")
+        return [mark.join([some(LOWER, rng.randint(2, 5)) for _ in range(rng.randint(1, 2))] + [some(ALNUM, rng.randint(16, 48))])]
+    if style == 4:
+        mark = rng.choice("-_.")
+        return [mark.join(some(ALNUM, rng.randint(6, 24)) for _ in range(rng.randint(2, 4)))]
+    if style == 5:
+        return [some(UPPER + DIGITS, 4) + some(DIGITS, 1) for _ in range(rng.randint(3, 5))]
+    return [some(ALNUM + rng.choice(("", "-_")), rng.randint(10, 16) if style == 6 else rng.randint(12, 40))]
+
+
+def harmless(rng: random.Random) -> str:
+    """A token with digits or marks that is no secret."""
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    word, number = some(LOWER, rng.randint(3, 9)), some(DIGITS, rng.randint(1, 4))
+    return rng.choice((
+        f"{word}.{number}@{some(LOWER, 5)}.com", f"https://{word}.org/{some(LOWER, 6)}/{number}", some(DIGITS, rng.randint(1, 16)),
+        f"20{some(DIGITS, 2)}-0{some('123456789', 1)}-1{some(DIGITS, 1)}", f"v{number}.{some(DIGITS, 1)}.{some(DIGITS, 1)}", f"{word}_{number}.png", f"{word}-{some(LOWER, 7)}",
+        f"+{some(DIGITS, 2)}-{some(DIGITS, 3)}-{some(DIGITS, 7)}", f"{word}{some(DIGITS, 2)}", f"{some(UPPER, 2)}-{number}", f"/{word}/{some(LOWER, 5)}/{number}.txt", f"{number}.{some(DIGITS, 2)}%",
+    ))
+
+
+def perturbed(rng: random.Random, words: list[bytes], tags: list[int]) -> tuple[list[bytes], list[int]]:
+    """A line with each value masked by a made-up secret, its cue changed or gone, and harmless tokens."""
+    out: list[tuple[bytes, int]] = []
+    for word, tag in zip(words, tags, strict=True):
+        if tag != crf.OUT:
+            new = made_up(rng)
+            quote, cue = rng.choice(("", "", '"', "'")), rng.choice(CUES)
+            if rng.random() < 0.3:
+                new[0] = f"{cue}{rng.choice('=:')}{quote}{new[0]}"
+            else:
+                new[0] = quote + new[0]
+                if rng.random() < 0.5:
+                    out.append((f"{cue}{rng.choice(('', '=', ':', ' ='))}".encode(), crf.OUT))
+            new[-1] += quote + rng.choice(("", "", ",", "."))
+            out += [(x.encode(), crf.BEGIN if k == 0 else crf.INSIDE) for k, x in enumerate(new)]
+        elif not any(x in word.lower() for x in LEADS) and word.strip(b"=:"):
+            out.append((word, crf.OUT))
+        if rng.random() < 0.1:
+            out.append((harmless(rng).encode(), crf.OUT))
+    return [w for x, _ in out for w in x.split()], [t for x, t in out for _ in x.split()]
+
+
+def training_rows(text: bytes, variants: int = 0) -> list[tuple[list[bytes], list[int]]]:
+    """All lines of a text (tokens, tags), cut to STEPS; lines with a value also perturbed, ``variants`` times."""
     spans = base_spans(text, 2)
-    near, far, at = [], [], 0
+    rng, lines, at, k = random.Random(zlib.crc32(text)), [], 0, 0
     for line in text.split(b"\n"):
-        own = [(a - at, b - at) for a, b, _ in spans if a < at + len(line) and b > at]
-        if own or len(far) < SEQUENCES:
-            places = _places(line)
-            tags, last = [], None
-            for a, b in places:
-                hits = [i for i, (s, e) in enumerate(own) if s < b and e > a]
-                tags.append(crf.OUT if not hits else crf.INSIDE if hits[0] == last else crf.BEGIN)
-                last = hits[-1] if hits else None
-            words = [line[a:b] for a, b in places]
-            for k in range(0, len(words), STEPS // 2):
-                got = (words[k : k + STEPS], tags[k : k + STEPS])
-                if got[1][0] == crf.INSIDE:
-                    continue
-                if any(got[1]):
-                    if len(near) < SEQUENCES:
-                        near.append(got)
-                elif len(far) < SEQUENCES:
-                    far.append(got)
-                else:
-                    break
+        while k < len(spans) and spans[k][1] <= at:
+            k += 1
+        own = []
+        for a, b, _ in spans[k:]:
+            if a >= at + len(line):
+                break
+            own.append((a - at, b - at))
+        tags, last = [], None
+        places = _places(line)
+        for a, b in places:
+            hits = [i for i, (s, e) in enumerate(own) if s < b and e > a]
+            tags.append(crf.OUT if not hits else crf.INSIDE if hits[0] == last else crf.BEGIN)
+            last = hits[-1] if hits else None
+        words = [line[a:b] for a, b in places]
+        lines.append((words, tags))
+        lines += [perturbed(rng, words, tags) for _ in range(variants if any(tags) else 0)]
         at += len(line) + 1
-    return near + far
+    out = []
+    for words, tags in lines:
+        k = 0
+        while k < len(words):
+            end = min(k + STEPS, len(words))
+            while end < len(words) and tags[end] == crf.INSIDE and end > k + 1:
+                end -= 1  # a secret isn't cut
+            out.append((words[k:end], tags[k:end]))
+            k = end
+    return [x for x in out if x[1][0] != crf.INSIDE]
 
 
 def fit_secrets(docs: DataFrame, max_docs: int = MAX_DOCS) -> crf.Chain | None:
-    """A field fitted on a bounded sample; None without base spans in it."""
-    named = docs.where("doc_id is not null").select("doc_id", "text", F.col("text").rlike(LEAD_PATTERN).alias("k_lead"))
+    """A field fitted on a bounded sample of whole documents; None without base spans in it."""
+    named = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").rlike(LEAD_PATTERN), F.lit(False)).alias("k_lead"))
+    named = written(named, "leads")  # texts are searched once for both choices
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     ids = [named.where(F.col("k_lead") == kind).select("doc_id").distinct().orderBy(*order).limit(max_docs) for kind in (True, False)]
     rows = docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1]).distinct()), "doc_id")  # at most 2 * max_docs ids
 
     def make():
         def work(part: pa.RecordBatch) -> list:
-            out = []
+            out: list[list] = [[], [], [], [], []]
             for text in texts_of(part):
                 lines = _lines(text)
-                kind = file_class(sum(map(len, lines)), len(lines), sum(any(48 <= c <= 57 for c in w) for x in lines for w in x))
-                out.append([{"file": kind, "keys": ["\t".join(word_key(w)) for w in words], "tags": tags} for words, tags in training_rows(text)])
-            return [out]
+                found = training_rows(text, VARIANTS)
+                keys: dict[tuple, int] = {}
+                ids = [keys.setdefault(word_key(w), len(keys)) for words, _ in found for w in words]
+                made = (
+                    file_class(sum(map(len, lines)), len(lines), sum(any(48 <= c <= 57 for c in w) for x in lines for w in x)),
+                    ["\t".join(k) for k in keys], np.array(ids, "<u4").tobytes(), bytes(t for _, tags in found for t in tags), bytes(len(tags) for _, tags in found),
+                )
+                for column, x in zip(out, made, strict=True):
+                    column.append(x)
+            return out
 
         return work
 
-    row = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("tags", T.ArrayType(T.IntegerType()))])
-    got = with_columns(rows, make, [T.StructField("rows", T.ArrayType(row))], keep=["doc_id"]).dropDuplicates(["doc_id"]).orderBy("doc_id").limit(2 * max_docs).collect()
-    found = [r for x in got for r in x["rows"]]
-    if not any(any(r["tags"]) for r in found):
-        return None
-    keys = sorted({tuple(k.split("\t")) for r in found for k in r["keys"]})
+    fields = [T.StructField("k_file", T.IntegerType()), T.StructField("k_keys", T.ArrayType(T.StringType())), *(T.StructField(c, T.BinaryType()) for c in ("k_ids", "k_tags", "k_sizes"))]
+    got = with_columns(rows, make, fields, keep=["doc_id"]).dropDuplicates(["doc_id"]).orderBy("doc_id").limit(2 * max_docs).collect()
+    keys = sorted({tuple(k.split("\t")) for r in got for k in r["k_keys"]})
     number = {k: i for i, k in enumerate(keys)}
-    tokens, tags = np.zeros((2, len(found), STEPS), np.int64)
-    for i, r in enumerate(found):
-        tokens[i, : len(r["keys"])] = [number[tuple(k.split("\t"))] for k in r["keys"]]
-        tags[i, : len(r["tags"])] = r["tags"]
-    return crf.fit(keys, tokens, np.array([r["file"] for r in found]), tags, np.array([len(r["keys"]) for r in found]), FILE_CLASSES)
+    sizes = np.concatenate([np.frombuffer(r["k_sizes"], np.uint8) for r in got] or [np.zeros(0, np.uint8)]).astype(np.int64)
+    tags = np.zeros((len(sizes), STEPS), np.int64)
+    if not any(any(r["k_tags"]) for r in got):
+        return None
+    tokens, there = np.zeros_like(tags), np.arange(STEPS) < sizes[:, None]
+    tokens[there] = np.concatenate([np.array([number[tuple(k.split("\t"))] for k in r["k_keys"]], np.int64)[np.frombuffer(r["k_ids"], "<u4")] for r in got if r["k_keys"]])
+    tags[there] = np.concatenate([np.frombuffer(r["k_tags"], np.uint8) for r in got])
+    files = np.repeat([r["k_file"] for r in got], [len(r["k_sizes"]) for r in got])
+    return crf.fit(keys, tokens, files, tags, sizes, FILE_CLASSES)
 
 
 class Tagger:

@@ -177,6 +177,27 @@ def test_secrets(spark, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_secrets_of_unseen_kinds_are_tagged(spark):
+    """Planted secrets that no base pattern fits and no training style makes; harmless tokens stay."""
+    rng = random.Random(5)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda n, chars=alnum: "".join(rng.choice(chars) for _ in range(n))
+    kinds = (lambda: "xoxb-" + some(11, "0123456789") + "-" + some(24), lambda: f"eyJ{some(20)}.{some(60)}.{some(43)}", lambda: "rk_live_" + some(24), lambda: "AIza" + some(35, alnum + "-_"), lambda: some(48, "0123456789ABCDEF"))
+    model = secrets.fit_secrets(spark.createDataFrame(secret_rows()[:120], "doc_id long, text string"))
+    tagger, hit = secrets.Tagger(model), 0
+    for i in range(300):
+        words = prose(rng, 60).split(" ")
+        value = kinds[i % len(kinds)]()
+        words.insert(rng.randrange(len(words)), rng.choice(("", "", "export X=", "api credential: ", "my pw is ")) + value)
+        text = " ".join(words).encode()
+        at = text.index(value.encode())
+        assert not any(a <= at < b for a, b, _ in secrets.base_spans(text))
+        hit += any(a < at + len(value) and b > at for a, b in tagger.spans([text])[0])
+    assert hit >= 270, hit
+    clean = [(prose(rng, 40) + " write to anna.fuchs7@mail.example.org or +49-30-1234567 on 2024-05-17, see https://site.org/a/b12 and IMG_204.png " + prose(rng, 20)).encode() for _ in range(200)]
+    assert sum(map(bool, tagger.spans(clean))) <= 10
+
+
 def test_secrets_are_masked(spark):
     rows = secret_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
