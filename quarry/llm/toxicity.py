@@ -1,16 +1,16 @@
 """Toxicity scores by a bidirectional gated recurrent network over character and word inputs.
 
 Every text is lowered and cut into words; runs of over LONGEST bytes (scripts without spaces) count as
-several that overlap by two characters, so that all of their trigrams are seen; all windows of WINDOW words that start STEP words apart
-are scored, so neighbours overlap by half and each word of a text is scored. A document's score is
-a logistic function of its highest window logit and its windows' mean probability, fitted on the
-training documents.
+several that overlap by two characters, so that all of their trigrams are seen. All windows of WINDOW
+words that start STEP words apart are scored, so neighbours overlap by half and each word of a text
+is scored, but for the edges in two contexts. A document's score is a logistic function of its highest
+window logit and its windows' mean probability, fitted on the whole training documents.
 
 A word's inputs: how much more often it occurs in toxic training documents than in others (shrunk
 log-odds), the same of its character trigrams (highest and mean), and learned embeddings of the
 word and of its trigrams. Learning uses the text and ``toxic`` label alone, of labelled documents
 whose crc32(doc_id as text) mod 5 is not 0, at most MAX_DOCS of either label (smallest hashes of
-their id), with at most DOC_WINDOWS windows spread over a text.
+their id). That is the only bound: their whole texts are counted and all their windows take part.
 
 Null or wordless text: scored as a document without windows, from the share of toxic training
 documents. Without training documents of both labels every score is 0. Labels that disagree for an
@@ -36,7 +36,6 @@ from .texts import texts_of, with_columns
 WINDOW, STEP = 32, 16
 LONGEST = 64  # bytes of a token
 MAX_DOCS = 2_000
-DOC_WINDOWS = 48
 WORDS, CHARS, WIDTH = 4096, 1024, 4  # rows and numbers of the embeddings
 FIXED = 3  # features besides embeddings
 REMEMBERED = 300_000  # words whose inputs a worker keeps
@@ -128,17 +127,6 @@ class Scorer:
             got = list(map(self.row.__getitem__, words))
         return np.array(got, np.int64)
 
-    def logits(self, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of windows at ``starts`` in the words ``rows``, cut off at their texts' ``ends``."""
-        out = np.zeros(len(starts), np.float32)
-        table = np.concatenate([self.table, np.zeros((1, self.table.shape[1]), np.float32)])
-        for k in range(0, len(starts), gru.BLOCK):
-            at = starts[None, k : k + gru.BLOCK] + np.arange(WINDOW)[:, None]
-            there = at < ends[None, k : k + gru.BLOCK]
-            x = table[np.where(there, rows[np.minimum(at, max(len(rows) - 1, 0))], 0)]
-            out[k : k + gru.BLOCK] = gru.forward(self.model.weights, x, there[..., None].astype(np.float32))[0]
-        return out
-
     def pooled(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(highest logit, mean probability, 1) of each text, and its number of windows."""
         words = [words_in(t) for t in texts]
@@ -186,71 +174,90 @@ def _odds(toxic: Counter, clean: Counter, a: int, b: int, least: int = 3, shrink
     return out
 
 
-def train(docs: list[tuple[int, list[list[bytes]]]], epochs: int = 4, batch: int = 256, seed: int = 7) -> Model | None:
-    """``docs``: (label, windows of words) of each training document, in a fixed order."""
+class _Lookup:
+    """Inputs of the training words, by number; the last number stands for no word."""
+
+    def __init__(self, model: Model, vocabulary: list[bytes]):
+        found = [model.inputs(w) for w in vocabulary]
+        self.fixed = np.array([x[:FIXED] for x in found] + [(0.0,) * FIXED], np.float32)
+        self.word = np.array([x[FIXED] for x in found] + [0], np.int64)
+        grams = [x[FIXED + 1 :] for x in found] + [(0,)]
+        self.size = np.array([len(g) for g in grams], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.grams = np.array([g for x in grams for g in x], np.int64)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words ``ids``: places of their trigrams' rows, whose each is, and its share of the mean."""
+        size = self.size[ids]
+        at = np.repeat(self.first[ids] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.grams[at], np.repeat(np.arange(len(ids)), size), np.repeat(1 / size, size).astype(np.float32)[:, None]
+
+
+def _window_weights(model: Model, windows: list[list[bytes]], toxic: bool) -> np.ndarray:
+    """How often each window of a document is learned from; they sum to 1.
+
+    A toxic document's label is right for its windows with the most telling words. Of others such
+    windows are half of what is learned, and all alike the other half.
+    """
+    telling = np.array([sum(sorted((model.words.get(w, 0.0) for w in x), reverse=True)[:3]) for x in windows])
+    weight = np.exp(telling - telling.max())
+    weight /= weight.sum()
+    return weight if toxic else 0.5 * weight + 0.5 / len(windows)
+
+
+def train(docs: list[tuple[int, list[bytes]]], epochs: int = 4, draws: int = 4, batch: int = 256, seed: int = 7) -> Model | None:
+    """``docs``: (label, words) of each training document, in a fixed order.
+
+    Words of whole documents are counted. A batch draws from all windows of all documents by their
+    weights, ``draws`` a document and epoch on average.
+    """
     labels = np.array([y for y, _ in docs])
     if len(set(labels.tolist())) < 2:
         return None
     counts = [[Counter(), Counter()] for _ in range(2)]
-    for y, windows in docs:
-        words = {w for x in windows for w in x}
-        counts[0][y].update(words)
-        counts[1][y].update({g for w in words for g in trigrams(w)})
+    for y, words in docs:
+        distinct = set(words)
+        counts[0][y].update(distinct)
+        counts[1][y].update({g for w in distinct for g in trigrams(w)})
     a, b = int(labels.sum()), int((1 - labels).sum())
     model = Model(_odds(counts[0][1], counts[0][0], a, b), _odds(counts[1][1], counts[1][0], a, b), gru.new(FIXED, WORDS, CHARS, WIDTH, seed), np.array([1.0, 0.0, 0.0]), a / len(docs))
+    number = {w: i for i, w in enumerate(sorted({w for _, x in docs for w in x}))}
+    look, none = _Lookup(model, list(number)), len(number)
+    places, target, weight = [], [], []
+    for y, words in docs:
+        windows = [words[s : s + WINDOW] for s in window_starts(len(words))]
+        if windows:
+            ids = np.array([number[w] for w in words] + [none] * WINDOW, np.int64)
+            places.append(np.stack([np.where(np.arange(WINDOW) < len(words) - s, ids[s : s + WINDOW], none) for s in window_starts(len(words))]))
+            target.append(np.full(len(windows), y, np.float32))
+            weight.append(_window_weights(model, windows, bool(y)) * (0.5 / a if y else 0.5 / b))
+    if not places:
+        return model
+    places, target, weight = np.concatenate(places), np.concatenate(target), np.concatenate(weight)
     rng = np.random.default_rng(seed)
-    # Windows to learn from: of toxic documents those with the most telling words (weak labels are
-    # right there most often), of others the same and as many at random.
-    chosen: list[tuple[int, list[bytes]]] = []
-    for y, windows in docs:
-        rated = sorted(range(len(windows)), key=lambda i: -sum(sorted((model.words.get(w, 0.0) for w in windows[i]), reverse=True)[:3]))
-        pick = rated[: max(1, len(rated) // 4) if y else 2]
-        if not y and len(rated) > 2:
-            pick += rng.choice(rated[2:], min(2, len(rated) - 2), replace=False).tolist()
-        chosen += [(y, windows[i]) for i in pick[:6]]
-    inputs: dict[bytes, tuple] = {}
-    n = len(chosen)
-    y = np.array([c for c, _ in chosen], np.float32)
-    balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
     adam = gru.Adam(model.weights, 0.01)
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for k in range(0, n, batch):
-            rows = order[k : k + batch]
-            x = np.zeros((WINDOW, len(rows), FIXED + 2 * WIDTH), np.float32)
-            there = np.zeros((WINDOW, len(rows), 1), np.float32)
-            at, grams = [], []
-            for j, i in enumerate(rows):
-                for t, word in enumerate(chosen[i][1]):
-                    got = inputs.get(word)
-                    if got is None:
-                        got = inputs[word] = model.inputs(word)
-                    x[t, j, :FIXED] = got[:FIXED]
-                    there[t, j] = 1
-                    at.append((t, j, got[FIXED]))
-                    grams += [(len(at) - 1, g, 1 / (len(got) - FIXED - 1)) for g in got[FIXED + 1 :]]
-            at, grams = np.array(at), np.array(grams)
-            own, gram, share = grams[:, 0].astype(int), grams[:, 1].astype(int), grams[:, 2:].astype(np.float32)
-            x[at[:, 0], at[:, 1], FIXED : FIXED + WIDTH] = model.weights["words"][at[:, 2]]
-            mean = np.zeros((len(at), WIDTH), np.float32)
-            np.add.at(mean, own, model.weights["chars"][gram] * share)
-            x[at[:, 0], at[:, 1], FIXED + WIDTH :] = mean
-            logit, saved = gru.forward(model.weights, x, there, keep=True)
-            g = ((1 / (1 + np.exp(-logit)) - y[rows]) * balance[rows] / len(rows)).astype(np.float32)
-            grads, dx = gru.backward(model.weights, saved, g)
-            dx = dx[at[:, 0], at[:, 1]]
-            grads["words"], grads["chars"] = np.zeros_like(model.weights["words"]), np.zeros_like(model.weights["chars"])
-            np.add.at(grads["words"], at[:, 2], dx[:, FIXED : FIXED + WIDTH])
-            np.add.at(grads["chars"], gram, dx[own, FIXED + WIDTH :] * share)
-            adam.update(grads)
+    for _ in range(epochs * max(1, draws * len(docs) // batch)):
+        rows = rng.choice(len(places), batch, p=weight / weight.sum())
+        used, at = np.unique(places[rows].T, return_inverse=True)
+        at = at.reshape(WINDOW, batch)
+        gram, own, share = look.of(used)
+        mean = np.zeros((len(used), WIDTH), np.float32)
+        np.add.at(mean, own, model.weights["chars"][gram] * share)
+        there = (used != none)[at][..., None].astype(np.float32)
+        x = np.concatenate([look.fixed[used], model.weights["words"][look.word[used]], mean], 1)[at] * there
+        logit, saved = gru.forward(model.weights, x, there, keep=True)
+        g = ((1 / (1 + np.exp(-logit)) - target[rows]) / batch).astype(np.float32)
+        grads, dx = gru.backward(model.weights, saved, g)
+        dx = (dx * there).reshape(-1, dx.shape[2])
+        order = np.argsort(at, axis=None, kind="stable")
+        dx = np.add.reduceat(dx[order], np.searchsorted(at.ravel()[order], np.arange(len(used))))
+        grads["words"], grads["chars"] = np.zeros_like(model.weights["words"]), np.zeros_like(model.weights["chars"])
+        np.add.at(grads["words"], look.word[used], dx[:, FIXED : FIXED + WIDTH])
+        np.add.at(grads["chars"], gram, dx[own, FIXED + WIDTH :] * share)
+        adam.update(grads)
     scorer = Scorer(model)
-    pooled = []
-    for _, windows in docs:
-        words = [w for x in windows for w in x]
-        ends = np.cumsum([len(x) for x in windows])
-        logits = scorer.logits(scorer.rows_of(words), ends - [len(x) for x in windows], ends) if windows else np.zeros(0)
-        pooled.append((logits.max(), (1 / (1 + np.exp(-logits))).mean(), 1.0) if len(logits) else (0.0, 0.0, 1.0))
-    x, w = np.array(pooled), np.zeros(3)
+    x, w = np.concatenate([scorer.pooled([b" ".join(words)])[0] for _, words in docs]), np.zeros(3)
+    x[:, 2] = 1.0
     for _ in range(50):  # Newton's steps of a ridged logistic regression
         p = 1 / (1 + np.exp(-(x @ w)))
         grad = x.T @ (p - labels) + 0.5 * w * [1, 1, 0]
@@ -267,20 +274,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * max_docs ids
 
     def make():
-        def work(part: pa.RecordBatch) -> list:
-            out = []
-            for text in texts_of(part):
-                words = words_in(text)
-                starts = list(window_starts(len(words)))
-                if len(starts) > DOC_WINDOWS:
-                    starts = [starts[i * len(starts) // DOC_WINDOWS] for i in range(DOC_WINDOWS)]
-                out.append([b" ".join(words[s : s + WINDOW]) for s in starts])
-            return [out]
-
-        return work
+        return lambda part: [[b" ".join(words_in(t)) for t in texts_of(part)]]
 
-    got = with_columns(rows, make, [T.StructField("windows", T.ArrayType(T.BinaryType()))], keep=["doc_id", "k_y"]).dropDuplicates(["doc_id"]).orderBy("doc_id").limit(2 * max_docs).collect()
-    return train([(int(r["k_y"] > 0), [bytes(x).split(b" ") for x in r["windows"]]) for r in got])
+    got = with_columns(rows, make, [T.StructField("k_words", T.BinaryType())], keep=["doc_id", "k_y"]).dropDuplicates(["doc_id"]).orderBy("doc_id").limit(2 * max_docs).collect()
+    return train([(int(r["k_y"] > 0), bytes(r["k_words"]).split()) for r in got])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame | None, model: Model | None = None) -> DataFrame:

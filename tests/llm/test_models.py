@@ -112,6 +112,44 @@ def test_toxicity_odd_cases(docs, none, labels, texts):
     assert toxicity.score_toxicity(none, labels).count() == 0
 
 
+def planted_toxic(rng, n):
+    """(label, words) of n documents; toxic ones hold a few made-up words at random places."""
+    out = []
+    for i in range(n):
+        words = toxicity.words_in(prose(rng, rng.randint(20, 400)).encode())
+        for _ in range(rng.randint(2, 6) if i % 4 == 0 else 0):
+            words.insert(rng.randrange(len(words)), rng.choice([b"grobnix", b"zlorf", b"vexling"]))
+        out.append((int(i % 4 == 0), words))
+    return out
+
+
+def test_scorer_equals_forward_and_every_start():
+    """The block-wise scorer gives forward()'s logits; scoring windows at every word changes few verdicts."""
+    rng = random.Random(3)
+    model = toxicity.train(planted_toxic(rng, 600))
+    scorer, same, right = toxicity.Scorer(model), 0, 0
+    held = planted_toxic(rng, 160) + [(0, toxicity.words_in(prose(rng, n).encode())) for n in (1, 15, 16, 17, 31, 32, 33, 47, 48, 49, 64, 1000)]
+    for label, words in held:
+        rows = scorer.rows_of(words)
+
+        def logits(starts):
+            at = np.array(list(starts))[None] + np.arange(toxicity.WINDOW)[:, None]
+            there = at < len(words)
+            x = scorer.table[np.where(there, rows[np.minimum(at, len(words) - 1)], 0)]
+            return gru.forward(model.weights, x, there[..., None].astype(np.float32))[0]
+
+        def pooled(x):
+            return np.array([x.max(), (1 / (1 + np.exp(-x.astype(np.float64)))).mean(), 1.0])
+
+        got = scorer.pooled([b" ".join(words)])[0][0]
+        assert np.allclose(got, pooled(logits(toxicity.window_starts(len(words)))), atol=2e-5)
+        every = 1 / (1 + np.exp(-pooled(logits(range(max(1, len(words) - toxicity.WINDOW + 1)))) @ model.final))
+        mine = 1 / (1 + np.exp(-got @ model.final))
+        same += (every >= 0.5) == (mine >= 0.5)
+        right += (mine >= 0.5) == label
+    assert same >= 0.97 * len(held) and right >= 0.95 * len(held), (same, right, len(held))
+
+
 @pytest.mark.parametrize("n", [0, 1, 16, 31, 32, 33, 48, 49, 200])
 def test_windows_cover_all_words(n):
     seen = {j for s in toxicity.window_starts(n) for j in range(s, min(n, s + toxicity.WINDOW))}
