@@ -3,10 +3,11 @@
 A window is WINDOW consecutive words. Every window has an anchor: its k-gram of smallest hash, so
 equal windows have equal anchors. Anchors that occur twice or more are counted over all documents;
 only their windows can repeat. All windows of an anchor go to the reference shard of the anchor's
-first document: the suffix automaton of that document's own such passages. Documents are streamed
-through it for matching statistics, and windows that it has seen earlier are removed. Windows
-that repeat but not in that document (variants that share an anchor) are settled by grouping them by
-a 128-bit hash. Both steps compare a window with its earliest occurrence, so nothing is lost.
+first occurrence: the suffix automaton of such passages in one stretch of CHUNK words of a document,
+so that an automaton is bounded however long a text is. Documents are streamed through it for
+matching statistics, and windows that it has seen earlier are removed. Windows that repeat but not
+in that stretch (variants that share an anchor) are settled by grouping them by a 128-bit hash; the
+README gives their share. Both steps compare a window with its earliest occurrence, so nothing is lost.
 
 Automata are routed by anchor instead of being broadcast: the reference is the corpus itself, so no
 bound on it can be proven. A shard that very many documents ask is copied to several tasks, each
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,8 @@ from .texts import BATCH_ROWS, covered, rolled, texts_of, window_starts, with_co
 
 WINDOW = 20
 GRAM = 6  # words of an anchor
+CHUNK = 1 << 16  # words of a document in one reference shard
+MOST_BUSY = 1_000_000  # busy shards whose list is broadcast
 ASKED = 512  # segments that one copy of a shard is asked about, about
 LEAST = -(2**63)
 
@@ -91,18 +94,25 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return each.select("k_doc", "k_row", F.explode(F.arrays_zip("k_h", "k_p")).alias("a")).select("k_doc", "k_row", F.col("a.k_h").alias("h"), F.col("a.k_p").alias("p"))
 
 
-_SEGMENTS = T.ArrayType(T.StructType([T.StructField("shard", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("asked", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType())]))
+_SEGMENTS = T.ArrayType(T.StructType([T.StructField("shard", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("asked", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType())]))
 
 
-def _segments(words: list[bytes], at: np.ndarray, shards: np.ndarray, window: int) -> list[dict]:
-    """Maximal runs of words under windows ``at`` of the same shard, with those windows."""
+def _place(p: Column) -> Column:
+    """The order of a stretch of words: by k_doc, k_row and CHUNK, as one number."""
+    number = lambda x: F.lit(str(x)).cast("decimal(20,0)")
+    document = (F.col("k_doc").cast("decimal(20,0)") + number(2**63)) * number(2**32) + F.col("k_row").cast("decimal(20,0)") + number(2**31)
+    return (document * F.lit(2**24).cast("decimal(8,0)") + F.floor(p / CHUNK).cast("decimal(8,0)")).cast("decimal(38,0)")
+
+
+def _segments(words: list[bytes], at: np.ndarray, shards: np.ndarray, query: np.ndarray, window: int) -> list[dict]:
+    """Maximal runs of words under windows ``at`` of the same shard and part in it, with those windows."""
     out = []
-    for shard in np.unique(shards):
-        own = at[shards == shard]
+    for shard, asks in sorted(set(zip(shards.tolist(), query.tolist(), strict=True))):
+        own = at[(shards == shard) & (query == asks)]
         cut = np.flatnonzero(np.diff(own) > window) + 1
         for run in np.split(own, cut):
             a, b = int(run[0]), int(run[-1]) + window
-            out.append({"shard": int(shard), "start": a, "asked": (run - a).tolist(), "words": b" ".join(words[a:b])})
+            out.append({"shard": shard, "query": asks, "start": a, "asked": (run - a).tolist(), "words": b" ".join(words[a:b])})
     return out
 
 
@@ -176,9 +186,10 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_removed", "kept")]
     rows = docs.withColumns({"k_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "k_row": F.hash(F.coalesce(F.col("text"), F.lit("")))})
     anchors = _anchor_rows(rows.select("k_doc", "k_row", "text"), window, gram)
-    again = anchors.groupBy("h").agg(F.min("k_doc").alias("shard"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = anchors.groupBy("h").agg(F.min(_place(F.col("p"))).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = written(again, "repeated-anchors")
-    asked = anchors.join(again, "h").groupBy("k_doc", "k_row").agg(F.sort_array(F.collect_set(F.struct("p", "shard"))).alias("k_a"))  # as many as its anchors
+    part = F.struct("p", F.xxhash64("first").alias("shard"), (F.col("first") != _place(F.col("p"))).alias("query"))
+    asked = anchors.join(again, "h").groupBy("k_doc", "k_row").agg(F.sort_array(F.collect_set(part)).alias("k_a"))  # as many as its anchors
     asked = written(asked, "asked-anchors")
 
     def finish(words: list[bytes], cut: np.ndarray | None) -> tuple[int, int, str]:
@@ -199,11 +210,11 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
             done = [None if pairs else finish(t.split(), None) for t, pairs in zip(texts, lists, strict=True)]
             for j, i in enumerate(asked_):
                 own = words[starts[j] : starts[j + 1]]
-                p, s = np.array([x["p"] for x in lists[i]]), np.array([x["shard"] for x in lists[i]], np.int64)
+                p, s, q = np.array([x["p"] for x in lists[i]]), np.array([x["shard"] for x in lists[i]], np.int64), np.array([x["query"] for x in lists[i]], bool)
                 mine, anchor = at[first[j] : first[j + 1]] - starts[j], places[first[j] : first[j + 1]] - starts[j]
                 k = np.minimum(np.searchsorted(p, anchor), len(p) - 1)
                 hit = p[k] == anchor
-                segments[i] = _segments(own, mine[hit], s[k[hit]], window)
+                segments[i] = _segments(own, mine[hit], s[k[hit]], q[k[hit]], window)
                 done[i] = (len(own), None, None)
             left = [None if s is None else t.decode() for s, t in zip(segments, texts, strict=True)]
             return [left, segments, *([d[j] for d in done] for j in range(3))]
@@ -213,9 +224,9 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
     done = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     fields = [T.StructField("k_text", T.StringType()), T.StructField("k_segments", _SEGMENTS), *done]
     found = written(with_columns(rows.join(asked, ["k_doc", "k_row"], "left"), find, fields, keep=[*keep, "k_doc", "k_row"]), "segments")
-    parts = found.select("k_doc", "k_row", F.explode("k_segments").alias("s")).select("k_doc", "k_row", "s.*").withColumn("query", F.col("k_doc") != F.col("shard"))
-    busy = parts.groupBy("shard").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("copies")).where("copies > 1")
-    parts = parts.join(busy, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    parts = found.select("k_doc", "k_row", F.explode("k_segments").alias("s")).select("k_doc", "k_row", "s.*")
+    busy = written(parts.groupBy("shard").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("copies")).where("copies > 1"), "busy-shards")
+    parts = parts.join(F.broadcast(busy) if busy.count() <= MOST_BUSY else busy, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     one = F.pmod(F.xxhash64("k_doc", "k_row", "start"), F.col("copies")).cast("int")
     parts = parts.withColumn("copy", F.explode(F.when(F.col("query"), F.array(one)).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))))
     batch_rows(spark, BATCH_ROWS)

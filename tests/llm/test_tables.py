@@ -201,6 +201,35 @@ def test_substring_dedup(docs, none, texts):
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_long_texts_and_null_ids(spark, monkeypatch):
+    """Texts over many shards, passages that repeat within and across them, and rows without an id."""
+    import random
+
+    from .conftest import prose
+
+    monkeypatch.setattr(substring, "CHUNK", 64)
+    monkeypatch.setattr(substring, "ASKED", 4)
+    rng = random.Random(4)
+    passages = [prose(rng, rng.randint(25, 150)) for _ in range(6)]
+    rows = [(i if i % 3 else None, " ".join(x for _ in range(rng.randint(1, 6)) for x in (prose(rng, rng.randint(5, 90)), rng.choice(passages)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = {(r["i"], r["t"]): (r["i"], r["h"]) for r in docs.selectExpr("coalesce(doc_id, -9223372036854775808L) i", "text t", "hash(text) h").collect()}
+    seen, want = set(), {}
+    for i, t in sorted(order, key=order.get):
+        words = t.encode().split()
+        cut = [False] * len(words)
+        for s in range(len(words) - 19):
+            key = tuple(words[s : s + 20])
+            if key in seen:
+                cut[s : s + 20] = [True] * 20
+            seen.add(key)
+        want[i, t] = b" ".join(w for w, c in zip(words, cut, strict=True) if not c).decode()
+    found = substring.remove_repeats(docs).collect()
+    assert len(found) == 60 and sum(r["n_removed"] for r in found) > 2000
+    for r in found:
+        assert r["kept"] == want[SMALL if r["doc_id"] is None else r["doc_id"], r["text"]]
+
+
 def test_suffix_automaton_statistics():
     import random
 
