@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import utf16_length, windows_1252
+from .scalars import windows_1252
 
 
 def encoding(content: Column) -> Column:
@@ -32,33 +32,42 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, "^\ufeff", "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, wherever the expression stands."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _units(text: Column) -> Column:
+    """UTF-16 units: characters, and one more for each beyond the basic plane."""
+    return (F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))).cast("long")
+
+
 def text_stats(content: Column) -> Column:
     """A struct of a text file's statistics; null for an empty file."""
-    text = decoded(content)
-    plain = F.regexp_replace(text, r"\r\n?", "\n")
-    lines = F.split(plain, "\n")
-    endings = (
-        F.when(F.contains(text, F.lit("\r\n")), "CRLF (Windows)").when(F.contains(text, F.lit("\r")), "CR (Classic Mac)")
-        .when(F.contains(text, F.lit("\n")), "LF (Unix/macOS)").otherwise("None (single line)")
-    )
     latin = F.decode(content, "ISO-8859-1")
-    wide = F.length(F.regexp_replace(latin, r"[\x00-\x7F]", "")).cast("long")
+    wide = F.regexp_count(latin, F.lit(r"[^\x00-\x7F]")).cast("long")
     nulls = F.contains(F.decode(F.substring(content, 1, 8192), "ISO-8859-1"), F.lit("\0"))
-    return F.when(
-        F.octet_length(content) > 0,
-        F.struct(
+
+    def stats(text: Column, plain: Column, lines: Column, units: Column, wide: Column) -> Column:
+        endings = (
+            F.when(F.contains(text, F.lit("\r\n")), "CRLF (Windows)").when(F.contains(text, F.lit("\r")), "CR (Classic Mac)")
+            .when(F.contains(text, F.lit("\n")), "LF (Unix/macOS)").otherwise("None (single line)")
+        )
+        return F.struct(
             encoding(content).alias("encoding"),
             bom(content).alias("bom"),
             endings.alias("lineEndings"),
             F.size(lines).cast("long").alias("lineCount"),
-            F.size(F.filter(F.split(plain, r"(?U)\s+"), lambda w: w != "")).cast("long").alias("wordCount"),
-            utf16_length(plain).alias("charCount"),
-            utf16_length(F.regexp_replace(plain, r"(?U)\s", "")).alias("charCountNoSpaces"),
+            F.regexp_count(plain, F.lit(r"(?U)\S+")).cast("long").alias("wordCount"),
+            units.alias("charCount"),
+            (units - F.regexp_count(plain, F.lit(r"(?U)\s"))).alias("charCountNoSpaces"),
             F.when(wide > 0, wide).alias("nonAsciiBytes"),
             F.when(wide > 0, F.format_string("%.1f%%", wide / F.octet_length(content) * 100)).alias("nonAsciiPercent"),
             F.endswith(plain, F.lit("\n")).alias("endsWithNewline"),
-            F.array_max(F.transform(lines, utf16_length)).alias("longestLine"),
+            F.when(units == F.length(plain), F.array_max(F.transform(lines, F.length)).cast("long")).otherwise(F.array_max(F.transform(lines, _units))).alias("longestLine"),
             F.when(nulls, True).alias("containsNullBytes"),
             F.when(nulls, True).alias("possiblyBinary"),
-        ),
-    )
+        )
+
+    of_plain = lambda text: _let(F.regexp_replace(text, r"\r\n?", "\n"), lambda plain: _let(F.split(plain, "\n"), lambda lines: _let(_units(plain), lambda units: _let(wide, lambda n: stats(text, plain, lines, units, n)))))
+    return F.when(F.octet_length(content) > 0, _let(decoded(content), of_plain))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import headers as h
 from ..functions import tags
 from ..functions.scalars import clock, decimal_degrees, filetime, hours_minutes, mac_date, minutes_clock, windows_1252
+from ..sources.chunks import WALKERS
 
 
 def json_value(x: Column) -> Column:
@@ -84,7 +85,7 @@ def _ticks(value: Column) -> Column:
 
 
 def _one(name: Column, value: Column) -> Column:
-    return F.array(F.struct(name.alias("name"), value.alias("value")))
+    return F.array(F.struct(F.col("seq").alias("seq"), name.alias("name"), value.alias("value")))
 
 
 def _coded() -> Column:
@@ -170,7 +171,12 @@ def _fields(kind: str) -> dict[str, Column]:
     raise KeyError(kind)
 
 
-KINDS = ("IHDR", "gAMA", "cHRM", "sRGB", "iCCP", "pHYs", "head:gif", "frames", "fmt ", "flac:0", "flac:6", "id3:APIC", "ogg:vorbis", "ogg:opus", "COMM", "id3", "mpeg", "id3v1", "ftyp", "mvhd", "ispe", "head:psd", "8bim:03ed", "8bim:040f")
+#: Parts of several fields, by the walker that yields them.
+KINDS_OF = {
+    "png": ("IHDR", "gAMA", "cHRM", "sRGB", "iCCP", "pHYs"), "gif": ("head:gif", "frames"), "wav": ("fmt ",), "aiff": ("COMM",),
+    "flac": ("flac:0", "flac:6"), "ogg": ("ogg:vorbis", "ogg:opus"), "mp3": ("id3", "id3:APIC", "mpeg", "id3v1"),
+    "boxes": ("ftyp", "mvhd", "ispe"), "psd": ("head:psd", "8bim:03ed", "8bim:040f"), "exif": (), "ole2": (),
+}
 
 
 def _png_text() -> Column:
@@ -181,65 +187,91 @@ def _png_text() -> Column:
     return _one(F.concat(F.lit("PNG:"), F.substring_index(latin, "\0", 1)), json_value(F.when(F.col("kind") == "iTXt", wide).otherwise(plain)))
 
 
-def single(parts: DataFrame, key: str = "id") -> DataFrame:
-    """Entries (key, seq, name, value as JSON) that one part alone gives; one pass over the parts."""
-    kind = F.when(F.col("kind") == "head", F.when(F.substring("data", 1, 4) == F.lit(b"8BPS"), "head:psd").otherwise("head:gif")).otherwise(F.col("kind"))
-    names = dictionary(parts.sparkSession).withColumnRenamed("key", "k_name")
-    rows = parts.join(F.broadcast(names), "kind", "left").withColumn("k_kind", kind)  # a fixed table
+def _named(values: dict[str, Column], seq: Column) -> Column:
+    """Entries (seq, name, value as JSON) of several fields."""
+    return F.array(*(F.struct(seq.alias("seq"), F.lit(n).alias("name"), json_value(v).alias("value")) for n, v in values.items()))
+
+
+def _own_entries(kinds: list[str]) -> Column:
+    """The entries that a part alone gives, or null."""
     found = F.when(F.col("form").isNotNull(), _coded()).when(F.col("kind").isin("tEXt", "iTXt") & F.contains(F.decode("data", "ISO-8859-1"), F.lit("\0")), _png_text())
-    for k in KINDS:
-        found = found.when(F.col("k_kind") == k, F.array(*(F.struct(F.lit(n).alias("name"), json_value(v).alias("value")) for n, v in _fields(k).items())))
-    return rows.select(key, "seq", F.explode(found).alias("e")).select(key, "seq", "e.name", "e.value")
+    for k in kinds:
+        found = found.when(F.col("k_kind") == k, _named(_fields(k), F.col("seq")))
+    return found
+
+
+TOGETHER = ("gps:0001", "gps:0002", "gps:0003", "gps:0004", "trak", "tkhd", "hdlr", "stsd", "fmt ", "data")
+
 
+def _first(kind: str, among: Column = None) -> Column:
+    """The data of the first part of a kind, null without one."""
+    return F.try_element_at(F.filter(F.col("k_parts") if among is None else among, lambda x: x["kind"] == kind), F.lit(1))["data"]
 
-def gps_entries(parts: DataFrame, key: str = "id") -> DataFrame:
+
+def _place() -> Column:
     """Latitude and longitude in degrees, from their four tags."""
-    rows = parts.where(F.col("kind").isin("gps:0001", "gps:0002", "gps:0003", "gps:0004"))
-    d = F.col("data")
-    degree = lambda i: _exif_number(d, F.lit(i), F.lit(5))
-    pick = lambda k, x: F.max(F.when(F.col("kind") == k, x))
-    ref = F.decode(F.substring(d, 7, 1), "ISO-8859-1")
-    place = F.struct(degree(0).alias("d"), degree(1).alias("m"), degree(2).alias("s"))
-    per_file = rows.groupBy(key).agg(F.min("seq").alias("seq"), pick("gps:0001", ref).alias("ns"), pick("gps:0002", place).alias("lat"), pick("gps:0003", ref).alias("ew"), pick("gps:0004", place).alias("lon"))
-    values = F.array(*(F.struct(F.lit(n).alias("name"), json_value(decimal_degrees(F.col(f"{c}.d"), F.col(f"{c}.m"), F.col(f"{c}.s"), F.col(r))).alias("value")) for n, c, r in (("GPSLatitude", "lat", "ns"), ("GPSLongitude", "lon", "ew"))))
-    return per_file.select(key, "seq", F.explode(values).alias("e")).select(key, "seq", "e.name", "e.value")
-
-
-def track_entries(parts: DataFrame, key: str = "id") -> DataFrame:
-    """Tracks of a film: count, picture size, rotation and codecs."""
-    d, kind = F.col("data"), F.col("kind")
-    rows = parts.where(kind.isin("trak", "tkhd", "hdlr", "stsd"))
-    from pyspark.sql import Window as W
-
-    rows = rows.withColumn("track", F.sum((kind == "trak").cast("int")).over(W.partitionBy(key).orderBy("seq"))).where("track > 0")  # a file's boxes
-    shift = F.when(h.big(d, 0, 1) == 1, 12).otherwise(0)
-    at = lambda n: h.big(d, shift + n)
-    turn = F.round(F.degrees(F.atan2(h.signed(at(44)).cast("double"), h.signed(at(40)).cast("double")))).cast("long")
-    of = lambda k, x: F.max(F.when(kind == k, x))
-    four = lambda n: F.nullif(F.trim(F.decode(F.substring(d, n + 1, 4), "ISO-8859-1")), F.lit(""))
-    tracks = rows.groupBy(key, "track").agg(F.min("seq").alias("seq"), of("hdlr", four(8)).alias("type"), of("stsd", four(12)).alias("codec"), of("tkhd", F.round(at(76) / 65536).cast("long")).alias("w"), of("tkhd", F.round(at(80) / 65536).cast("long")).alias("h"), of("tkhd", turn).alias("turn"))
-    of_type = lambda t, x: F.max_by(x, F.when((F.col("type") == t) & x.isNotNull(), F.col("track")))
-    c = F.col
-    films = tracks.groupBy(key).agg(F.max("seq").alias("seq"), F.count("*").alias("TrackCount"), of_type("vide", F.nullif(c("w"), F.lit(0))).alias("Width"), of_type("vide", F.nullif(c("h"), F.lit(0))).alias("Height"), of_type("vide", F.when(c("turn") != 0, F.concat(c("turn").cast("string"), F.lit("°")))).alias("Rotation"), of_type("vide", c("codec")).alias("VideoCodec"), of_type("soun", c("codec")).alias("AudioCodec"))
-    values = F.array(*(F.struct(F.lit(n).alias("name"), json_value(c(n)).alias("value")) for n in ("TrackCount", "Width", "Height", "Rotation", "VideoCodec", "AudioCodec")))
-    return films.select(key, "seq", F.explode(values).alias("e")).select(key, "seq", "e.name", "e.value")
-
-
-def wav_length(parts: DataFrame, key: str = "id") -> DataFrame:
+    seq = F.array_min(F.transform(F.filter("k_parts", lambda x: x["kind"].startswith("gps:")), lambda x: x["seq"]))
+    degree = lambda d, i: _exif_number(d, F.lit(i), F.lit(5))
+    values = {}
+    for name, at, of in (("GPSLatitude", "gps:0002", "gps:0001"), ("GPSLongitude", "gps:0004", "gps:0003")):
+        d = _first(at)
+        values[name] = decimal_degrees(degree(d, 0), degree(d, 1), degree(d, 2), F.decode(F.substring(_first(of), 7, 1), "ISO-8859-1"))
+    return F.when(seq.isNotNull(), _named(values, seq))
+
+
+def _tracks() -> Column:
+    """Each track of a film: seq, type, codec, w, h and turn; the boxes between its start and the next one's."""
+    starts = F.transform(F.filter("k_parts", lambda x: x["kind"] == "trak"), lambda x: x["seq"])
+    shift = lambda d: F.when(h.big(d, 0, 1) == 1, 12).otherwise(0)
+    at = lambda d, n: h.big(d, shift(d) + n)
+    four = lambda d, n: F.nullif(F.trim(F.decode(F.substring(d, n + 1, 4), "ISO-8859-1")), F.lit(""))
+
+    def track(start: Column, i: Column) -> Column:
+        own = F.filter("k_parts", lambda x: (x["seq"] > start) & (x["seq"] < F.coalesce(F.get(starts, i + 1), F.lit(2**31 - 1))))
+        head = _first("tkhd", own)
+        turn = F.round(F.degrees(F.atan2(h.signed(at(head, 44)).cast("double"), h.signed(at(head, 40)).cast("double")))).cast("long")
+        return F.struct(start.alias("seq"), four(_first("hdlr", own), 8).alias("type"), four(_first("stsd", own), 12).alias("codec"), F.round(at(head, 76) / 65536).cast("long").alias("w"), F.round(at(head, 80) / 65536).cast("long").alias("h"), turn.alias("turn"))
+
+    return F.transform(starts, track)
+
+
+def _film() -> Column:
+    """Tracks of a film: count, picture size, rotation and codecs, each of the last track that has it."""
+    last = lambda kind, f: F.try_element_at(F.filter(F.transform(F.filter("k_tracks", lambda t: t["type"] == kind), f), lambda x: x.isNotNull()), F.lit(-1))
+    values = {
+        "TrackCount": F.size("k_tracks"), "Width": last("vide", lambda t: F.nullif(t["w"], F.lit(0))), "Height": last("vide", lambda t: F.nullif(t["h"], F.lit(0))),
+        "Rotation": last("vide", lambda t: F.when(t["turn"] != 0, F.concat(t["turn"].cast("string"), F.lit("°")))),
+        "VideoCodec": last("vide", lambda t: t["codec"]), "AudioCodec": last("soun", lambda t: t["codec"]),
+    }
+    return F.when(F.size("k_tracks") > 0, _named(values, F.array_max(F.transform("k_tracks", lambda t: t["seq"]))))
+
+
+def _wav_length() -> Column:
     """Duration of a WAV file: bytes of its data over bytes a second."""
-    d, kind = F.col("data"), F.col("kind")
-    rows = parts.where(kind.isin("fmt ", "data")).groupBy(key).agg(F.max("seq").alias("seq"), F.max(F.when(kind == "fmt ", h.little(d, 12))).alias("rate"), F.max(F.when(kind == "data", h.big(d, 0))).alias("n"))
-    seconds = F.col("n") / F.col("rate")
-    values = F.array(F.struct(F.lit("duration").alias("name"), json_value(minutes_clock(seconds)).alias("value")), F.struct(F.lit("durationSeconds").alias("name"), json_value(F.round(seconds, 2)).alias("value")))
-    return rows.where("rate > 0 and n is not null").select(key, "seq", F.explode(values).alias("e")).select(key, "seq", "e.name", "e.value")
+    rate, n = h.little(_first("fmt "), 12), h.big(_first("data"), 0)
+    seq = F.array_max(F.transform(F.filter("k_parts", lambda x: x["kind"].isin("fmt ", "data")), lambda x: x["seq"]))
+    return F.when((rate > 0) & n.isNotNull(), _named({"duration": minutes_clock(n / rate), "durationSeconds": F.round(n / rate, 2)}, seq))
+
+
+def entries(parts: DataFrame, key: str = "id", extensions: list[str] | None = None) -> DataFrame:
+    """key and k_entries of each file of ``sources.chunks.parts``: its entries (seq, name, value), sorted.
 
+    Where the files' ``extensions`` are known, only what these need is compiled.
 
-def entries(parts: DataFrame, key: str = "id") -> DataFrame:
-    """All entries (key, seq, name, value) of ``sources.chunks.parts``."""
-    found = single(parts, key)
-    for f in (gps_entries, track_entries, wav_length):
-        found = found.unionByName(f(parts, key))
-    return found.where("value is not null and value <> 'null'")
+    Files are walked once and their parts meet in one shuffle; what several parts say together is
+    read from the few parts that it needs.
+    """
+    walkers = {w.__name__ for e, w in WALKERS.items() if extensions is None or e in extensions}
+    kinds = [k for w, own in KINDS_OF.items() if w in walkers for k in own]
+    kind = F.when(F.col("kind") == "head", F.when(F.substring("data", 1, 4) == F.lit(b"8BPS"), "head:psd").otherwise("head:gif")).otherwise(F.col("kind"))
+    names = dictionary(parts.sparkSession).withColumnRenamed("key", "k_name")
+    rows = parts.join(F.broadcast(names), "kind", "left").withColumn("k_kind", kind)  # a fixed table
+    rows = rows.select(key, _own_entries(kinds).alias("k_own"), F.when(F.col("kind").isin(*TOGETHER), F.struct("seq", "kind", "data")).alias("k_part")).where("k_own is not null or k_part is not null")
+    files = rows.groupBy(key).agg(F.flatten(F.collect_list("k_own")).alias("k_own"), F.sort_array(F.collect_list("k_part")).alias("k_parts"))  # one file's parts
+    files = files.withColumn("k_tracks", _tracks())
+    none = F.array().cast("array<struct<seq:int,name:string,value:string>>")
+    every = F.concat("k_own", *(F.coalesce(x, none) for x in (_place(), _film(), _wav_length())))
+    return files.select(key, F.array_sort(F.filter(every, lambda e: e["value"].isNotNull() & (e["value"] != "null"))).alias("k_entries"))
 
 
 def gathered(found: DataFrame, key: str = "id") -> DataFrame:
@@ -248,12 +280,15 @@ def gathered(found: DataFrame, key: str = "id") -> DataFrame:
     Of a repeated name the first counts, but an ID3v1 tag, the last part of its file, replaces what
     ID3v2 frames said.
     """
-    last = F.col("name").isin("title", "artist", "album", "year", "comment", "track") & (F.col("seq") == F.col("k_last"))
-    from pyspark.sql import Window as W
-
-    rows = found.withColumn("k_last", F.max("seq").over(W.partitionBy(key)))
-    value = F.when(F.first("name") == "IptcKeywords", F.to_json(F.array(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: F.get_json_object(F.concat(F.lit("["), x["value"], F.lit("]")), "$[0]")), ", "))))
-    one = rows.groupBy(key, "name").agg(F.min("seq").alias("seq"), value.alias("joined"), F.min_by("value", "seq").alias("first"), F.max_by("value", F.when(last, F.col("seq"))).alias("late"))
-    text = F.coalesce(F.regexp_replace("joined", r"(?s)^\[|\]$", ""), F.col("late"), F.col("first"))
-    pairs = F.array_sort(F.collect_list(F.struct("seq", "name", text.alias("value"))))
-    return one.groupBy(key).agg(F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(json_value(p["name"]), F.lit(":"), p["value"])), ","), F.lit("}")).alias("deepMeta"))
+    e = F.col("k_entries")
+    last = F.element_at(e, -1)["seq"]
+
+    def pair(name: Column) -> Column:
+        own = F.filter(e, lambda x: x["name"] == name)
+        words = F.to_json(F.array(F.array_join(F.transform(own, lambda x: F.get_json_object(F.concat(F.lit("["), x["value"], F.lit("]")), "$[0]")), ", ")))
+        late = F.when(name.isin("title", "artist", "album", "year", "comment", "track"), F.try_element_at(F.filter(own, lambda x: x["seq"] == last), F.lit(-1))["value"])
+        value = F.when(name == "IptcKeywords", F.regexp_replace(words, r"(?s)^\[|\]$", "")).otherwise(F.coalesce(late, F.element_at(own, 1)["value"]))
+        return F.concat(json_value(name), F.lit(":"), value)
+
+    pairs = F.transform(F.array_distinct(F.transform(e, lambda x: x["name"])), pair)
+    return found.where(F.size(e) > 0).select(key, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("deepMeta"))
