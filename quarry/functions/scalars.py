@@ -147,6 +147,14 @@ def channels_shown(n: Column) -> Column:
     return F.when(n == 1, "Mono").when(n == 2, "Stereo").otherwise(F.concat(n.cast("string"), F.lit("ch")))
 
 
+def sample_rate_shown(rate: Column) -> Column:
+    return F.concat(rate.cast("string"), F.lit(" Hz"))
+
+
+def default_batch_name(day: Column) -> Column:
+    return F.concat(F.lit("batch-"), F.date_format(day, "yyyy-MM-dd"))
+
+
 def tidy_newlines(text: Column) -> Column:
     """Line feeds only, no blanks before them, at most one empty line, ends trimmed."""
     text = F.regexp_replace(text, r"\r\n?", "\n")

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def _last_of_each(rows: DataFrame, key: str, order: str | None) -> DataFrame:
-    """One row a key: the last by ``order``; any, where no order is named."""
-    by = F.col(order).desc() if order else F.lit(0)
-    return rows.withColumn("k_rank", F.row_number().over(W.partitionBy(key).orderBy(by))).where("k_rank = 1").drop("k_rank")
+def _last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key: the last by ``order``."""
+    return rows.withColumn("k_rank", F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))).where("k_rank = 1").drop("k_rank")
 
 
-def merge_records(existing: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+def merge_records(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     """Upsert by id: incoming rows win, but edits of existing ones stay.
 
     notes, description and referenceCode stay where incoming ones are null or empty;
@@ -84,7 +83,7 @@ def restore_bytes(records: DataFrame, cache: DataFrame) -> DataFrame:
 
 def resume(records: DataFrame, cache: DataFrame) -> DataFrame:
     """Incomplete records to process again: captured with content, or error where it is gone."""
-    rows = restore_bytes(records.where(F.col("_status").isin("captured", "processing")), cache)
+    rows = restore_bytes(incomplete(records), cache)
     lost = F.col("content").isNull()
     note = F.lit("Source file no longer cached; add it again to extract its metadata.")
     return rows.withColumns({"_status": F.when(lost, "error").otherwise("captured"), "notes": F.when(lost & (F.coalesce("notes", F.lit("")) == ""), note).otherwise(F.col("notes"))})
@@ -97,5 +96,20 @@ def update_cell(records: DataFrame, record_id: str, field: str, value: str) -> D
     return records.withColumn(field, F.when(F.col("id") == record_id, F.lit(value.strip())).otherwise(F.col(field)))
 
 
+def unpack_target(records: DataFrame, name: str) -> DataFrame:
+    """The first archive of a displayed name, by sequence; no row without one."""
+    return first_match(records.where(F.col("category") == "Archive"), "name", name)
+
+
+def first_match(records: DataFrame, field: str, value: str, order: str = "_seq") -> DataFrame:
+    """The first record by ``order`` whose field has a value. Displayed names may repeat; ids don't."""
+    return records.where(F.col(field) == value).orderBy(F.coalesce(order, F.lit(0)), "id").limit(1)
+
+
+def incomplete(records: DataFrame) -> DataFrame:
+    """Records that deep extraction hasn't finished."""
+    return records.where(F.col("_status").isin("captured", "processing"))
+
+
 def delete_record(records: DataFrame, record_id: str) -> DataFrame:
     return records.where(F.col("id") != record_id)

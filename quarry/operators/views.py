@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import action_flags
-from ..functions.scalars import format_bytes, format_date, preview
+from ..functions.scalars import channels_shown, format_bytes, format_date, humanised, preview, sample_rate_shown
 from ..functions.values import PAGE_ROWS, PREVIEW
 
 GRID = ("refCode", "name", "path", "category", "ext", "mime", "size", "modified", "created", "author", "title", "description", "level", "language", "extent", "source", "notes", "excerpt", "actions", "delete")
@@ -65,9 +65,36 @@ def details(records: DataFrame) -> DataFrame:
     return records.select("id", entries).where("value is not null").select("id", "key", cut.alias("value"))
 
 
+def sorted_details(records: DataFrame) -> DataFrame:
+    """id, position, key and value of each metadata entry, keys in order of their characters."""
+    meta = F.from_json("deepMeta", "map<string,string>")
+    pairs = F.array_sort(F.map_entries(F.map_filter(meta, lambda k, v: v.isNotNull())))
+    rows = records.select("id", F.posexplode(pairs).alias("position", "e"))
+    return rows.select("id", "position", F.col("e.key").alias("key"), preview(F.col("e.value"), "...").alias("value"))
+
+
+#: What the summary cards of sound and film show, in order.
+AUDIO_CARD = ("title", "artist", "album", "year", "genre", "track", "composer", "albumArtist", "duration", "bitrate", "sampleRate", "channels", "format", "encoder", "copyright", "bpm")
+VIDEO_CARD = ("Format", "Duration", "Width", "Height", "Rotation", "VideoCodec", "AudioCodec", "CreationDate", "MajorBrand", "TrackCount")
+
+
+def summary_card(records: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """id, position, label and value of the card's keys that a record has."""
+    value = lambda k: F.get_json_object("deepMeta", f"$['{k}']")
+    shown = {k: value(k) for k in keys} | {"sampleRate": sample_rate_shown(value("sampleRate")), "channels": channels_shown(value("channels").try_cast("long"))}
+    rows = F.array(*(F.struct(F.lit(i).alias("position"), humanised(F.lit(k)).alias("label"), shown[k].alias("value")) for i, k in enumerate(keys)))
+    return records.select("id", F.explode(F.filter(rows, lambda r: r["value"].isNotNull())).alias("r")).select("id", "r.*")
+
+
+def sort_grid(rows: DataFrame, column: str, descending: bool = False, *ties: str) -> DataFrame:
+    """Display rows ordered by any visible column."""
+    return rows.orderBy(F.col(column).desc() if descending else F.col(column).asc(), *ties)
+
+
 def key_catalogue(records: DataFrame, source: str = "extension") -> DataFrame:
-    """Which metadata keys each source brings, and in how many records."""
-    return records.select(source, F.explode(F.map_keys(F.from_json("deepMeta", "map<string,string>"))).alias("key")).groupBy(source, "key").agg(F.count("*").alias("records"))
+    """Which metadata keys each source brings, in how many records, and the sequence number of the first."""
+    keys = F.explode(F.map_keys(F.from_json("deepMeta", "map<string,string>"))).alias("key")
+    return records.select(source, "_seq", keys).groupBy(source, "key").agg(F.count("*").alias("records"), F.min("_seq").alias("first_seen"))
 
 
 def status_counts(records: DataFrame) -> DataFrame:

@@ -56,6 +56,20 @@ class Mapping:
         used = [int(f.key[7:]) for f in self.fields if f.custom]
         return replace(self, fields=(*self.fields, Field(f"custom_{max(used, default=0) + 1:02d}", label, custom=True, **values)))
 
+    def with_sources(self, key: str, keys: list[str]) -> Mapping:
+        """The metadata keys a field is read from, in order: the first, then its fallbacks; none clears both."""
+        return self.with_field(key, metadata_key=keys[0] if keys else None, fallbacks=tuple(keys[1:]))
+
+    def sources(self, key: str) -> list[str]:
+        f = next(f for f in self.fields if f.key == key)
+        return [k for k in (f.metadata_key, *f.fallbacks) if k]
+
+    def moved(self, key: str, at: int, to: int) -> Mapping:
+        """A field's metadata key at place ``at`` moved to place ``to``."""
+        keys = self.sources(key)
+        keys.insert(to, keys.pop(at))
+        return self.with_sources(key, keys)
+
     def duplicate(self) -> Mapping:
         return replace(self, name=f"{self.name} (copy)")
 
@@ -68,6 +82,51 @@ class Mapping:
         return Mapping(x["name"], tuple(Field(**f | {"fallbacks": tuple(f["fallbacks"])}) for f in x["fields"]))
 
 
+@dataclass(frozen=True)
+class Registry:
+    """Named mappings and which of them is active. A value: every change gives a new registry."""
+
+    mappings: dict[str, Mapping] = field(default_factory=dict)
+    active: str | None = None
+
+    def create(self, name: str, mapping: Mapping | None = None) -> tuple[Registry, str]:
+        """With a new mapping of all fields, and its id: map_NN with the next free number."""
+        key = f"map_{max((int(k[4:]) for k in self.mappings), default=0) + 1:02d}"
+        return replace(self, mappings=self.mappings | {key: replace(mapping or Mapping(name), name=name)}), key
+
+    def update(self, key: str, mapping: Mapping) -> Registry:
+        if key not in self.mappings:
+            raise KeyError(key)
+        return replace(self, mappings=self.mappings | {key: mapping})
+
+    def rename(self, key: str, name: str) -> Registry:
+        return self.update(key, replace(self.mappings[key], name=name))
+
+    def duplicate(self, key: str) -> tuple[Registry, str]:
+        copy = self.mappings[key].duplicate()
+        return self.create(copy.name, copy)
+
+    def delete(self, key: str) -> Registry:
+        """Without a mapping; if it was the active one, none is."""
+        return Registry({k: m for k, m in self.mappings.items() if k != key}, None if self.active == key else self.active)
+
+    def activate(self, key: str | None) -> Registry:
+        if key is not None and key not in self.mappings:
+            raise KeyError(key)
+        return replace(self, active=key)
+
+    def current(self) -> Mapping | None:
+        return self.mappings.get(self.active or "")
+
+    def to_json(self) -> str:
+        return json.dumps({"active": self.active, "mappings": {k: json.loads(m.to_json()) for k, m in self.mappings.items()}})
+
+    @staticmethod
+    def from_json(text: str) -> Registry:
+        x = json.loads(text)
+        return Registry({k: Mapping.from_json(json.dumps(m)) for k, m in x["mappings"].items()}, x["active"])
+
+
 def own_value(key: str) -> Column:
     """A record's field as the default projection shows it."""
     if key == "sizeRaw":

@@ -279,7 +279,7 @@ def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lambda where, notes, level, title: docs.where(where).select(d.cast("string").alias("id"), notes.alias("notes"), level.alias("levelOfDescription"), F.lit(title).alias("title"), *(F.lit(None).cast("string").alias(c) for c in ("description", "referenceCode")))
     existing = rows((d % 2 == 0) | (d % 3 == 0), F.concat(F.lit("n"), d.cast("string")), F.when(d % 3 == 0, "Series").otherwise("File"), "old")
     incoming = rows((d % 2 == 0) | (d % 5 == 0), F.when(d % 4 == 0, "new").otherwise(""), F.lit("File"), "new")
-    return merge.merge_records(existing, incoming).select("id", "notes", "levelOfDescription", "title")
+    return merge.merge_records(existing, incoming, "title").select("id", "notes", "levelOfDescription", "title")
 
 
 @query("""with e as (select doc_id::varchar id, source notes, case when lang = 'en' then 'Series' else 'File' end lvl, 'old' title from documents),
@@ -291,7 +291,7 @@ def merge_upsert_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = lambda rows, notes, level, title: rows.select(F.col("doc_id").cast("string").alias("id"), notes.alias("notes"), level.alias("levelOfDescription"), title.alias("title"), *(F.lit(None).cast("string").alias(c) for c in ("description", "referenceCode")))
     existing = shape(_t(spark, sf_dir, "documents"), F.col("source"), F.when(F.col("lang") == "en", "Series").otherwise("File"), F.lit("old"))
     incoming = shape(_t(spark, sf_dir, "labels"), F.when(F.col("quality") == 1, "good").otherwise(""), F.lit("File"), F.concat(F.lit("toxic "), F.col("toxic").cast("string")))
-    return merge.merge_records(existing, incoming).select("id", "notes", "levelOfDescription", "title")
+    return merge.merge_records(existing, incoming, "title").select("id", "notes", "levelOfDescription", "title")
 
 
 @query("select doc_id as id, n_chars from documents where doc_id not in (select doc_id from labels)")
@@ -483,3 +483,6 @@ def office_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     app = F.concat(F.lit("<Properties><Company>"), F.col("c_mktsegment"), F.lit("</Company></Properties>"))
     custom = F.concat(F.lit('<Properties><property name="Client"><vt:lpwstr>'), F.col("c_mktsegment"), F.lit("</vt:lpwstr></property></Properties>"))
     return _t(spark, sf_dir, "customer").select("c_custkey", markup.office_fields(core, markup.CORE)["title"].alias("title"), markup.office_fields(app, markup.APP)["company"].alias("company"), markup.custom_properties(custom)["Client"].alias("client"))
+
+
+from . import state_queries  # noqa: E402, F401  # registers further queries

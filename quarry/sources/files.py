@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from ..functions.classify import classified, is_os_artifact
 from ..functions.scalars import file_id, iso_ms
 from ..schema import FILE, RECORD
 
+#: Scheme and host before a path.
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
 
 def read_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """All files below ``root`` with path relative to it; unreadable ones are skipped."""
@@ -24,8 +29,9 @@ def stream_files(spark: SparkSession, root: str, files_a_batch: int = 10) -> Dat
 
 def relative(files: DataFrame, root: str) -> DataFrame:
     """Paths below ``root``, whatever the scheme they come with."""
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    return files.withColumn("path", F.substring_index(F.col("path"), base + "/", -1))
+    base = re.sub(SCHEME, "", root).rstrip("/") + "/"
+    plain = F.regexp_replace("path", SCHEME, "")
+    return files.withColumn("path", F.when(plain.startswith(base), F.substring(plain, len(base) + 1, 1 << 20)).otherwise(plain))
 
 
 def capture(files: DataFrame, source: str = "local", keep: list[str] | None = None, mime: Column | None = None) -> DataFrame:

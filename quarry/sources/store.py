@@ -85,3 +85,32 @@ class Store:
         """Add files (id, size, cachedAt, content) that aren't cached yet, then evict the oldest over the cap."""
         known = self.cache()
         self._replace("cache", retained(known.unionByName(new_files(files.select("id", "size", "cachedAt", "content"), known)), CACHE_CAP))
+
+    def cached(self, record_id: str) -> DataFrame:
+        """One record's cached bytes; no row where they were evicted."""
+        return self.cache().where(F.col("id") == record_id)
+
+    def clear_cache(self) -> None:
+        self._replace("cache", self.cache().limit(0))
+
+    def batch(self, batch: str) -> DataFrame:
+        """The registry's row of a batch; none for an unknown one."""
+        return self.batches().where(F.col("id") == batch)
+
+    def activate(self, batch: str | None) -> None:
+        self._replace("active", self.spark.createDataFrame([(batch,)], "id string"))
+
+    def active(self) -> str | None:
+        """The active batch: the one chosen last while it exists, else the newest, else none."""
+        chosen = self._table("active", T.StructType.fromDDL("id string")).first()
+        if chosen and chosen["id"] and self.batch(chosen["id"]).first():
+            return chosen["id"]
+        last = self.batches().orderBy(F.col("createdAt").desc(), F.col("id").desc()).first()
+        return last["id"] if last else None
+
+    def import_records(self, records: DataFrame, name: str = "Imported") -> str:
+        """Records kept elsewhere, as a new batch; fields that they lack are null."""
+        key = self.create_batch(name)
+        have = set(records.columns)
+        self.save(key, records.select(*((F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD.fields)))
+        return key
