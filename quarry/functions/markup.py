@@ -92,9 +92,9 @@ def _pdf_string(latin: Column, key: str) -> Column:
 
 
 def pdf_fields(latin: Column, packet: Column) -> dict[str, Column]:
-    """What a PDF's uncompressed objects and XMP packet tell; ``latin``: its bytes, one character each.
+    """What a PDF's objects and XMP packet tell; ``latin``: its bytes, one character each.
 
-    Objects in compressed streams aren't read.
+    Objects in compressed streams count where ``sources.office.pdf_contents`` has added them.
     """
     out = {k: pdf_date(_pdf_string(latin, k)) if k.endswith("Date") else _pdf_string(latin, k) for k in PDF_INFO}
     xmp = xmp_fields(packet)
@@ -106,6 +106,8 @@ def pdf_fields(latin: Column, packet: Column) -> dict[str, Column]:
         "trapped": found(latin, r"/Trapped\s*/(\w+)"), "pdfVersion": found(latin, r"^%PDF-(\d+\.\d+)"),
         "pageCount": F.nullif(F.regexp_count(latin, F.lit(r"/Type\s*/Page(?!\s*s)")).cast("long"), F.lit(0)),
         "encrypted": latin.rlike(r"/Encrypt\s"), "linearized": F.when(F.contains(F.left(latin, F.lit(1024)), F.lit("/Linearized")), True),
+        "language": _pdf_string(latin, "Lang"), "hasAcroForm": F.when(latin.rlike(r"/AcroForm\b"), True), "hasXFA": F.when(latin.rlike(r"/XFA\b"), True),
+        "isCollection": F.when(latin.rlike(r"/Collection\b"), True), "hasSignatures": F.when(latin.rlike(r"/Type\s*/Sig\b"), True),
         "pdfaConformance": F.concat(F.lit("PDF/A-"), part, F.coalesce(F.lower(level), F.lit(""))),
     }
 

@@ -17,8 +17,10 @@ from ..functions.textstats import text_stats
 from ..functions.values import EXCERPT_CAP
 from ..sources.archives import zip_member
 from ..sources.chunks import parts
+from ..sources.office import cells, pdf_contents, word_bodies
 from .metadata import entries, gathered
 from .normalize import normalised
+from .sheets import sheet_statistics, sheet_text
 
 # Extensions whose content is an excerpt as it is, and those of office packages.
 PLAIN = "txt csv json xml html htm css js ts md log ini cfg yaml yml toml sh bat py rb java c cpp h rs go php sql".split()
@@ -33,13 +35,13 @@ def as_json(fields: dict[str, Column], needs: Column | None = None) -> Column:
 
 
 def plain_metadata(files: DataFrame) -> DataFrame:
-    """``files`` with plain: metadata of formats that need no walking, null for others.
+    """``files`` (with objects: those of a PDF's compressed streams, or null) with plain: metadata of formats that need no walking, null for others.
 
     What several fields are read from is computed first, once.
     """
     extension, content = F.col("extension"), F.col("content")
     is_pdf = extension.isin("pdf", "ai") & (F.hex(F.substring(content, 1, 4)) == "25504446")
-    latin = F.decode(F.when(extension == "rtf", F.substring(content, 1, 32_768)).when(extension == "indd", F.substring(content, 1, 4_194_304)).when(is_pdf, content), "ISO-8859-1")
+    latin = F.concat(F.decode(F.when(extension == "rtf", F.substring(content, 1, 32_768)).when(extension == "indd", F.substring(content, 1, 4_194_304)).when(is_pdf, content), "ISO-8859-1"), F.coalesce(F.concat(F.lit("\n"), F.col("objects")), F.lit("")))
     rows = files.withColumns({"k_latin": latin, "k_svg": F.when(extension == "svg", F.make_valid_utf8(content.cast("string")))})
     rows = rows.withColumns({"k_packet": F.when(extension != "rtf", markup.xmp_packet(F.col("k_latin"))), "k_info": F.when(extension == "rtf", markup.rtf_info(F.col("k_latin")))})
     hexed, packet = F.hex(F.substring(content, 1, 4)), F.col("k_packet")
@@ -70,7 +72,10 @@ def office_metadata(files: DataFrame, key: str = "id") -> DataFrame:
     hidden = F.regexp_count(F.col("workbook"), F.lit(r'<sheet\b[^>]*\bstate="(?:hidden|veryHidden)"')).cast("long")
     fields["hiddenSheets"] = F.when(hidden > 0, hidden)
     fields["customProperties"] = markup.custom_properties(F.col("custom"))
-    return x.select(key, as_json(fields).alias("office"), excerpt_of_text(markup.docx_text(F.col("main"))).alias("body"))
+    found = cells(files.where(F.col("extension") == "xlsx"), key)
+    x = x.join(sheet_statistics(found, key), key, "left").join(sheet_text(found, key).withColumnRenamed("body", "k_sheets"), key, "left")
+    fields |= {c: F.col(c) for c in ("totalPopulatedCells", "totalFormulas", "totalMergedRegions", "sheetSummary", "dataTypes")}
+    return x.select(key, as_json(fields).alias("office"), excerpt_of_text(F.coalesce(F.col("k_sheets"), markup.docx_text(F.col("main")))).alias("body"))
 
 
 def extract(files: DataFrame, key: str = "id") -> DataFrame:
@@ -80,10 +85,12 @@ def extract(files: DataFrame, key: str = "id") -> DataFrame:
     """
     extension, content = F.col("extension"), F.col("content")
     walked = gathered(entries(parts(files, key), key), key).withColumnRenamed("deepMeta", "walked")
-    rows = plain_metadata(files.select(key, "extension", "content"))
+    pdf = pdf_contents(files.where(extension.isin("pdf", "ai")), key).withColumnRenamed("text", "k_shown")
+    doc = word_bodies(files.where(extension.isin("doc", "dot")), key).withColumnRenamed("text", "k_word")
+    rows = plain_metadata(files.select(key, "extension", "content").join(pdf, key, "left")).join(doc, key, "left")
     rows = rows.join(walked, key, "left").join(office_metadata(files, key), key, "left")
     found = F.coalesce("plain", "walked", "office")
     stats = F.when(extension.isin(*PLAIN), F.to_json(text_stats(content)))
-    body = F.when(extension.isin(*PLAIN), excerpt_of_bytes(content, EXCERPT_CAP)).when(extension == "docx", F.col("body")).when(extension == "rtf", excerpt_of_text(markup.rtf_text(F.decode(content, "ISO-8859-1"))))
+    body = F.when(extension.isin(*PLAIN), excerpt_of_bytes(content, EXCERPT_CAP)).when(extension.isin("docx", "xlsx"), F.col("body")).when(extension == "pdf", excerpt_of_text(F.col("k_shown"))).when(extension.isin("doc", "dot"), excerpt_of_text(F.col("k_word"))).when(extension == "rtf", excerpt_of_text(markup.rtf_text(F.decode(content, "ISO-8859-1"))))
     out = rows.select(key, F.coalesce(found, stats).alias("deepMeta"), body.alias("excerpt"), F.lit(None).cast("string").alias("error"))
     return normalised(out)

@@ -225,12 +225,16 @@ def exif(b: bytes) -> Iterator[Part]:
                 yield f"{space}:{tag:04x}", struct.pack(">HI", kind, count) + value
 
 
-def ole2(b: bytes) -> Iterator[Part]:
-    """Properties of an OLE2 file's two summary streams: "sum:n" or "doc:n", type and value bytes."""
+def _word(d: bytes, i: int) -> int:
+    return int.from_bytes(d[i : i + 4], "little")
+
+
+def ole2_streams(b: bytes) -> Callable[[str], bytes] | None:
+    """A reader of an OLE2 file's streams by name (empty for an unknown one); null for other files."""
     if b[:8] != bytes.fromhex("D0CF11E0A1B11AE1"):
-        return
+        return None
     big, small = 1 << int.from_bytes(b[30:32], "little"), 64
-    word = lambda d, i: int.from_bytes(d[i : i + 4], "little")
+    word = _word
     sector = lambda i: b[(i + 1) * big : (i + 2) * big]
     held, at, seen = [word(b, 76 + 4 * i) for i in range(109)], word(b, 68), set()
     while at < 0xFFFFFFFC and at not in seen and len(more := sector(at)) == big:  # further FAT sectors' numbers
@@ -250,9 +254,19 @@ def ole2(b: bytes) -> Iterator[Part]:
     entries = {tree[i : i + 64].decode("utf-16le", "replace").split("\0")[0]: (word(tree, i + 116), word(tree, i + 120)) for i in range(0, len(tree) - 127, 128)}
     mini = chain(entries.get("Root Entry", (0xFFFFFFFE, 0))[0], fat, sector)
     minifat = chain(word(b, 60), fat, sector)
-    for space, name in (("sum", "\x05SummaryInformation"), ("doc", "\x05DocumentSummaryInformation")):
+
+    def read(name: str) -> bytes:
         first, size = entries.get(name, (0xFFFFFFFE, 0))
-        data = (chain(first, fat, sector) if size >= 4096 else chain(first, minifat, lambda i: mini[i * small : (i + 1) * small]))[:size]
+        return (chain(first, fat, sector) if size >= 4096 else chain(first, minifat, lambda i: mini[i * small : (i + 1) * small]))[:size]
+
+    return read
+
+
+def ole2(b: bytes) -> Iterator[Part]:
+    """Properties of an OLE2 file's two summary streams: "sum:n" or "doc:n", type and value bytes."""
+    stream, word = ole2_streams(b), _word
+    for space, name in (("sum", "\x05SummaryInformation"), ("doc", "\x05DocumentSummaryInformation")) if stream else ():
+        data = stream(name)
         base = word(data, 44) if len(data) >= 48 else len(data)
         for k in range(min(word(data, base + 4), 50) if base + 8 <= len(data) else 0):
             number, at = word(data, base + 8 + 8 * k), base + word(data, base + 12 + 8 * k)
