@@ -268,9 +268,11 @@ def entries(parts: DataFrame, key: str = "id", extensions: list[str] | None = No
     rows = parts.join(F.broadcast(names), "kind", "left").withColumn("k_kind", kind)  # a fixed table
     rows = rows.select(key, _own_entries(kinds).alias("k_own"), F.when(F.col("kind").isin(*TOGETHER), F.struct("seq", "kind", "data")).alias("k_part")).where("k_own is not null or k_part is not null")
     files = rows.groupBy(key).agg(F.flatten(F.collect_list("k_own")).alias("k_own"), F.sort_array(F.collect_list("k_part")).alias("k_parts"))  # one file's parts
-    files = files.withColumn("k_tracks", _tracks())
+    if "boxes" in walkers:
+        files = files.withColumn("k_tracks", _tracks())
+    together = [f() for w, f in (("exif", _place), ("boxes", _film), ("wav", _wav_length)) if w in walkers]
     none = F.array().cast("array<struct<seq:int,name:string,value:string>>")
-    every = F.concat("k_own", *(F.coalesce(x, none) for x in (_place(), _film(), _wav_length())))
+    every = F.concat("k_own", *(F.coalesce(x, none) for x in together))
     return files.select(key, F.array_sort(F.filter(every, lambda e: e["value"].isNotNull() & (e["value"] != "null"))).alias("k_entries"))
 
 
