@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversations import repair
 from .decontam import contamination
 from .merkle import proof_digest, tampered_proofs
 from .oracles import MORE_SQL
@@ -77,13 +78,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     found = tampered_proofs(docs, keep=["doc_id"])
     return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op6_secret_scan, op7_url_filter, op8_substring_dedup, op9_decontamination, op10_sharding, op12_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op6_secret_scan, op7_url_filter, op8_substring_dedup, op9_decontamination, op10_sharding, op11_conversation_repair, op12_merkle_manifest)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
