@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .conversations import repair
 from .decontam import contamination
+from .lattice import score_texts
 from .merkle import proof_digest, tampered_proofs
 from .oracles import MORE_SQL
 from .packing import pack, token_pieces
@@ -88,7 +89,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op6_secret_scan, op7_url_filter, op8_substring_dedup, op9_decontamination, op10_sharding, op11_conversation_repair, op12_merkle_manifest)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score_texts(docs, tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sorted_tables, op3_packing, op4_quality_rules, op5_simhash, op6_secret_scan, op7_url_filter, op8_substring_dedup, op9_decontamination, op10_sharding, op11_conversation_repair, op12_merkle_manifest, op13_lm_scoring)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
