@@ -19,7 +19,7 @@ empty table gives no rows. Other columns pass through; the operator's own replac
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,9 +85,9 @@ class Treehash:
             self.next += 1
 
 
-def block_levels(count: int) -> int:
-    """Levels of a block of a tree with ``count`` nodes in this layer."""
-    return min(BLOCK_BITS, (count - 1).bit_length())
+def block_levels(count: int, bits: int) -> int:
+    """Levels of a block of ``2 ** bits`` leaves in a tree with ``count`` nodes in this layer."""
+    return min(bits, (count - 1).bit_length())
 
 
 def block_root(leaves: list[bytes], levels: int) -> bytes:
@@ -145,16 +145,19 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         yield [rest]
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for runs in _runs(batches, ("k_tree", "k_block")):
-        tree, at, count, top = [], [], [], []
-        for run in runs:
-            n = run.column("k_n")[0].as_py()
-            tree.append(run.column("k_tree")[0].as_py())
-            at.append(run.column("k_block")[0].as_py())
-            count.append(-(-n >> BLOCK_BITS))
-            top.append(block_root([x.encode() for x in run.column("k_hash").to_pylist()], block_levels(n)).decode())
-        yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(at, pa.int64()), pa.array(count, pa.int64()), pa.array(top)], names=["k_tree", "k_at", "k_n", "k_hash"])
+def _roots(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in _runs(batches, ("k_tree", "k_block")):
+            tree, at, count, top = [], [], [], []
+            for block in runs:
+                n = block.column("k_n")[0].as_py()
+                tree.append(block.column("k_tree")[0].as_py())
+                at.append(block.column("k_block")[0].as_py())
+                count.append(-(-n >> bits))
+                top.append(block_root([x.encode() for x in block.column("k_hash").to_pylist()], block_levels(n, bits)).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(at, pa.int64()), pa.array(count, pa.int64()), pa.array(top)], names=["k_tree", "k_at", "k_n", "k_hash"])
+
+    return run
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
@@ -170,13 +173,13 @@ def _layers(nodes: DataFrame) -> list[DataFrame]:
     layers = [nodes]
     while (layers[-1].agg(F.max("k_n")).first()[0] or 0) > 1:
         cut = _dealt(_blocks(layers[-1].select("k_tree", "k_at", "k_n", "k_hash")))
-        layers.append(written(cut.mapInArrow(_roots, "k_tree string, k_at long, k_n long, k_hash string"), "roots"))
+        layers.append(written(cut.mapInArrow(_roots(BLOCK_BITS), "k_tree string, k_at long, k_n long, k_hash string"), "roots"))
     return layers
 
 
 def _with_paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
     """``nodes`` with k_path and k_roots; ``above``: the next layer (k_tree, k_at) with its own."""
-    names = nodes.columns
+    names, bits = nodes.columns, BLOCK_BITS
     heads = above.select("k_tree", F.col("k_at").alias("k_block"), F.lit(-1).cast("long").alias("k_at"), "k_path", "k_roots")
     schema = T.StructType([*nodes.schema.fields, T.StructField("k_path", PROOF), T.StructField("k_roots", T.ArrayType(T.StringType()))])
 
@@ -188,7 +191,7 @@ def _with_paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
                 upper = block.column("k_path")[0].as_py()
                 upper_sibling, upper_left = [x["sibling"] for x in upper], [x["left"] for x in upper]
                 roots, rows = block.column("k_roots")[0].as_py(), block.slice(1)
-                levels = block_levels(rows.column("k_n")[0].as_py())
+                levels = block_levels(rows.column("k_n")[0].as_py(), bits)
                 sibling, left = [], []
                 for i, own in enumerate(traversal([x.encode() for x in rows.column("k_hash").to_pylist()], levels)):
                     sibling += [x if x is None else x.decode() for x in own]
