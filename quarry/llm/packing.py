@@ -102,19 +102,18 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
     Pieces of the full size are sequences of their own, numbered after the packs.
     """
-    pieces = written(pieces, "pieces")
-    buckets = max(LEAST_BUCKETS, pieces.count() // ROWS_PER_BUCKET)
-    keys = [c for c in ("doc_id", "start") if c in pieces.columns]
-    marked = pieces.withColumn("k_bucket", F.pmod(F.xxhash64(*keys, "length"), F.lit(buckets)))
+    names = pieces.columns
+    rows = written(pieces.withColumn("k_row", F.monotonically_increasing_id()), "pieces")
+    buckets = max(LEAST_BUCKETS, rows.count() // ROWS_PER_BUCKET)
+    marked = rows.withColumn("k_bucket", F.pmod(F.xxhash64("k_row"), F.lit(buckets)))
     counts = written(marked.groupBy("length", "k_bucket").agg(F.count("*").alias("k_n")), "piece-counts")
     first = counts.withColumn("k_first", F.sum("k_n").over(W.partitionBy("length").orderBy("k_bucket")) - F.col("k_n")).drop("k_n")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("k_n").alias("n")).collect()}  # at most ``size`` rows
     packs = patterns({k: n for k, n in histogram.items() if k < size}, size)
     table = places(packs)
     table[size] = np.array([(0, sum(n for n, _ in packs), 0)], np.int64)
-    own = F.row_number().over(W.partitionBy("length", "k_bucket").orderBy(*keys)) - 1
-    ranked = marked.withColumn("k_own", own).join(first, ["length", "k_bucket"]).withColumn("k_rank", F.col("k_first") + F.col("k_own")).drop("k_first", "k_own", "k_bucket").select(*pieces.columns, "k_rank")
-    names = pieces.columns
+    own = F.row_number().over(W.partitionBy("length", "k_bucket").orderBy("k_row")) - 1
+    ranked = marked.withColumn("k_own", own).join(first, ["length", "k_bucket"]).withColumn("k_rank", F.col("k_first") + F.col("k_own")).select(*names, "k_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
