@@ -14,8 +14,10 @@ bound on it can be proven. A shard that very many documents ask is copied to sev
 of which streams a part of them.
 
 Order: doc_id, then (for rows that share an id but not a text) the text's hash, then position. Rows
-equal in both count as one document and get the same answer. Null text: no words. A null doc_id counts
-as the smallest id. Other columns pass through; the operator's own columns replace input columns of
+equal in both count as one document and get the same answer. Texts of one id whose 32-bit hashes agree are
+told apart by 128 bits and numbered. Null text: no words. A null doc_id counts as the smallest id. An
+anchor that very many documents hold makes one large partition of two joins, which Spark splits as it runs
+(``spark.sql.adaptive.skewJoin``). Other columns pass through; the operator's own columns replace input columns of
 the same names.
 """
 
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +44,7 @@ CHUNK = 1 << 16  # words of a document in one reference shard
 MOST_BUSY = 1_000_000  # busy shards whose list is broadcast
 ASKED = 512  # segments that one copy of a shard is asked about, about
 LEAST = -(2**63)
+CLASH_BITS = 8  # of a row's key, for texts of one id whose hashes agree
 
 
 class _Codes(dict):
@@ -94,14 +98,32 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return each.select("k_doc", "k_row", F.explode(F.arrays_zip("k_h", "k_p")).alias("a")).select("k_doc", "k_row", F.col("a.k_h").alias("h"), F.col("a.k_p").alias("p"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with k_doc and k_row, which rows share that are equal in doc_id and text, and no others do."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    doc, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), F.hash(text).cast("long") * 2**CLASH_BITS
+    wide = {"k_a": F.xxhash64(text), "k_b": F.xxhash64(F.lit(1), text)}
+    rows = docs.withColumns({"k_doc": doc, "k_row": row})
+    told = rows.select("k_doc", "k_row", *(v.alias(k) for k, v in wide.items()))
+    apart = [F.min(c) != F.max(c) for c in wide]
+    clash = told.groupBy("k_doc", "k_row").agg((apart[0] | apart[1]).alias("k_apart")).where("k_apart").select("k_doc", "k_row")
+    if clash.isEmpty():
+        return rows
+    own = F.row_number().over(W.partitionBy("k_doc", "k_row").orderBy(*wide)) - 1  # few: their 32-bit hashes agree
+    own = F.when(own < 2**CLASH_BITS, own).otherwise(F.raise_error(F.lit("over 256 texts of one doc_id have one 32-bit hash")).cast("int"))
+    numbers = written(told.join(clash, ["k_doc", "k_row"], "left_semi").distinct().withColumn("k_own", own), "clashes")
+    rows = rows.withColumns(wide).join(numbers, ["k_doc", "k_row", *wide], "left")
+    return rows.withColumn("k_row", F.col("k_row") + F.coalesce("k_own", F.lit(0))).drop("k_own", *wide)
+
+
 _SEGMENTS = T.ArrayType(T.StructType([T.StructField("shard", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("asked", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType())]))
 
 
 def _place(p: Column) -> Column:
     """The order of a stretch of words: by k_doc, k_row and CHUNK, as one number."""
     number = lambda x: F.lit(str(x)).cast("decimal(20,0)")
-    document = (F.col("k_doc").cast("decimal(20,0)") + number(2**63)) * number(2**32) + F.col("k_row").cast("decimal(20,0)") + number(2**31)
-    return (document * F.lit(2**24).cast("decimal(8,0)") + F.floor(p / CHUNK).cast("decimal(8,0)")).cast("decimal(38,0)")
+    document = (F.col("k_doc").cast("decimal(20,0)") + number(2**63)) * number(2**40) + F.col("k_row").cast("decimal(20,0)") + number(2**39)
+    return (document * F.lit(2**22).cast("decimal(8,0)") + F.floor(p / CHUNK).cast("decimal(8,0)")).cast("decimal(38,0)")
 
 
 def _segments(words: list[bytes], at: np.ndarray, shards: np.ndarray, query: np.ndarray, window: int) -> list[dict]:
@@ -140,7 +162,7 @@ class _Shard:
 def _stream(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard and copy, reference first. Yields removed windows and open ones."""
     names = ("k_doc", "k_row", "lo", "hi", "h1", "h2")
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
     out: list[tuple] = []
 
     def removed(row: tuple, start: int, asked: list[int]) -> None:
@@ -184,7 +206,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
     """
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_removed", "kept")]
-    rows = docs.withColumns({"k_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "k_row": F.hash(F.coalesce(F.col("text"), F.lit("")))})
+    rows = _keyed(docs)
     anchors = _anchor_rows(rows.select("k_doc", "k_row", "text"), window, gram)
     again = anchors.groupBy("h").agg(F.min(_place(F.col("p"))).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = written(again, "repeated-anchors")
@@ -231,7 +253,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
     parts = parts.withColumn("copy", F.explode(F.when(F.col("query"), F.array(one)).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))))
     batch_rows(spark, BATCH_ROWS)
     order = parts.select("shard", "copy", "query", "k_doc", "k_row", "start", "asked", "words").repartition("shard", "copy").sortWithinPartitions("shard", "copy", "query", "k_doc", "k_row", "start")
-    told = written(order.mapInArrow(lambda b: _stream(b, window), "k_doc long, k_row int, lo int, hi int, h1 long, h2 long"), "told")
+    told = written(order.mapInArrow(lambda b: _stream(b, window), "k_doc long, k_row long, lo int, hi int, h1 long, h2 long"), "told")
     open_ = told.where("h1 is not null")
     earliest = open_.groupBy("h1", "h2").agg(F.min(F.struct("k_doc", "k_row", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     late = open_.join(earliest, ["h1", "h2"]).where(F.struct("k_doc", "k_row", "lo") > F.col("first")).select("k_doc", "k_row", "lo", "hi")

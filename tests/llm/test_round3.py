@@ -289,3 +289,29 @@ def test_scores_without_training_rows(spark, none):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = lattice.score_texts(spark.createDataFrame([(only, "the end")], "doc_id long, text string"), path).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (3, 0, 0, 0.0) and row["score"] < 0
+
+
+# --- keys of rows
+
+
+def test_texts_of_one_id_with_one_hash_are_told_apart(spark):
+    """(1, A), (5, A), (5, B) with hash(A) = hash(B): B repeats nowhere and loses nothing."""
+    from quarry.llm.substring import remove_repeats
+
+    each = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.hex(F.col("id") * 31 + i), F.lit("w"))), " ")
+    made = spark.range(200_000).select(each.alias("t")).withColumn("h", F.hash("t"))
+    a, b = made.groupBy("h").agg(F.collect_list("t").alias("ts")).where("size(ts) > 1").first()["ts"][:2]
+    rows = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (None, a), (None, b)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_removed"], r["kept"]) for r in remove_repeats(rows).collect())
+    assert got == Counter([(1, 30, ""), (5, 30, ""), (5, 30, ""), (5, 30, ""), (None, 0, a), (None, 0, b)])
+
+
+def test_pieces_of_null_ids_use_all_buckets(spark, monkeypatch):
+    from quarry.llm import packing
+
+    counted = []
+    keep = packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: (counted.append((name, out := keep(df, name))), out)[1])
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(7).cast("long").alias("length"))
+    assert packing.pack(rows).select("sequence_id", "offset").distinct().count() == 20_000
+    assert dict(counted)["piece-counts"].count() == packing.LEAST_BUCKETS
