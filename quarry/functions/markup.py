@@ -83,7 +83,7 @@ def xmp_fields(xml: Column) -> dict[str, Column]:
 
 def _pdf_string(latin: Column, key: str) -> Column:
     """A literal or hexadecimal string of an information dictionary."""
-    literal = found(latin, rf"/{key}\s*\(((?:\\.|[^\\()])*)\)")
+    literal = found(latin, rf"/{key}\s*\(((?:[^\\()]++|\\.)*+)\)")
     for a, b in ((r"\n", "\n"), (r"\r", "\r"), (r"\t", "\t"), (r"\(", "("), (r"\)", ")"), ("\\\\", "\\")):
         literal = F.replace(literal, F.lit(a), F.lit(b))
     hexed = F.upper(F.regexp_replace(found(latin, rf"/{key}\s*<([0-9A-Fa-f\s]+)>"), r"\s", ""))
@@ -113,13 +113,17 @@ def pdf_fields(latin: Column, packet: Column) -> dict[str, Column]:
 
 
 def rtf_info(text: Column) -> Column:
-    """From an RTF file's information group on; null without one."""
-    return F.when(F.contains(text, F.lit("{\\info")), F.substring_index(text, "{\\info", -1))
+    """An RTF file's information group, with its braces; null without one, cut off what there is."""
+    rest = F.substring(text, F.instr(text, "{\\info"), F.length(text))
+    cut = F.regexp_extract_all(rest, F.lit(r"([{}]|\\[{}\\]|[^{}\\]+|\\)"), 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit(0).alias("size"))
+    step = lambda a, t: F.when(a["done"], a).otherwise(F.struct((a["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)).alias("depth"), ((t == "}") & (a["depth"] == 1)).alias("done"), (a["size"] + F.length(t)).alias("size")))
+    return F.when(F.contains(text, F.lit("{\\info")), F.left(rest, F.aggregate(cut, start, step)["size"]))
 
 
 def rtf_fields(text: Column, info: Column) -> dict[str, Column]:
     """An RTF file's information, from its first 32 KB and ``rtf_info`` of them."""
-    number = lambda w: found(info, rf"\\{w}(-?\d+)").try_cast("long")
+    number = lambda w: found(info, rf"\{{\\{w}(\d+)\}}").try_cast("long")
     clean = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\\[a-z]+-?\d* ?|[{}]", "")), F.lit(""))
     out = {k: clean(found(info, rf"\{{\\{w}\s+((?:[^{{}}\\]|\\.)*)\}}")) for k, w in RTF_TEXT.items()}
     out |= {k: rtf_date(found(info, rf"\{{\\{w}([^}}]*)\}}")) for k, w in RTF_DATES.items()}
@@ -138,20 +142,3 @@ def docx_text(xml: Column) -> Column:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         xml = F.replace(xml, F.lit(a), F.lit(b))
     return F.regexp_replace(F.regexp_replace(xml, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
-
-
-def rtf_text(text: Column) -> Column:
-    """The plain text of an RTF file whose skipped groups don't nest more than two deep."""
-    hidden = "fonttbl|colortbl|stylesheet|info|pict|header|footer|headerl|headerr|footerl|footerr|footnote|object|themedata|generator"
-    text = F.regexp_replace(text, rf"\{{(?:\\\*)?\\(?:{hidden})(?:[^{{}}]|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*\}}|\{{\\\*(?:[^{{}}]|\{{[^{{}}]*\}})*\}}", "{}")
-    text = F.regexp_replace(text, r"[\r\n]", "")
-    text = F.regexp_replace(text, r"\\(?:par|line)(?![a-z]) ?", "\n")
-    text = F.regexp_replace(text, r"\\tab(?![a-z]) ?", "\t")
-    pieces = F.regexp_extract_all(text, F.lit(r"(\\u\d+ ?(?:\\'[0-9a-f]{2}|[^\\{}])?|\\'[0-9a-fA-F]{2}|\\[a-z]+-?\d* ?|\\[^a-z]|[{}]|[^\\{}]+)"), 1)
-    shown = F.transform(
-        pieces,
-        lambda p: F.when(p.rlike(r"^\\u\d"), F.decode(F.unhex(F.lpad(F.hex(F.regexp_extract(p, r"(\d+)", 1).cast("long")), 4, "0")), "UTF-16BE"))
-        .when(p.rlike(r"^\\'"), F.decode(F.unhex(F.substring(p, 3, 2)), "ISO-8859-1"))
-        .when(p.isin("\\\\", "\\{", "\\}"), F.substring(p, 2, 1)).when(p.startswith("\\") | p.isin("{", "}"), "").otherwise(p),
-    )
-    return tidy_newlines(F.array_join(shown, ""))

@@ -485,4 +485,4 @@ def office_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").select("c_custkey", markup.office_fields(core, markup.CORE)["title"].alias("title"), markup.office_fields(app, markup.APP)["company"].alias("company"), markup.custom_properties(custom)["Client"].alias("client"))
 
 
-from . import state_queries  # noqa: E402, F401  # registers further queries
+from . import document_queries, state_queries  # noqa: E402, F401  # register further queries

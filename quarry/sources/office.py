@@ -1,4 +1,4 @@
-"""Bytes of workbooks, Word documents and PDF files as rows: cells, text pieces, compressed objects.
+"""Bytes of workbooks, Word documents and damaged PDF files as rows: cells, text pieces.
 
 A damaged file gives what could be read before the damage, or nothing.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,7 +83,7 @@ CELL = "sheet int, name string, state string, merges int, high int, wide int, ro
 
 def cells(files: DataFrame, key: str = "id") -> DataFrame:
     """``files`` (key, content): key and CELL of every cell of the workbooks among them."""
-    return _walked(files, key, CELL, workbook_cells)
+    return walked(files, key, CELL, workbook_cells)
 
 
 def _text_runs(data: bytes) -> str:
@@ -135,18 +135,20 @@ def word_text(content: bytes) -> Iterator[tuple[str]]:
 
 
 def pdf_streams(content: bytes) -> Iterator[tuple[str, str]]:
-    """objects: dictionaries held in compressed object streams; text: strings that the pages show."""
+    """objects: dictionaries held in compressed object streams; text: strings that the pages show. For files without a usable object graph."""
     objects, shown = [], []
     for m in re.finditer(rb"(?s)<<((?:[^<>]|<<.*?>>|<[^<>]*>)*)>>\s*stream\r?\n", content):
         end = content.find(b"endstream", m.end())
         if b"FlateDecode" not in m[1]:
             data = content[m.end() : end]
         else:
-            engine = zlib.decompressobj()
+            engine, data = zlib.decompressobj(), b""
+            packed = content[m.end() : end if end > 0 else len(content)]
             try:
-                data = engine.decompress(content[m.end() : end if end > 0 else len(content)])
-            except zlib.error:
-                continue
+                for i in range(0, len(packed), 4096):
+                    data += engine.decompress(packed[i : i + 4096])
+            except zlib.error:  # what came before the damage stays
+                pass
         if re.search(rb"/Type\s*/ObjStm", m[1]):
             objects.append(data.decode("latin-1"))
         elif b"BT" in data and b"ET" in data:
@@ -176,31 +178,39 @@ def _shown(data: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip()
 
 
-def pdf_contents(files: DataFrame, key: str = "id") -> DataFrame:
-    """key, objects and text of the PDF files with compressed objects or shown strings."""
-    return _walked(files, key, "objects string, text string", pdf_streams)
-
-
 def word_bodies(files: DataFrame, key: str = "id") -> DataFrame:
     """key and text of the Word 97 documents that have some."""
-    return _walked(files, key, "text string", word_text)
+    return walked(files, key, "text string", word_text)
+
 
+ROWS = 2_000  # of a batch that a walker yields, about
 
-def _walked(files: DataFrame, key: str, fields: str, walker) -> DataFrame:
+
+def walked(files: DataFrame, key: str, fields: str, walker: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
+    """key and ``fields`` of the rows that ``walker`` yields for each content, handed on as they come; a damaged content's rows up to the damage."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     names = StructType([files.schema[key], *StructType.fromDDL(fields).fields])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(names)
+        schema, rows, size = to_arrow_schema(names), [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
         for batch in batches:
-            rows = []
             for k, content in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
                 try:
-                    rows += [(k, *x) for x in walker(content or b"")]
+                    for found in walker(content or b""):
+                        rows.append((k, *found))
+                        size += sum(len(x) for x in found if isinstance(x, (str, bytes)))
+                        if len(rows) >= ROWS or size > 4_000_000:
+                            yield out()
+                            rows, size = [], 0
                 except (struct.error, IndexError, ValueError):  # damaged
                     pass
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+        if rows:
+            yield out()
 
     return files.select(key, "content").mapInArrow(walk, names)

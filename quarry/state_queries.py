@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +10,7 @@ from .operators import merge, numbering, views
 from .plans.mapping import Registry, project
 from .queries import _EVENT, _STATUS, _bytes_sql, _t, _with_meta, query, records
 from .sources.store import Store
-
-
-def _work(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+from .work import work_dir
 
 
 @query("""select l_orderkey::varchar as id, arg_max(l_returnflag, l_linenumber) as title, count(*) > 0 as there from lineitem group by 1""")
@@ -192,7 +184,7 @@ def column_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 select name, case when name = '5-LOW' then 'renamed' else name end as shown, files, case when name = '2-HIGH' then files - 1 else files end as exported, case when name = '2-HIGH' then 'changed since export' else 'exported' end as state from b where name <> '3-MEDIUM'""")
 def batch_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches created, saved, renamed, exported and deleted in a store; all orders are their records."""
-    store = Store(spark, _work(spark))
+    store = Store(spark, work_dir(spark))
     orders = _t(spark, sf_dir, "orders")
     ids = {}
     for name in sorted(r[0] for r in orders.select("o_orderpriority").distinct().collect()):  # five names
@@ -208,7 +200,7 @@ def batch_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select doc_id, n, {_bytes_sql('n')} as shown from (select doc_id, strlen(text)::bigint n from documents)")
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' records saved as a batch, cleared, saved again and loaded."""
-    store = Store(spark, _work(spark))
+    store = Store(spark, work_dir(spark))
     rows = records(spark, sf_dir)
     batch = store.create_batch("documents")
     store.save(batch, rows)
