@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_removed", "kept")]
     rows = _keyed(docs)
-    anchors = _anchor_rows(rows.select("k_doc", "k_row", "text"), window, gram)
+    anchors = written(_anchor_rows(rows.select("k_doc", "k_row", "text"), window, gram), "anchors")
     again = anchors.groupBy("h").agg(F.min(_place(F.col("p"))).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = written(again, "repeated-anchors")
     part = F.struct("p", F.xxhash64("first").alias("shard"), (F.col("first") != _place(F.col("p"))).alias("query"))
