@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..work import kept
+
 
 def csv_field(value: Column) -> Column:
     """Quoted if it holds a comma, a quote or a line feed; a lone carriage return is left alone."""
@@ -50,3 +52,24 @@ def write_json(rows: DataFrame, path: str, order: list[Column], labels: list[str
     if n:
         json_rows(rows.repartitionByRange(*order).sortWithinPartitions(*order), labels or rows.columns).write.mode("overwrite").text(path)
     return n
+
+
+def write_json_array(rows: DataFrame, path: str, order: list[Column], labels: list[str] | None = None) -> int:
+    """Text files whose lines, file by file, are one JSON array of objects of strings, indented by two spaces; returns the number of rows.
+
+    Of a repeated label the last column counts. Nothing is written for no rows.
+    """
+    n = rows.count()
+    if n:
+        labels = labels or rows.columns
+        text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[|\]$", "")
+        last = {label: i for i, label in enumerate(labels)}
+        own = _plain(rows, labels)
+        fields = [F.concat(F.lit("    "), text(F.lit(label)), F.lit(": "), text(own[i])) for label, i in last.items()]
+        ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        blocks = kept(ranged.select(F.concat(F.lit("  {\n"), F.concat_ws(",\n", *fields), F.lit("\n  }")).alias("line"), F.monotonically_increasing_id().alias("k_row")))
+        end = blocks.agg(F.max("k_row")).first()[0]
+        lines = blocks.repartitionByRange("k_row").sortWithinPartitions("k_row").select(F.concat("line", F.when(F.col("k_row") == end, "").otherwise(",")).alias("line"))
+        edge = lambda x: rows.sparkSession.createDataFrame([(x,)], "line string").coalesce(1)
+        edge("[").unionByName(lines).unionByName(edge("]")).write.mode("overwrite").text(path)
+    return n

@@ -104,6 +104,17 @@ def sheet_metadata(found: DataFrame, files: DataFrame, key: str = "id") -> DataF
     return x.select(key, F.when(F.col("extension") == "xlsx", as_json(totals)).otherwise(named).alias("sheets"), "body")
 
 
+SOUNDS = ["mp3", "wav", "wave", "flac", "ogg", "oga", "aiff", "aif", "aac"]
+
+
+def sound_details(walked: Column, extension: Column, size: Column) -> Column:
+    """What a sound's metadata lack: a bit rate by its size and length, and its format by the extension."""
+    told = lambda k: F.get_json_object(walked, f"$.{k}")
+    seconds = told("durationSeconds").try_cast("double")
+    rate = F.when(told("bitrate").isNull() & (seconds > 0), F.concat(F.floor(size * 8 / (seconds * 1000) + 0.5).cast("string"), F.lit(" kbps")))
+    return as_json({"bitrate": rate, "format": F.when(told("format").isNull(), F.upper(extension))}, walked.isNotNull() & extension.isin(*SOUNDS))
+
+
 def extract(files: DataFrame, key: str = "id") -> DataFrame:
     """``files`` (key, extension, content): key, deepMeta, excerpt, canonical fields, error (null).
 
@@ -113,7 +124,7 @@ def extract(files: DataFrame, key: str = "id") -> DataFrame:
     files = files.select(key, "extension", "content")
     stats = F.when(extension.isin(*PLAIN), F.to_json(text_stats(content)))
     body = F.when(extension.isin(*PLAIN), excerpt_of_bytes(content, EXCERPT_CAP)).when(extension == "rtf", excerpt_of_text(rtf_text(F.decode(content, "ISO-8859-1"))))
-    told = [plain_metadata(files).select(key, F.col("plain"), stats.alias("stats"), body.alias("text"), extension.alias("k_extension"))]
+    told = [plain_metadata(files).select(key, F.col("plain"), stats.alias("stats"), body.alias("text"), extension.alias("k_extension"), F.octet_length(content).alias("k_size"))]
     known = {*WALKERS, *OFFICE, *SHEETS, *PDFS, *WORDS}
     met = {r[0] for r in files.where(extension.isin(*known)).select("extension").distinct().collect()}  # some of a fixed list; ways that nothing needs aren't planned
     of = lambda names: files.where(extension.isin(*names))
@@ -134,7 +145,7 @@ def extract(files: DataFrame, key: str = "id") -> DataFrame:
     names = [c for c in rows.columns if c != key]
     rows = rows.groupBy(key).agg(*(F.max(c).alias(c) for c in names))  # of each name one row a file has a value
     extension = F.col("k_extension")
-    found = overlaid(F.coalesce("pdf", "plain", "walked", "office", "stats"), F.col("sheets"))
+    found = overlaid(F.coalesce("pdf", "plain", overlaid(F.col("walked"), sound_details(F.col("walked"), extension, F.col("k_size"))), "office", "stats"), F.col("sheets"))
     shown = (
         F.when(extension.isin(*PLAIN) | (extension == "rtf"), F.col("text")).when(extension == "docx", excerpt_of_text(F.col("main"))).when(extension.isin("xlsx", "xls", "ods"), excerpt_of_text(F.col("cells")))
         .when(extension == "pdf", F.coalesce("shown", excerpt_of_text(F.col("loose")))).when(extension.isin("doc", "dot"), excerpt_of_text(F.col("word")))

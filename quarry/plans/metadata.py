@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import headers as h
 from ..functions import tags
+from ..functions.markup import xmp_fields
 from ..functions.scalars import clock, decimal_degrees, filetime, hours_minutes, mac_date, minutes_clock, windows_1252
 from ..sources.chunks import WALKERS
 
@@ -18,7 +19,7 @@ def json_value(x: Column) -> Column:
 
 def dictionary(spark: SparkSession) -> DataFrame:
     """kind, key, form: how the value of each coded part is to be read. About 250 rows."""
-    rows = [("id3:" + k, v, "id3") for k, v in tags.ID3_FRAMES.items()]
+    rows = [("id3:" + k, v, "genre" if v == "genre" else "id3") for k, v in tags.ID3_FRAMES.items()]
     rows += [("vorbis:" + k, v, "utf8") for k, v in tags.VORBIS.items()]
     rows += [(k, v, "riff") for k, v in tags.RIFF_INFO.items()]
     rows += [(f"sum:{k}", v, "edit" if v == "editTime" else "ole") for k, v in tags.SUMMARY.items()]
@@ -29,6 +30,17 @@ def dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, key string, form string")
 
 
+def _genres() -> Column:
+    return F.split(F.lit("|".join(tags.GENRES)), r"\|")
+
+
+def _genre(text: Column) -> Column:
+    """A genre whose number stands in parentheses, by its name; what follows the number comes first."""
+    number, rest = F.regexp_extract(text, r"^\((\d+)\)", 1), F.regexp_extract(text, r"^\(\d+\)(.*)$", 1)
+    name = F.coalesce(F.get(_genres(), number.try_cast("int")), number)
+    return F.when(number == "", text).when(rest == "", name).otherwise(F.concat(rest, F.lit(" ("), name, F.lit(")")))
+
+
 def _clean(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, r"\x00+$", "")), F.lit(""))
 
@@ -92,7 +104,7 @@ def _coded() -> Column:
     """The entry of a part that the dictionary names."""
     data, form = F.col("data"), F.col("form")
     value = (
-        F.when(form == "id3", json_value(_id3(F.col("kind"), data))).when(form == "utf8", json_value(_clean(F.make_valid_utf8(data.cast("string")))))
+        F.when(form == "id3", json_value(_id3(F.col("kind"), data))).when(form == "genre", json_value(_genre(_id3(F.col("kind"), data)))).when(form == "utf8", json_value(_clean(F.make_valid_utf8(data.cast("string")))))
         .when(form == "riff", json_value(_clean(F.decode(_tail(data, 4), "ISO-8859-1")))).when(form == "exif", _exif(data))
         .when(form == "edit", json_value(hours_minutes(_ticks(_tail(data, 1)) / 600_000_000))).when(form == "ole", _ole(data))
     )
@@ -144,13 +156,13 @@ def _fields(kind: str) -> dict[str, Column]:
         return {"id3Version": F.format_string("ID3v2.%d", long(0, 1))}
     if kind == "mpeg":
         version, layer = F.shiftright(long(1, 1), 3).bitwiseAND(3), 4 - F.shiftright(long(1, 1), 1).bitwiseAND(3)
-        table = F.create_map(*(x for k, v in tags.MPEG_RATES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-        rate = F.get(F.element_at(table, F.concat(F.when(version == 3, "1-").otherwise("2-"), layer.cast("string"))), F.shiftright(long(2, 1), 4).cast("int"))
+        own = lambda k: (F.when(version == 3, 1).otherwise(2) == k[0]) & (layer == k[1])
+        rate = F.get(F.coalesce(*(F.when(own(k), F.array(*map(F.lit, v))) for k, v in tags.MPEG_RATES.items())), F.shiftright(long(2, 1), 4).cast("int"))
         base = F.get(F.array(F.lit(44100), F.lit(48000), F.lit(32000)), F.shiftright(long(2, 1), 2).bitwiseAND(3).cast("int"))
         return {"mpegVersion": F.when(version == 3, "MPEG1").when(version == 2, "MPEG2").otherwise("MPEG2.5"), "layer": F.concat(F.lit("Layer "), F.repeat(F.lit("I"), layer.cast("int"))), "channelMode": F.get(F.array(*map(F.lit, ("Stereo", "Joint Stereo", "Dual Channel", "Mono"))), F.shiftright(long(3, 1), 6).cast("int")), "bitrate": F.when(rate > 0, F.format_string("%d kbps", rate)), "sampleRate": F.when(version == 3, base).when(version == 2, F.floor(base / 2)).otherwise(F.floor(base / 4)).cast("long")}
     if kind == "id3v1":
         text = lambda at, n: _clean(F.replace(F.decode(F.substring(d, at + 1, n), "ISO-8859-1"), F.lit("\0"), F.lit("")))
-        return {"title": text(3, 30), "artist": text(33, 30), "album": text(63, 30), "year": text(93, 4), "comment": text(97, 30), "track": F.when((long(125, 1) == 0) & (long(126, 1) > 0), long(126, 1).cast("string"))}
+        return {"title": text(3, 30), "artist": text(33, 30), "album": text(63, 30), "year": text(93, 4), "comment": text(97, 30), "genre": F.get(_genres(), long(127, 1).cast("int")), "track": F.when((long(125, 1) == 0) & (long(126, 1) > 0), long(126, 1).cast("string"))}
     if kind == "ftyp":
         brand = F.trim(F.decode(F.substring(d, 1, 4), "ISO-8859-1"))
         known = F.create_map(*(F.lit(x) for kv in tags.BRANDS.items() for x in kv))
@@ -166,6 +178,10 @@ def _fields(kind: str) -> dict[str, Column]:
         return h.psd_header(d)
     if kind == "8bim:03ed":
         return {"HorizontalResolution": F.round(long(0) / 65536).cast("long"), "VerticalResolution": F.round(long(8) / 65536).cast("long")}
+    if kind == "8bim:0424":
+        return xmp_fields(F.make_valid_utf8(d.cast("string")))
+    if kind == "app":
+        return {"application": F.decode(d, "ISO-8859-1")}
     if kind == "8bim:040f":
         return {"ICCProfile": F.lit("Present")}
     raise KeyError(kind)
@@ -175,7 +191,7 @@ def _fields(kind: str) -> dict[str, Column]:
 KINDS_OF = {
     "png": ("IHDR", "gAMA", "cHRM", "sRGB", "iCCP", "pHYs"), "gif": ("head:gif", "frames"), "wav": ("fmt ",), "aiff": ("COMM",),
     "flac": ("flac:0", "flac:6"), "ogg": ("ogg:vorbis", "ogg:opus"), "mp3": ("id3", "id3:APIC", "mpeg", "id3v1"),
-    "boxes": ("ftyp", "mvhd", "ispe"), "psd": ("head:psd", "8bim:03ed", "8bim:040f"), "exif": (), "ole2": (),
+    "boxes": ("ftyp", "mvhd", "ispe"), "psd": ("head:psd", "8bim:03ed", "8bim:0424", "8bim:040f"), "exif": (), "ole2": ("app",),
 }
 
 
@@ -196,7 +212,8 @@ def _own_entries(kinds: list[str]) -> Column:
     """The entries that a part alone gives, or null."""
     found = F.when(F.col("form").isNotNull(), _coded()).when(F.col("kind").isin("tEXt", "iTXt") & F.contains(F.decode("data", "ISO-8859-1"), F.lit("\0")), _png_text())
     for k in kinds:
-        found = found.when(F.col("k_kind") == k, _named(_fields(k), F.col("seq")))
+        first = F.lit(-1) if k == "8bim:0424" else F.col("seq")  # an XMP packet's words come before the picture's own
+        found = found.when(F.col("k_kind") == k, _named(_fields(k), first))
     return found
 
 
@@ -288,7 +305,7 @@ def gathered(found: DataFrame, key: str = "id") -> DataFrame:
     def pair(name: Column) -> Column:
         own = F.filter(e, lambda x: x["name"] == name)
         words = F.to_json(F.array(F.array_join(F.transform(own, lambda x: F.get_json_object(F.concat(F.lit("["), x["value"], F.lit("]")), "$[0]")), ", ")))
-        late = F.when(name.isin("title", "artist", "album", "year", "comment", "track"), F.try_element_at(F.filter(own, lambda x: x["seq"] == last), F.lit(-1))["value"])
+        late = F.when(name.isin("title", "artist", "album", "year", "comment", "genre", "track"), F.try_element_at(F.filter(own, lambda x: x["seq"] == last), F.lit(-1))["value"])
         value = F.when(name == "IptcKeywords", F.regexp_replace(words, r"(?s)^\[|\]$", "")).otherwise(F.coalesce(late, F.element_at(own, 1)["value"]))
         return F.concat(json_value(name), F.lit(":"), value)
 

@@ -270,15 +270,16 @@ def json_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.json_rows(rows, ["id", "lang", "source"], ["doc_id"])
 
 
-@query("""with e as (select doc_id::varchar id, 'n' || doc_id notes, case when doc_id % 3 = 0 then 'Series' else 'File' end lvl, 'old' title from documents where doc_id % 2 = 0 or doc_id % 3 = 0),
-n as (select doc_id::varchar id, case when doc_id % 4 = 0 then 'new' else '' end notes, 'File' lvl, 'new' title from documents where doc_id % 2 = 0 or doc_id % 5 = 0)
+@query("""with e as (select doc_id::varchar id, 'n' || doc_id notes, case when doc_id % 3 = 0 then 'Series' else 'File' end lvl, 'old' title from documents),
+n as (select (doc_id * 2)::varchar id, case when doc_id % 4 = 0 then 'new' else '' end notes, 'File' lvl, 'new' title from documents)
 select coalesce(n.id, e.id) as id, case when n.id is null then e.notes when n.notes = '' and e.notes is not null then e.notes else n.notes end as notes,
   case when n.id is null or e.lvl <> 'File' then e.lvl else n.lvl end as "levelOfDescription", coalesce(n.title, e.title) as title from e full join n on e.id = n.id""")
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as records, and all as edits of records with twice their number: half of these are new."""
     docs, d = _t(spark, sf_dir, "documents"), F.col("doc_id")
-    rows = lambda where, notes, level, title: docs.where(where).select(d.cast("string").alias("id"), notes.alias("notes"), level.alias("levelOfDescription"), F.lit(title).alias("title"), *(F.lit(None).cast("string").alias(c) for c in ("description", "referenceCode")))
-    existing = rows((d % 2 == 0) | (d % 3 == 0), F.concat(F.lit("n"), d.cast("string")), F.when(d % 3 == 0, "Series").otherwise("File"), "old")
-    incoming = rows((d % 2 == 0) | (d % 5 == 0), F.when(d % 4 == 0, "new").otherwise(""), F.lit("File"), "new")
+    rows = lambda id_, notes, level, title: docs.select(id_.cast("string").alias("id"), notes.alias("notes"), level.alias("levelOfDescription"), F.lit(title).alias("title"), *(F.lit(None).cast("string").alias(c) for c in ("description", "referenceCode")))
+    existing = rows(d, F.concat(F.lit("n"), d.cast("string")), F.when(d % 3 == 0, "Series").otherwise("File"), "old")
+    incoming = rows(d * 2, F.when(d % 4 == 0, "new").otherwise(""), F.lit("File"), "new")
     return merge.merge_records(existing, incoming, "title").select("id", "notes", "levelOfDescription", "title")
 
 
@@ -299,9 +300,10 @@ def cache_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.new_files(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars"), _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
-@query("select doc_id as id, quality from labels where doc_id % 3 <> 0")
+@query("select doc_id as id, quality from labels where doc_id not in (select doc_id * 3 from documents)")
 def cache_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _t(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
+    """All labels as the cache, all documents as records with three times their number."""
+    kept = _t(spark, sf_dir, "documents").select((F.col("doc_id") * 3).alias("id"))
     return merge.orphans(_t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"), kept)
 
 

@@ -6,6 +6,7 @@ A walker yields (kind, data) for the parts of one file; what the parts mean is l
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -263,8 +264,9 @@ def ole2_streams(b: bytes) -> Callable[[str], bytes] | None:
 
 
 def ole2(b: bytes) -> Iterator[Part]:
-    """Properties of an OLE2 file's two summary streams: "sum:n" or "doc:n", type and value bytes."""
+    """Properties of an OLE2 file's two summary streams: "sum:n" or "doc:n", type and value bytes; without any, the application's name as it stands in the file."""
     stream, word = ole2_streams(b), _word
+    found = False
     for space, name in (("sum", "\x05SummaryInformation"), ("doc", "\x05DocumentSummaryInformation")) if stream else ():
         data = stream(name)
         base = word(data, 44) if len(data) >= 48 else len(data)
@@ -274,7 +276,12 @@ def ole2(b: bytes) -> Iterator[Part]:
             n = {30: word(data, at + 4), 31: 2 * word(data, at + 4), 64: 8, 3: 4}.get(kind, 0)
             start = at + (8 if kind in (30, 31) else 4)
             if n:
+                found = True
                 yield f"{space}:{number}", bytes([kind]) + data[start : start + n][:MOST]
+    for name in (b"Word", b"Excel", b"PowerPoint") if stream and not found else ():
+        if m := re.search(b"Microsoft (?:Office )?" + name, b):
+            yield "app", m[0]
+            return
 
 
 WALKERS: dict[str, Callable[[bytes], Iterator[Part]]] = {

@@ -9,17 +9,18 @@ from .functions import classify, scalars
 from .operators import merge, numbering, views
 from .plans.mapping import Registry, project
 from .queries import _EVENT, _STATUS, _bytes_sql, _t, _with_meta, query, records
+from .schema import RECORD
 from .sources.store import Store
 from .work import work_dir
 
 
-@query("""select l_orderkey::varchar as id, arg_max(l_returnflag, l_linenumber) as title, count(*) > 0 as there from lineitem group by 1""")
+@query("""select o_orderkey::varchar as id, coalesce(title, 'old') as title, title is not null as there from orders left join (select l_orderkey, arg_max(l_returnflag, l_linenumber) title from lineitem group by 1) on l_orderkey = o_orderkey""")
 def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines as edits of their orders: the last of each counts."""
+    """All lines as edits of their orders: the last of each counts, and orders without lines stay as they are."""
     empty = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
     existing = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("old").alias("title"), *empty("notes", "description", "referenceCode", "levelOfDescription"))
     incoming = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_returnflag").alias("title"), F.col("l_linenumber").alias("line"), *empty("notes", "description", "referenceCode", "levelOfDescription"))
-    return merge.merge_records(existing, incoming, "line").where("title <> 'old'").select("id", "title", F.lit(True).alias("there"))
+    return merge.merge_records(existing, incoming, "line").select("id", "title", (F.col("title") != "old").alias("there"))
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,23 +28,27 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_meta(spark, sf_dir).withColumns({"id": F.col("event_id").cast("string"), "_status": F.expr(_STATUS)})
 
 
-@query(f"""select event_id, case when event_id % 5 in (0, 1) then 'found' else props end as "deepMeta", case when event_id % 5 = 0 then null when event_id % 5 = 1 then 'A' else title end as title,
-  case when event_id % 5 in (0, 1) then '' end as language, case when event_id % 5 in (0, 1) then 'complete' when event_id % 5 = 2 then 'error' else {_STATUS} end as status from {_EVENT}""")
+@query(f"""select e.event_id, case when r.kind < 2 then 'found' else props end as "deepMeta", case r.kind when 0 then null when 1 then 'A' else title end as title,
+  case when r.kind < 2 then '' end as language, case when r.kind < 2 then 'complete' when r.kind = 2 then 'error' else {_STATUS.replace("event_id", "e.event_id")} end as status
+  from {_EVENT} e left join (select event_id * 2 id, event_id % 3 kind from events) r on r.id = e.event_id""")
 def apply_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results for three fifths of the records: two of them found something, one failed."""
+    """All events as results for the records of twice their number: two of three found something, one failed."""
     states = _states(spark, sf_dir)
-    kind = F.col("event_id") % 5
+    kind = F.col("event_id") % 3
     none = {c: F.lit(None).cast("string") for c in ("excerpt", "createdDate", "author", "language", "extent")}
-    results = states.where(kind < 3).select("id", F.lit("found").alias("deepMeta"), F.when(kind == 1, "A").alias("title"), F.when(kind == 2, "bad").alias("error"), *(v.alias(k) for k, v in none.items()))
+    results = states.select((F.col("event_id") * 2).cast("string").alias("id"), F.lit("found").alias("deepMeta"), F.when(kind == 1, "A").alias("title"), F.when(kind == 2, "bad").alias("error"), *(v.alias(k) for k, v in none.items()))
     return merge.apply_results(states, results).select("event_id", "deepMeta", "title", "language", F.col("_status").alias("status"))
 
 
-@query(f"""select event_id, case when event_id % 3 = 0 then 'error' else 'captured' end as status, (event_id % 3 > 0) as has_content,
-  case when event_id % 3 = 0 then 'Source file no longer cached; add it again to extract its metadata.' end as notes from {_EVENT} where {_STATUS} in ('captured', 'processing')""")
+_CACHED = "event_id in (select event_id * 2 from events)"
+
+
+@query(f"""select event_id, case when {_CACHED} then 'captured' else 'error' end as status, {_CACHED} as has_content,
+  case when not ({_CACHED}) then 'Source file no longer cached; add it again to extract its metadata.' end as notes from {_EVENT} where {_STATUS} in ('captured', 'processing')""")
 def resume_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incomplete records after a restart; of a third the bytes were evicted."""
+    """Incomplete records after a restart; all events are in the cache under twice their number, so half of the bytes are gone."""
     states = _states(spark, sf_dir)
-    cache = states.where("event_id % 3 > 0").select("id", F.encode("name", "UTF-8").alias("content"))
+    cache = states.select((F.col("event_id") * 2).cast("string").alias("id"), F.encode("name", "UTF-8").alias("content"))
     return merge.resume(states, cache).select("event_id", F.col("_status").alias("status"), F.col("content").isNotNull().alias("has_content"), "notes")
 
 
@@ -211,3 +216,15 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.select(F.regexp_extract("name", r"doc-(\d+)", 1).cast("long").alias("doc_id"), F.col("size").alias("n"), scalars.format_bytes(F.col("size")).alias("shown"))
 
 
+@query("""select doc_id, case when doc_id % 2 = 0 then 'captured' else 'error' end as status, case when doc_id % 2 = 0 then md5(text2) end as digest
+  from documents d left join (select doc_id * 2 id2, text text2 from documents) c on c.id2 = d.doc_id""")
+def batch_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a batch of pages to one of documents; the cache has the texts under twice their number, so odd ones are gone."""
+    store = Store(spark, work_dir(spark))
+    docs = _t(spark, sf_dir, "documents")
+    shape = lambda rows, key: rows.select(key.cast("string").alias("id"), F.lit("captured").alias("_status"))
+    second = store.import_records(shape(docs, F.col("doc_id")), "documents")
+    store.activate(store.create_batch("pages"))
+    store.cache_files(docs.select((F.col("doc_id") * 2).cast("string").alias("id"), F.lit(1).cast("long").alias("size"), F.col("doc_id").alias("cachedAt"), F.encode("text", "UTF-8").alias("content")))
+    _, rest = store.switch(shape(_t(spark, sf_dir, "pages"), F.col("page_id")).select("id", "_status", *(F.lit(None).cast(f.dataType).alias(f.name) for f in RECORD.fields if f.name not in ("id", "_status"))), second)
+    return rest.select(F.col("id").cast("long").alias("doc_id"), F.col("_status").alias("status"), F.md5("content").alias("digest"))
