@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, key string, form string")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _genres() -> Column:
     return F.split(F.lit("|".join(tags.GENRES)), r"\|")
 
@@ -100,15 +107,18 @@ def _one(name: Column, value: Column) -> Column:
     return F.array(F.struct(F.col("seq").alias("seq"), name.alias("name"), value.alias("value")))
 
 
-def _coded() -> Column:
+#: How coded parts' values are read, by the walkers that yield such.
+FORMS_OF = {"mp3": ("id3", "genre"), "flac": ("utf8",), "ogg": ("utf8",), "wav": ("riff",), "psd": ("utf8",), "exif": ("exif",), "ole2": ("edit", "ole")}
+
+
+def _coded(forms: set[str]) -> Column:
     """The entry of a part that the dictionary names."""
     data, form = F.col("data"), F.col("form")
-    value = (
-        F.when(form == "id3", json_value(_id3(F.col("kind"), data))).when(form == "genre", json_value(_genre(_id3(F.col("kind"), data)))).when(form == "utf8", json_value(_clean(F.make_valid_utf8(data.cast("string")))))
-        .when(form == "riff", json_value(_clean(F.decode(_tail(data, 4), "ISO-8859-1")))).when(form == "exif", _exif(data))
-        .when(form == "edit", json_value(hours_minutes(_ticks(_tail(data, 1)) / 600_000_000))).when(form == "ole", _ole(data))
-    )
-    return _one(F.col("k_name"), value)
+    values = {
+        "id3": lambda: json_value(_id3(F.col("kind"), data)), "genre": lambda: json_value(_let(_id3(F.col("kind"), data), _genre)), "utf8": lambda: json_value(_clean(F.make_valid_utf8(data.cast("string")))),
+        "riff": lambda: json_value(_clean(F.decode(_tail(data, 4), "ISO-8859-1"))), "exif": lambda: _exif(data), "edit": lambda: json_value(hours_minutes(_ticks(_tail(data, 1)) / 600_000_000)), "ole": lambda: _ole(data),
+    }
+    return _one(F.col("k_name"), F.coalesce(*(F.when(form == k, v()) for k, v in values.items() if k in forms)))
 
 
 def _fields(kind: str) -> dict[str, Column]:
@@ -170,8 +180,8 @@ def _fields(kind: str) -> dict[str, Column]:
     if kind == "mvhd":
         new = long(0, 1) == 1
         made, scale, units = F.when(new, long(4, 8)).otherwise(long(4)), F.when(new, long(20)).otherwise(long(12)), F.when(new, long(24, 8)).otherwise(long(16))
-        seconds = F.when((scale > 0) & (units > 0), F.round(units / scale, 2))
-        return {"CreationDate": F.when(made > 0, mac_date(made)), "DurationSeconds": seconds, "Duration": clock(seconds), "Timescale": scale}
+        seconds = _let(F.struct(scale.alias("scale"), units.alias("units")), lambda x: F.when((x["scale"] > 0) & (x["units"] > 0), F.round(x["units"] / x["scale"], 2)))
+        return {"CreationDate": _let(made, lambda x: F.when(x > 0, mac_date(x))), "DurationSeconds": seconds, "Duration": _let(seconds, clock), "Timescale": scale}
     if kind == "ispe":
         return {"Width": long(4), "Height": long(8), **h.picture(long(4), long(8))}
     if kind == "head:psd":
@@ -208,9 +218,10 @@ def _named(values: dict[str, Column], seq: Column) -> Column:
     return F.array(*(F.struct(seq.alias("seq"), F.lit(n).alias("name"), json_value(v).alias("value")) for n, v in values.items()))
 
 
-def _own_entries(kinds: list[str]) -> Column:
-    """The entries that a part alone gives, or null."""
-    found = F.when(F.col("form").isNotNull(), _coded()).when(F.col("kind").isin("tEXt", "iTXt") & F.contains(F.decode("data", "ISO-8859-1"), F.lit("\0")), _png_text())
+def _own_entries(kinds: list[str], forms: set[str]) -> Column:
+    """The entries that a part alone gives, or null; ``forms``: those that coded parts may have here."""
+    found = F.when(F.col("form").isNotNull(), _coded(forms)) if forms else F
+    found = found.when(F.col("kind").isin("tEXt", "iTXt") & F.contains(F.decode("data", "ISO-8859-1"), F.lit("\0")), _png_text())
     for k in kinds:
         first = F.lit(-1) if k == "8bim:0424" else F.col("seq")  # an XMP packet's words come before the picture's own
         found = found.when(F.col("k_kind") == k, _named(_fields(k), first))
@@ -279,11 +290,13 @@ def entries(parts: DataFrame, key: str = "id", extensions: list[str] | None = No
     read from the few parts that it needs.
     """
     walkers = {w.__name__ for e, w in WALKERS.items() if extensions is None or e in extensions}
+    forms = {f for w in walkers for f in FORMS_OF.get(w, () if w in KINDS_OF else sum(FORMS_OF.values(), ()))}  # a walker of one's own may yield any
     kinds = [k for w, own in KINDS_OF.items() if w in walkers for k in own]
     kind = F.when(F.col("kind") == "head", F.when(F.substring("data", 1, 4) == F.lit(b"8BPS"), "head:psd").otherwise("head:gif")).otherwise(F.col("kind"))
     names = dictionary(parts.sparkSession).withColumnRenamed("key", "k_name")
-    rows = parts.join(F.broadcast(names), "kind", "left").withColumn("k_kind", kind)  # a fixed table
-    rows = rows.select(key, _own_entries(kinds).alias("k_own"), F.when(F.col("kind").isin(*TOGETHER), F.struct("seq", "kind", "data")).alias("k_part")).where("k_own is not null or k_part is not null")
+    rows = parts.withColumn("k_kind", kind)
+    rows = rows.join(F.broadcast(names), "kind", "left") if forms else rows  # a fixed table
+    rows = rows.select(key, _own_entries(kinds, forms).alias("k_own"), F.when(F.col("kind").isin(*TOGETHER), F.struct("seq", "kind", "data")).alias("k_part")).where("k_own is not null or k_part is not null")
     files = rows.groupBy(key).agg(F.flatten(F.collect_list("k_own")).alias("k_own"), F.sort_array(F.collect_list("k_part")).alias("k_parts"))  # one file's parts
     if "boxes" in walkers:
         files = files.withColumn("k_tracks", _tracks())
