@@ -138,17 +138,29 @@ def own_value(key: str) -> Column:
     return F.coalesce(F.col(key), F.lit("")) if key in FIELDS else F.lit("")
 
 
-def metadata_value(keys: list[str | None]) -> Column:
-    """The first value that is neither missing, null nor empty; 0 and false count as values."""
-    paths = ["$['" + k.replace("'", "\\'") + "']" for k in keys if k]
-    return F.coalesce(*[F.nullif(F.get_json_object("deepMeta", p), F.lit("")) for p in paths], F.lit(""))
+def metadata_value(keys: list[str | None], parsed: Column | None = None) -> Column:
+    """The first value that is neither missing, null nor empty; 0 and false count as values, and objects and lists are JSON text as it stood.
 
+    ``parsed``: the metadata as a variant, where a plan has parsed it once for all fields.
+    """
+    parsed = F.try_parse_json("deepMeta") if parsed is None else parsed
+
+    def value(key: str) -> Column:
+        as_text = F.get_json_object("deepMeta", "$['" + key.replace("'", "\\'") + "']")
+        if "'" in key:
+            return as_text
+        path = f"$['{key}']"
+        nested = F.schema_of_variant(F.try_variant_get(parsed, path, "variant")).rlike("^(OBJECT|ARRAY)")
+        return F.when(nested, as_text).otherwise(F.try_variant_get(parsed, path, "string"))
+
+    return F.coalesce(*[F.nullif(value(k), F.lit("")) for k in keys if k], F.lit(""))
 
-def value_of(f: Field) -> Column:
+
+def value_of(f: Field, parsed: Column | None = None) -> Column:
     if f.mode == "fixed value":
         value = F.lit(f.fixed or "")
     elif f.mode == "map metadata" and f.metadata_key:
-        value = metadata_value([f.metadata_key, *f.fallbacks])
+        value = metadata_value([f.metadata_key, *f.fallbacks], parsed)
     else:
         value = F.lit("") if f.custom else own_value(f.key)
     if f.prefix:
@@ -156,14 +168,23 @@ def value_of(f: Field) -> Column:
     return F.when(value != "", F.concat(value, F.lit(f.suffix))).otherwise(value) if f.suffix else value
 
 
-def compile_mapping(mapping: Mapping) -> list[Column]:
+def compile_mapping(mapping: Mapping, parsed: Column | None = None) -> list[Column]:
     """A Column for each included field, named by its label; of equal labels the last stays."""
-    return list({f.label: value_of(f).alias(f.label) for f in mapping.fields if f.included}.values())
+    return list({f.label: value_of(f, parsed).alias(f.label) for f in mapping.fields if f.included}.values())
+
+
+def _parsed(records: DataFrame, mapping: Mapping) -> tuple[DataFrame, Column | None]:
+    """``records`` with their metadata as a variant beside, parsed once a record, if the mapping reads any."""
+    if not any(f.included and f.mode == "map metadata" and f.metadata_key for f in mapping.fields):
+        return records, None
+    return records.withColumn("k_parsed", F.try_parse_json("deepMeta")), F.col("k_parsed")
 
 
 def project(records: DataFrame, mapping: Mapping | None = None, keep: list[str] | None = None) -> DataFrame:
     """The mapped rows; without a mapping all fields under their own labels."""
-    return records.select(*(keep or []), *compile_mapping(mapping or Mapping("default")))
+    mapping = mapping or Mapping("default")
+    records, parsed = _parsed(records, mapping)
+    return records.select(*(keep or []), *compile_mapping(mapping, parsed))
 
 
 def apply_mapping(records: DataFrame, mapping: Mapping) -> DataFrame:
@@ -173,7 +194,8 @@ def apply_mapping(records: DataFrame, mapping: Mapping) -> DataFrame:
     value that isn't a whole number leaves size null.
     """
     changes = {}
+    records, parsed = _parsed(records, mapping)
     for f in mapping.fields:
         if f.included and not f.custom and f.key not in ("deepMeta", "sizeFormatted"):
-            changes["size" if f.key == "sizeRaw" else f.key] = value_of(f).try_cast("long") if f.key == "sizeRaw" else value_of(f)
-    return records.withColumns(changes)
+            changes["size" if f.key == "sizeRaw" else f.key] = value_of(f, parsed).try_cast("long") if f.key == "sizeRaw" else value_of(f, parsed)
+    return records.withColumns(changes).drop("k_parsed")

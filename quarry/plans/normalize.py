@@ -25,5 +25,5 @@ def truthy(meta: Column, key: str) -> Column:
 
 def normalised(records: DataFrame, meta: str = "deepMeta") -> DataFrame:
     """``records`` with the canonical fields set from JSON text ``meta``; null where none counts."""
-    parsed = F.try_parse_json(F.col(meta))
-    return records.withColumns({name: F.coalesce(*[truthy(parsed, k) for k in keys]) for name, keys in CANONICAL.items()})
+    parsed = records.withColumn("k_parsed", F.try_parse_json(F.col(meta)))  # once a record
+    return parsed.withColumns({name: F.coalesce(*[truthy(F.col("k_parsed"), k) for k in keys]) for name, keys in CANONICAL.items()}).drop("k_parsed")
