@@ -142,3 +142,25 @@ def docx_text(xml: Column) -> Column:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         xml = F.replace(xml, F.lit(a), F.lit(b))
     return F.regexp_replace(F.regexp_replace(xml, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+
+
+#: Characters of Macintosh documents that aren't those of ISO-8859-1.
+MAC_CHARACTERS = {
+    0xA0: "\u00a0", 0xA5: "\u2022", 0xA9: "\u2026", 0xC7: "\u00ab", 0xC8: "\u00bb", 0xC9: "\u2026", 0xCA: "\u00a0", 0xD0: "\u2013", 0xD1: "\u2014", 0xD2: "\u201c", 0xD3: "\u201d",
+    0xD4: "\u2018", 0xD5: "\u2019", 0xD6: "\u00f7", 0xE1: "\u00b7",
+}
+_BINARY = r"[\x00-\x08\x0A-\x0C\x0E-\x1F\x7F-\x9F]"
+
+
+def mac_word_text(content: Column) -> Column:
+    """The text of a Word for Macintosh 4 document; null for other files.
+
+    It follows a header of 256 bytes and ends before 21 bytes in a row that are no text, less the 20
+    characters before these.
+    """
+    latin = F.decode(F.substring(content, 257, 1 << 30), "ISO-8859-1")
+    ends = latin.rlike(_BINARY + "{21}")
+    text = F.regexp_replace(F.when(ends, F.regexp_extract(latin, rf"(?s)^(.*?){_BINARY}{{21}}", 1)).otherwise(latin), _BINARY, "")
+    text = F.translate(F.replace(text, F.lit("\r"), F.lit("\n")), "".join(map(chr, MAC_CHARACTERS)), "".join(MAC_CHARACTERS.values()))
+    text = F.when(ends, F.left(text, F.greatest(F.length(text) - 20, F.lit(0)))).otherwise(text)
+    return F.when(F.hex(F.substring(content, 1, 4)) == "FE37001C", F.nullif(tidy_newlines(text), F.lit("")))

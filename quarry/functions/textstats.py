@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from .scalars import windows_1252
 
 
+FALLBACK = "ISO-8859-1 (fallback)"
+
+
 def encoding(content: Column) -> Column:
     """By byte order mark, else UTF-8 where valid, else latin1.
 
-    Validity is the standard's; looser readings that end in a failed decode are told apart by it.
+    What looks like an encoding and doesn't decode as such (overlong forms, surrogates, a bad byte after a
+    UTF-8 mark, half a unit of UTF-16) is the fallback.
     """
     h = F.hex(F.substring(content, 1, 3))
-    return F.when(h.startswith("EFBBBF"), "utf-8").when(h.startswith("FFFE"), "utf-16le").when(h.startswith("FEFF"), "utf-16be").when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise("latin1")
+    valid = F.is_valid_utf8(content.cast("string"))
+    shaped = F.regexp_replace(F.decode(content, "ISO-8859-1"), r"[\x00-\x7F]+|[\xC2-\xDF][\x80-\xBF]|[\xE0-\xEF][\x80-\xBF]{2}|[\xF0-\xF4][\x80-\xBF]{3}", "") == ""
+    whole = F.octet_length(content) % 2 == 0
+    return (
+        F.when(h.startswith("EFBBBF"), F.when(valid, "utf-8").otherwise(FALLBACK)).when(h.startswith("FFFE"), F.when(whole, "utf-16le").otherwise(FALLBACK))
+        .when(h.startswith("FEFF"), F.when(whole, "utf-16be").otherwise(FALLBACK)).when(valid, "utf-8").when(shaped, FALLBACK).otherwise("latin1")
+    )
 
 
 def bom(content: Column) -> Column:

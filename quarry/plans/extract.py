@@ -123,7 +123,7 @@ def extract(files: DataFrame, key: str = "id") -> DataFrame:
     extension, content = F.col("extension"), F.col("content")
     files = files.select(key, "extension", "content")
     stats = F.when(extension.isin(*PLAIN), F.to_json(text_stats(content)))
-    body = F.when(extension.isin(*PLAIN), excerpt_of_bytes(content, EXCERPT_CAP)).when(extension == "rtf", excerpt_of_text(rtf_text(F.decode(content, "ISO-8859-1"))))
+    body = F.when(extension.isin(*PLAIN), excerpt_of_bytes(content, EXCERPT_CAP)).when(extension == "rtf", excerpt_of_text(rtf_text(F.decode(content, "ISO-8859-1")))).when(extension.isin(*WORDS), excerpt_of_text(markup.mac_word_text(content)))
     told = [plain_metadata(files).select(key, F.col("plain"), stats.alias("stats"), body.alias("text"), extension.alias("k_extension"), F.octet_length(content).alias("k_size"))]
     known = {*WALKERS, *OFFICE, *SHEETS, *PDFS, *WORDS}
     met = {r[0] for r in files.where(extension.isin(*known)).select("extension").distinct().collect()}  # some of a fixed list; ways that nothing needs aren't planned
@@ -148,6 +148,6 @@ def extract(files: DataFrame, key: str = "id") -> DataFrame:
     found = overlaid(F.coalesce("pdf", "plain", overlaid(F.col("walked"), sound_details(F.col("walked"), extension, F.col("k_size"))), "office", "stats"), F.col("sheets"))
     shown = (
         F.when(extension.isin(*PLAIN) | (extension == "rtf"), F.col("text")).when(extension == "docx", excerpt_of_text(F.col("main"))).when(extension.isin("xlsx", "xls", "ods"), excerpt_of_text(F.col("cells")))
-        .when(extension == "pdf", F.coalesce("shown", excerpt_of_text(F.col("loose")))).when(extension.isin("doc", "dot"), excerpt_of_text(F.col("word")))
+        .when(extension == "pdf", F.coalesce("shown", excerpt_of_text(F.col("loose")))).when(extension.isin(*WORDS), F.coalesce("text", excerpt_of_text(F.col("word"))))
     )
     return normalised(rows.select(key, found.alias("deepMeta"), shown.alias("excerpt"), F.lit(None).cast("string").alias("error")))

@@ -58,6 +58,21 @@ def test_containers(spark):
     assert pick("a.indd", "Format", "Title") == ["InDesign", "Layout"] and found["a.doc"]["application"] == "Microsoft Office Word"
 
 
+def test_macintosh_text_and_loose_encodings(spark):
+    from quarry.functions.markup import mac_word_text
+    from quarry.functions.textstats import text_stats
+
+    head = b"\xfe7\0\x1c" + bytes(252)
+    whole, cut = head + b"One\r\r\r\rtwo \xd2q\xd3\t\x01\xe9", head + b"Text that stays" + b"x" * 20 + bytes(25) + b"lost"
+    cases = [("mac", whole), ("cut", cut), ("no", b"\xd0\xcf"), ("empty", b""), ("null", None)]
+    df = spark.createDataFrame(cases, "id string, content binary")
+    assert {r["id"]: r["t"] for r in df.select("id", mac_word_text(F.col("content")).alias("t")).collect()} == {"mac": "One\n\ntwo “q”\té", "cut": "Text that stays", "no": None, "empty": None, "null": None}
+    texts = {"plain": b"a", "utf": "é".encode(), "latin": b"\xe9t", "long": b"\xe0\x80\x80", "half": b"\xff\xfea\0b", "wide": b"\xff\xfea\0", "bad": b"\xef\xbb\xbf\xff"}
+    df = spark.createDataFrame(list(texts.items()), "id string, content binary").select("id", text_stats(F.col("content"))["encoding"].alias("e"))
+    other = "ISO-8859-1 (fallback)"
+    assert {r["id"]: r["e"] for r in df.collect()} == {"plain": "utf-8", "utf": "utf-8", "latin": "latin1", "long": other, "half": other, "wide": "utf-16le", "bad": other}
+
+
 def test_json_array(spark, tmp_path):
     rows = spark.createDataFrame([(2, 'x"y', None), (1, "é\n", "z")], "n int, name string, note string").repartition(2)
     assert sinks.write_json_array(rows, f"{tmp_path}/json", [F.col("n")]) == 2

@@ -79,6 +79,32 @@ def test_store(spark, tmp_path):
     assert store.cache().count() == 0
 
 
+def test_cache_evicts_the_oldest_by_waves(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    files = lambda ids, at: spark.createDataFrame([(i, 10, at, i.encode()) for i in ids], "id string, size long, cachedAt long, content binary")
+    store.cache_files(files(["a", "b"], 1), 40)
+    store.cache_files(files(["b", "c"], 2), 40)  # b stays as it was cached first
+    assert sorted((r["id"], r["cachedAt"]) for r in store.cache().collect()) == [("a", 1), ("b", 1), ("c", 2)]
+    store.cache_files(files(["d", "e", "f"], 3), 40)
+    assert sorted(r["id"] for r in store.cache().collect()) == ["c", "d", "e", "f"]
+    assert not any("wave=1" in f and f.endswith(".parquet") and spark.read.parquet(f).where("content is not null").count() for f in spark.read.parquet(f"{store.root}/cache").inputFiles())  # its space is free
+    store.cache_files(files(["a"], 4), 40)
+    assert sorted(r["id"] for r in store.cache().collect()) == ["a", "d", "e", "f"]
+
+
+def test_switching_batches_resumes_the_other(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    second = store.import_records(spark.createDataFrame([("x", "captured"), ("y", "processing"), ("z", "complete")], "id string, _status string"), "second")
+    first = store.create_batch("first")
+    store.activate(first)
+    store.cache_files(spark.createDataFrame([("x", 1, 1, b"1")], "id string, size long, cachedAt long, content binary"))
+    current = store.load(second).where("id = 'z'").withColumn("id", F.lit("w"))
+    records, rest = store.switch(current, second)
+    assert store.active() == second and sorted(r["id"] for r in records.collect()) == ["x", "y", "z"]
+    assert {r["id"]: (r["_status"], r["content"] and bytes(r["content"])) for r in rest.collect()} == {"x": ("captured", b"1"), "y": ("error", None)}
+    assert [r["id"] for r in store.load(first).collect()] == ["w"] and store.batch(first).first()["fileCount"] == 1
+
+
 def test_registry_and_sources():
     registry, a = Registry().create("a")
     registry, b = registry.duplicate(a)
