@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,11 +43,14 @@ def work_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts lineage, keeps the columns from being computed twice, and survives lost executors.
+    This cuts lineage, keeps the columns from being computed twice, and survives lost executors. The plans
+    that ended with the write are collected at once, as Spark keeps their shuffle files on disk until then.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
