@@ -1,10 +1,15 @@
-"""The pipeline's near-copies: texts whose sets of five-word shingles have a Jaccard similarity >= 0.8.
+"""The pipeline's near-copies by SimHash: texts whose sets of five-word shingles have a Jaccard similarity >= 0.8.
 
-SimHash with links at 3 of 64 bits doesn't reach that similarity (see README), so candidates come
-from MinHash: BANDS keys of ROWS minima each. A pair of similarity 0.8 shares none of them with
-probability (1 - 0.8 ** 4) ** 20 = 0.00003. Texts that share a key are compared exactly by their
-shingle sets, and linked texts form components. Within a key's bucket components are found by
-breadth-first search, so no pairs are made; a bucket is handled in one task.
+Two such texts differ in 0.15 of their SimHash bits or less (shingles weigh alike; cosine 2J / (1 + J)), in 10
+of 64 on average, so one fingerprint linked at 3 bits finds few of them. A text has TABLES independent
+fingerprints of BITS bits instead, and one of 128 bits that names it. Each fingerprint is ball-hashed: it emits itself
+and the PROBES - 1 variants with its weakest bits flipped (sums near zero differ first), and two texts meet in the
+middle, at a variant of both. At similarity 0.8 that fails in all tables with probability 0.00003. Of those that meet,
+names at more than FAR bits are no candidates (similarity 0.8: 19.4 expected, standard deviation 4.1; unrelated: 64).
+
+Candidates are then compared exactly, by shingle sets: every pair of a component of candidates, whether it met or not, but
+for those that links found already join. A component of up to MEMBERS sets is handled in one task. A larger one is
+compared with one of its members first; only the sets not linked to it are compared with all others, in pairs of blocks.
 
 Texts of equal sets fall together before that. Words are lowered (A-Z) and cut at ASCII white space;
 fewer than five words are one shingle; null and wordless texts are copies of each other. Each row has
@@ -14,6 +19,7 @@ a key of its own, so repeated and null doc_ids neither lose nor keep rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +28,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, written
+from .common import batch_rows, spread_join, written
 from .components import connected
 from .texts import rolled, texts_of, with_columns
 
 SHINGLE = 5  # words
-BANDS, ROWS = 20, 4
+NAME = 128  # bits of the fingerprint that names a text
+TABLES, BITS = 24, 26
+AT_ONCE = 4  # tables whose variants are on disk at the same time
+FAR = 38  # bits in which the names of candidates differ at most
 SIMILAR = (4, 5)  # Jaccard similarity of linked texts, as a fraction
+MEMBERS = 1_000  # sets that one task compares, and twice a block of larger components
 SET_ROWS = 200  # rows in an Arrow batch of shingle sets
+ALL_PAIRS = 8  # of a bucket with at most so many members
 
-_RNG = np.random.default_rng(11)
-_XOR, _TIMES = (_RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_TIMES = np.random.default_rng(11).integers(0, 2**63, (NAME + TABLES * BITS) // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LANES = np.uint64(0x00FF00FF00FF00FF)
+# Weak bits flipped by each variant, as ranks: by the sum of (rank + 1) ** 2, as squares of sums grow.
+_FLIPS = ((), (0,), (1,), (0, 1), (2,), (0, 2), (1, 2), (0, 1, 2), (3,), (0, 3), (1, 3), (0, 1, 3), (2, 3), (4,), (0, 2, 3), (0, 4))
+PROBES, WEAK = len(_FLIPS), 5
+_PATTERN = np.array([[rank in f for f in _FLIPS] for rank in range(WEAK)], np.int64)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -42,23 +57,104 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(rolled(codes, min(SHINGLE, len(words)))) if words else codes
 
 
-def band_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """BANDS keys of each set; none of an empty one."""
-    full = [i for i, s in enumerate(sets) if len(s)]
-    out = [np.zeros(0, np.int64)] * len(sets)
-    if full:
-        flat = np.concatenate([sets[i] for i in full])
-        starts = np.cumsum([0] + [len(sets[i]) for i in full[:-1]])
-        keys = np.zeros((len(full), BANDS), np.uint64)
-        for band in range(BANDS):
-            key = np.full(len(full), band + 1, np.uint64)
-            for j in range(band * ROWS, band * ROWS + ROWS):
-                key = (key ^ np.minimum.reduceat((flat ^ _XOR[j]) * _TIMES[j], starts)) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            keys[:, band] = key
-        for i, k in zip(full, keys.view(np.int64), strict=True):
-            out[i] = k
-    return out
+def sums(codes: np.ndarray) -> np.ndarray:
+    """The sums of all fingerprints' bits: of a pseudo-random byte, less its mean, for each shingle and bit."""
+    total = np.zeros((2, len(_TIMES) * 4), np.int64)
+    for a in range(0, len(codes), 256):  # so many bytes add up to less than 2 ** 16
+        mixed = codes[a : a + 256, None] * _TIMES
+        mixed ^= mixed >> np.uint64(32)
+        for k, shift in enumerate((0, 8)):
+            total[k] += np.add.reduce(mixed >> np.uint64(shift) & _LANES, axis=0).view(np.uint16)
+    return total.ravel() * 2 - 255 * len(codes)
+
+
+def fingerprint(codes: np.ndarray) -> tuple[bytes, bytes]:
+    """A text's name, and the sums of its tables' bits, as signed bytes (-127 to 127, never 0)."""
+    found = sums(codes)
+    size = np.abs(found[NAME:])
+    size = 1 + size * 126 // max(1, int(size.max()))
+    return np.packbits(found[:NAME] > 0).tobytes(), np.where(found[NAME:] > 0, size, -size).astype(np.int8).tobytes()
+
+
+def variants(margins: np.ndarray, first: int) -> np.ndarray:
+    """``margins``: texts x tables x BITS. Keys of each text: its fingerprints and their likeliest variants."""
+    weak = np.argsort(np.abs(margins), axis=2, kind="stable")[:, :, :WEAK]
+    base = (margins > 0).astype(np.int64) @ (1 << np.arange(BITS, dtype=np.int64))
+    flips = np.einsum("ntw,wp->ntp", np.int64(1) << weak, _PATTERN)
+    tables = np.arange(first, first + margins.shape[1], dtype=np.int64)[None, :, None] << BITS
+    return ((base[:, :, None] ^ flips) | tables).reshape(len(margins), -1)
+
+
+def _emitted(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            margins = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int8).reshape(n, TABLES, BITS)[:, first : first + AT_ONCE]
+            keys = variants(margins, first)
+            names = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(n, 2)
+            ends = [pa.array(np.repeat(names[:, k], keys.shape[1])) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *ends], names=["k_key", "k_1", "k_2"])
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)  # of signed numbers it counts the absolute value's
+
+
+def near_names(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within buckets, whose components are those of all near names in a bucket. ``keys`` are sorted."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(keys)])
+    rest = np.repeat(first + size, size) - np.arange(len(keys))  # members from each one on
+    rest[np.repeat(size > ALL_PAIRS, size)] = 0
+    a, b = [], []
+    for step in range(1, ALL_PAIRS):
+        at = np.flatnonzero(rest > step)
+        at = at[_apart(names[at], names[at + step]) <= FAR]
+        a.append(at)
+        b.append(at + step)
+    for start, n in zip(first[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
+        left, queue = np.arange(start, start + n), []
+        while len(left):
+            at = queue.pop() if queue else int(left[0])
+            near = _apart(names[left], names[at]) <= FAR
+            found = left[near & (left != at)]
+            queue += found.tolist()
+            a.append(found)
+            b.append(np.full(len(found), at))
+            left = left[~near]
+    a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
+    return names[a], names[b]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets come sorted by key; the last one of a batch may go on in the next."""
+
+    def linked(keys: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+        both = np.unique(np.hstack(near_names(keys, names)), axis=0)
+        ends = [pa.array([r.tobytes() for r in both[:, k : k + 2]], pa.binary()) for k in (0, 2)]
+        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    keys, names = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    for batch in batches:
+        own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        keys, names = np.r_[keys, own[0]], np.r_[names, np.stack(own[1:], 1)]
+        if len(keys):
+            cut = int(np.searchsorted(keys, keys[-1], "left"))
+            if cut:
+                yield linked(keys[:cut], names[:cut])
+            keys, names = keys[cut:], names[cut:]
+    yield linked(keys, names)
+
+
+def links(named: DataFrame) -> DataFrame:
+    """``named``: k_name, k_margins, distinct names. Returns a, b: candidates' names."""
+    batch_rows(named.sparkSession, 20_000)
+    found = []
+    for first in range(0, TABLES, AT_ONCE):
+        keys = named.select("k_name", "k_margins").mapInArrow(lambda b, first=first: _emitted(b, first), "k_key long, k_1 long, k_2 long")
+        met = keys.repartition("k_key").sortWithinPartitions("k_key").mapInArrow(_met, "a binary, b binary")
+        found.append(written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def tree_edges(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -109,6 +205,46 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each set is similar to its component's centre."""
+    for batch in batches:
+        pairs = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k_content", "k_middle")), strict=True)
+        near = [len(tree_edges([np.frombuffer(x, "<u8") for x in p])) == 1 for p in pairs]
+        kept = [batch.column(batch.schema.get_field_index(c)) for c in ("k_comp", "k_set", "k_centre")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(near, pa.bool_())], names=["k_comp", "k_set", "k_centre", "k_near"])
+
+
+_LINKS = "a binary, b binary"
+
+
+def _compared(sets: DataFrame) -> DataFrame:
+    """Links within components that one task compares. ``sets``: k_task, k_set, k_content."""
+    dealt = sets.select("k_task", "k_set", "k_content").repartition("k_task").sortWithinPartitions("k_task")
+    return dealt.mapInArrow(_verified, _LINKS)
+
+
+def large_links(sets: DataFrame) -> DataFrame:
+    """Links within components of any size, by blocks. ``sets``: k_comp, k_set, k_content.
+
+    All sets meet one of their component, its centre. Those not similar to it then meet all others.
+    """
+    centres = sets.groupBy("k_comp").agg(F.min_by("k_set", "k_set").alias("k_centre"), F.min_by("k_content", "k_set").alias("k_middle"))
+    beside = spread_join(sets, centres, "k_comp", ["k_set"]).mapInArrow(_beside, "k_comp binary, k_set binary, k_centre binary, k_near boolean")
+    beside = written(beside, "beside-centres")
+    found = beside.where("k_near and k_set <> k_centre").select(F.col("k_set").alias("a"), F.col("k_centre").alias("b"))
+    block = lambda n: F.ceil(2 * F.col(n) / MEMBERS).cast("int")
+    counts = beside.groupBy("k_comp").agg(F.count_if(~F.col("k_near")).alias("k_left"), F.count_if("k_near").alias("k_linked")).where("k_left > 0")
+    counts = counts.select("k_comp", block("k_left").alias("k_left"), block("k_linked").alias("k_linked"))
+    if counts.isEmpty():
+        return found
+    placed = spread_join(beside.select("k_comp", "k_set", "k_near"), counts, "k_comp", ["k_set"])
+    own = F.when(F.col("k_near"), F.col("k_left") + F.pmod(F.xxhash64("k_set"), F.col("k_linked"))).otherwise(F.pmod(F.xxhash64("k_set"), F.col("k_left"))).cast("int")
+    most = F.when(F.col("k_near"), F.col("k_left")).otherwise(F.col("k_left") + F.col("k_linked"))
+    placed = placed.withColumn("k_own", own).select("k_comp", "k_set", "k_own", F.explode(F.sequence(F.lit(0), most - 1)).alias("k_with"))
+    tasks = placed.select("k_set", F.xxhash64("k_comp", F.least("k_own", "k_with"), F.greatest("k_own", "k_with")).alias("k_task"))
+    return found.unionByName(_compared(tasks.join(sets.select("k_set", "k_content"), "k_set")))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component: that with its smallest doc_id, null ids last."""
     rows = written(docs.withColumn("k_row", F.monotonically_increasing_id()), "keyed-rows")
@@ -116,26 +252,32 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     def marks():
         def work(part: pa.RecordBatch) -> list:
             sets = [shingles(t) for t in texts_of(part)]
-            return [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], band_keys(sets)]
+            found = [fingerprint(s) if len(s) else (None, None) for s in sets]
+            return [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [f[0] for f in found], [f[1] for f in found]]
 
         return work
 
     def contents():
         return lambda part: [[shingles(t).astype("<u8").tobytes() for t in texts_of(part)]]
 
-    fields = [T.StructField("k_set", T.BinaryType()), T.StructField("k_bands", T.ArrayType(T.LongType()))]
-    marked = written(with_columns(rows.select("doc_id", "k_row", "text"), marks, fields, ["doc_id", "k_row"]), "shingle-sets")
+    fields = [T.StructField(c, T.BinaryType()) for c in ("k_set", "k_name", "k_margins")]
+    marked = written(with_columns(rows.select("doc_id", "k_row", "text"), marks, fields, ["doc_id", "k_row"]), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k_row")
-    least = written(marked.groupBy("k_set").agg(F.min(order).alias("k_least")), "distinct-sets")
-    one = least.select("k_set", F.col("k_least.k_row").alias("k_row"))
-    members = written(marked.select("k_row", "k_bands").join(one, "k_row").select("k_set", "k_row", F.explode("k_bands").alias("k_band")), "bands")
-    shared = members.groupBy("k_band").count().where("count > 1").select("k_band")
-    members = written(members.join(shared, "k_band", "left_semi"), "shared-bands")
-    wanted = rows.select("k_row", "text").join(members.select("k_set", "k_row").distinct(), "k_row")
-    sets = written(with_columns(wanted, contents, [T.StructField("k_content", T.BinaryType())], ["k_set"]), "compared-sets")
+    least = written(marked.groupBy("k_set").agg(F.min(order).alias("k_least"), F.min("k_name").alias("k_name")), "distinct-sets")  # a set has one name
+    sets = least.where("k_name is not null").select("k_set", "k_name", F.col("k_least.k_row").alias("k_row"))
+    one = sets.groupBy("k_name").agg(F.min("k_row").alias("k_row")).select("k_row")
+    stars = connected(links(written(marked.select("k_row", "k_name", "k_margins").join(one, "k_row", "left_semi"), "names")))
+    grouped = sets.join(stars.select(F.col("a").alias("k_name"), F.col("b").alias("k_root")), "k_name", "left")
+    grouped = written(grouped.select(F.coalesce("k_root", "k_name").alias("k_comp"), "k_set", "k_row"), "components")
+    sizes = grouped.groupBy("k_comp").agg(F.count("*").alias("k_n")).where("k_n > 1")
+    wanted = rows.select("k_row", "text").join(spread_join(grouped, sizes, "k_comp", ["k_set"]), "k_row")
+    sets = written(with_columns(wanted, contents, [T.StructField("k_content", T.BinaryType())], ["k_comp", "k_set", "k_n"]), "compared-sets")
     batch_rows(docs.sparkSession, SET_ROWS)
-    buckets = members.select("k_band", "k_set").join(sets, "k_set").select("k_band", "k_set", "k_content")
-    stars = connected(buckets.repartition("k_band").sortWithinPartitions("k_band").mapInArrow(_verified, "a binary, b binary"))
+    found = _compared(sets.where(F.col("k_n") <= MEMBERS).withColumn("k_task", F.col("k_comp")))
+    large = sets.where(F.col("k_n") > MEMBERS)
+    if not large.isEmpty():
+        found = found.unionByName(large_links(large.drop("k_n")))
+    stars = connected(found)
     rooted = least.join(stars.select(F.col("a").alias("k_set"), F.col("b").alias("k_root")), "k_set", "left")
     kept = rooted.groupBy(F.coalesce("k_root", "k_set")).agg(F.min("k_least").alias("k_least")).select("k_least.k_row")
     return rows.join(kept, "k_row", "left_semi").select(docs.columns)

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from quarry.llm import neardup
 
@@ -86,3 +88,33 @@ def test_stage_keeps_one_row_of_each_component(spark, texts):
     texts_kept = [r["text"] for r in kept]
     assert texts_kept.count("all alone here") == texts_kept.count("a null id alone") == 1
     assert neardup.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_meet_at_similarity_four_fifths(spark):
+    """Pairs at the least linked similarity share a variant of a SimHash fingerprint; unrelated texts are no candidates."""
+    rng = np.random.default_rng(6)
+    rows, pairs = [], []
+    for size in [5, 9, 18, 45, 90, 180] * 40:
+        both = size if size == 5 else size * 8 // 9
+        codes = rng.integers(0, 2**63, 2 * size - both, dtype=np.uint64)
+        two = [neardup.fingerprint(c) for c in (codes[:size], codes[:4] if size == 5 else codes[size - both :])]
+        rows += two
+        pairs.append({bytes(name) for name, _ in two})
+    assert len({name for name, _ in rows}) == 2 * len(pairs)
+    found = neardup.links(spark.createDataFrame(rows, "k_name binary, k_margins binary")).distinct().collect()
+    assert sorted(map(sorted, ({bytes(r["a"]), bytes(r["b"])} for r in found))) == sorted(map(sorted, pairs))
+
+
+def test_large_components_by_blocks(spark, monkeypatch):
+    """Components over the bound are compared in blocks: chains of texts, of which the ends aren't similar to the centre."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(2):
+        words = prose(rng, 150).split()
+        for k in range(40):
+            texts.append(" ".join(words))
+            words[3 * k + 5] = prose(rng, 1)
+    rows = list(enumerate([*texts, *(prose(rng, 80) for _ in range(5))]))
+    monkeypatch.setattr(neardup, "MEMBERS", 8)
+    kept = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert Counter(r["doc_id"] for r in kept.collect()) == survivors(rows)[0]
