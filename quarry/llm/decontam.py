@@ -8,7 +8,8 @@ ascending places. No list is longer than its block, so frequent words need no ta
 Phrases are looked up from the term that is rarest in the training table. A join finds the blocks
 that have it; in each of them its places, shifted by the term's offset, are candidate starts, which
 are intersected with the shifted lists of the other terms, rarer ones first. Proximity matches
-intersect lists on nearness instead. Phrases reach blocks by joins alone; nothing is collected.
+intersect lists on nearness instead. Phrases reach blocks by joins; nothing is collected. Up to MOST_TERMS
+words of phrases are broadcast, so that other words' lists stay where they are; with more, all lists go to their blocks.
 
 Words: A-Z lowered, runs of ASCII letters and digits and of all characters beyond ASCII. A phrase is
 10 consecutive words of an item, or all words of a shorter one. Null text or item: no words.
@@ -37,6 +38,7 @@ PHRASE = 10
 NEAR = 16  # words from a phrase's rarest term in which a proximity match has all its other terms
 GAP = 64  # empty places between documents; more than any distance that is asked
 BLOCK_BYTES = 32_000_000
+MOST_TERMS = 200_000  # distinct words of phrases that are broadcast
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OWN = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
 
@@ -199,17 +201,22 @@ def _looked_up(batches: Iterator[pa.RecordBatch], within: int | None) -> Iterato
     yield told()
 
 
+def asked_lists(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The terms' lists of ``index``: those of the phrases' words, or all where these are too many to broadcast."""
+    lists = index.where("term is not null")
+    terms = written(phrases.select(F.explode("terms").alias("term")).distinct(), "phrase-words")
+    return lists.join(F.broadcast(terms), "term", "left_semi") if terms.count() <= MOST_TERMS else lists
+
+
 def lookup(index: DataFrame, phrases: DataFrame, within: int | None = None) -> DataFrame:
     """phrase, n, k_row, start, near: exact matches, and places with a phrase's terms near each other.
 
     ``phrases``: phrase, terms. ``within`` is less than GAP.
     """
-    ranked = written(rarest_first(index, phrases), "phrase-terms")
-    lists = index.where("term is not null")
+    lists = asked_lists(index, phrases)
+    ranked = written(rarest_first(lists, phrases), "phrase-terms")
     asked = spread_join(lists.select("term", "k_block"), ranked, "term", ["k_block"])
-    terms = ranked.select(F.explode(F.split("phrase", " ")).alias("term")).distinct()
-    wanted = spread_join(lists.select("term", "k_block", "places"), terms, "term", ["k_block"], "left_semi")
-    wanted = wanted.unionByName(index.where("term is null").select("term", "k_block", "places"))
+    wanted = lists.unionByName(index.where("term is null")).select("term", "k_block", "places")
     both = wanted.unionByName(asked.select("k_block", "phrase", "k_order"), allowMissingColumns=True)
     batch_rows(index.sparkSession, BATCH_ROWS)
     sent = both.select("k_block", "term", "places", "phrase", "k_order").repartition("k_block").sortWithinPartitions("k_block", F.col("phrase").asc_nulls_first())
