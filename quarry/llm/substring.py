@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -128,13 +129,15 @@ def _place(p: Column) -> Column:
 
 def _segments(words: list[bytes], at: np.ndarray, shards: np.ndarray, query: np.ndarray, window: int) -> list[dict]:
     """Maximal runs of words under windows ``at`` of the same shard and part in it, with those windows."""
+    order = np.lexsort((at, query, shards))
+    at, shards, query = at[order], shards[order], query[order]
+    cut = np.flatnonzero((np.diff(at) > window) | (np.diff(at) < 0) | (shards[1:] != shards[:-1]) | (query[1:] != query[:-1])) + 1
+    ends = np.r_[cut, len(at)].tolist()
     out = []
-    for shard, asks in sorted(set(zip(shards.tolist(), query.tolist(), strict=True))):
-        own = at[(shards == shard) & (query == asks)]
-        cut = np.flatnonzero(np.diff(own) > window) + 1
-        for run in np.split(own, cut):
-            a, b = int(run[0]), int(run[-1]) + window
-            out.append({"shard": shard, "query": asks, "start": a, "asked": (run - a).tolist(), "words": b" ".join(words[a:b])})
+    for i, j in zip([0, *ends[:-1]], ends, strict=True):
+        if i < j:
+            a, b = int(at[i]), int(at[j - 1]) + window
+            out.append({"shard": int(shards[i]), "query": bool(query[i]), "start": a, "asked": (at[i:j] - a).tolist(), "words": b" ".join(words[a:b])})
     return out
 
 
@@ -224,15 +227,19 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
 
         def work(part: pa.RecordBatch) -> list:
             texts = texts_of(part)
-            lists = part.column(part.schema.get_field_index("k_a")).to_pylist()
-            asked_ = [i for i, pairs in enumerate(lists) if pairs]
+            lists = part.column(part.schema.get_field_index("k_a"))
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            flat = lists.flatten()  # of the slice's rows, without those of nulls
+            places_, shards_, query_ = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("p", "shard", "query"))
+            stops = np.cumsum(sizes)
+            asked_ = np.flatnonzero(sizes).tolist()
             words, starts, at, places, _ = _anchors([texts[i] for i in asked_], codes, window, gram)
             first = np.searchsorted(at, starts)
             segments: list = [None] * len(texts)
-            done = [None if pairs else finish(t.split(), None) for t, pairs in zip(texts, lists, strict=True)]
+            done = [None if n else finish(t.split(), None) for t, n in zip(texts, sizes.tolist(), strict=True)]
             for j, i in enumerate(asked_):
                 own = words[starts[j] : starts[j + 1]]
-                p, s, q = np.array([x["p"] for x in lists[i]]), np.array([x["shard"] for x in lists[i]], np.int64), np.array([x["query"] for x in lists[i]], bool)
+                p, s, q = (x[stops[i] - sizes[i] : stops[i]] for x in (places_, shards_, query_))
                 mine, anchor = at[first[j] : first[j + 1]] - starts[j], places[first[j] : first[j + 1]] - starts[j]
                 k = np.minimum(np.searchsorted(p, anchor), len(p) - 1)
                 hit = p[k] == anchor

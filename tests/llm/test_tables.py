@@ -287,3 +287,22 @@ def test_sharding_cuts_a_group_that_fills_shards(spark):
     for r in sharding.shard_documents(docs, 8).select("shard", "size").collect():
         sizes[r["shard"]] += r["size"]
     assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 40
+
+
+def test_segments_of_many_shards():
+    """Runs of windows by shard and part, as grouping one shard after another gives them."""
+    rng = np.random.default_rng(8)
+    words = [b"w%d" % i for i in range(3000)]
+    for many in (1, 3, 400):
+        at = np.flatnonzero(rng.random(2900) < 0.4)
+        shards, query = rng.integers(-many, many, len(at)), rng.random(len(at)) < 0.7
+        want = []
+        for shard, asks in sorted(set(zip(shards.tolist(), query.tolist(), strict=True))):
+            run: list[int] = []
+            for x in [*at[(shards == shard) & (query == asks)].tolist(), None]:
+                if run and (x is None or x - run[-1] > 20):
+                    want.append({"shard": shard, "query": asks, "start": run[0], "asked": [y - run[0] for y in run], "words": b" ".join(words[run[0] : run[-1] + 20])})
+                    run = []
+                run.append(x)
+        assert substring._segments(words, at, shards, query, 20) == want
+    assert substring._segments(words, at[:0], shards[:0], query[:0], 20) == []
