@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 HOT_ROWS = 1024  # of a key in one task of a join
+MOST_KEYS = 1_000_000  # that are broadcast to pick rows
+
+_TABLES: ContextVar[list[tuple[str, DataFrame]] | None] = ContextVar("tables", default=None)  # written since ``condensed`` began
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,14 +56,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    if (tables := _TABLES.get()) is not None:
+        tables.append((path, found))
+    return found
+
+
+def condensed[T](make: Callable[[], T]) -> T:
+    """What ``make`` returns: one or several tables of ``written``. The others that it wrote on its way are deleted.
+
+    So nothing that ``make`` has planned may be read later but through these.
+    """
+    token = _TABLES.set([])
+    try:
+        out = make()
+        tables = _TABLES.get()
+    finally:
+        _TABLES.reset(token)
+    left = out if isinstance(out, tuple) else (out,)
+    kept = [t for t in tables if any(t[1] is x for x in left)]
+    if len(kept) != len(left):
+        raise ValueError("only written tables can be kept")
+    for path, df in tables:
+        if all(df is not x for x in left):
+            _delete(df.sparkSession, path)
+    if (outer := _TABLES.get()) is not None:
+        outer += kept
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_work(spark: SparkSession) -> None:
     """Delete what this application has written below the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}")
 
 
 def tasks_for(spark: SparkSession, rows: int, rows_a_task: int) -> int:
@@ -84,6 +118,14 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, within: list[str], h
     return dealt.join(copies, [key, "k_share"], how).drop("k_share")
 
 
+def picked(big: DataFrame, keys: DataFrame, on: str | Column, how: str) -> DataFrame:
+    """Rows of ``big`` with (left_semi) or without (left_anti) a row of the written table ``keys``.
+
+    Up to MOST_KEYS keys are broadcast, so that ``big``'s rows stay where they are; with more, both are exchanged.
+    """
+    return big.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, on, how)
+
+
 def utf8_size(text: Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -7,6 +7,9 @@ and the PROBES - 1 variants with its weakest bits flipped (sums near zero differ
 middle, at a variant of both. At similarity 0.8 that fails in all tables with probability 0.00003. Of those that meet,
 names at more than FAR bits are no candidates (similarity 0.8: 19.4 expected, standard deviation 4.1; unrelated: 64).
 
+A group of many near-copies meets in very many buckets. A bucket links each member to one other at most, and links are
+thinned twice where they are dealt by their member: those of a batch become as few that join the same names.
+
 Candidates are then compared exactly, by shingle sets: every pair of a component of candidates, whether it met or not, but
 for those that links found already join. A component of up to MEMBERS sets is handled in one task. A larger one is
 compared with one of its members first; only the sets not linked to it are compared with all others, in pairs of blocks.
@@ -23,12 +26,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, spread_join, written
+from .common import batch_rows, condensed, picked, spread_join, written
 from .components import connected
 from .texts import rolled, texts_of, with_columns
 
@@ -43,6 +47,7 @@ SET_ROWS = 200  # rows in an Arrow batch of shingle sets
 ALL_PAIRS = 8  # of a bucket with at most so many members
 
 _TIMES = np.random.default_rng(11).integers(0, 2**63, (NAME + TABLES * BITS) // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LINKS = "a binary, b binary"
 _LANES = np.uint64(0x00FF00FF00FF00FF)
 # Weak bits flipped by each variant, as ranks: by the sum of (rank + 1) ** 2, as squares of sums grow.
 _FLIPS = ((), (0,), (1,), (0, 1), (2,), (0, 2), (1, 2), (0, 1, 2), (3,), (0, 3), (1, 3), (0, 1, 3), (2, 3), (4,), (0, 2, 3), (0, 4))
@@ -100,8 +105,19 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)  # of signed numbers it counts the absolute value's
 
 
+def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each one's component, by links between 0 to n - 1."""
+    least, last = np.arange(n), None
+    while last is None or (least != last).any():
+        last = least.copy()
+        np.minimum.at(least, a, last[b])
+        np.minimum.at(least, b, last[a])
+        least = least[least]
+    return least
+
+
 def near_names(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets, whose components are those of all near names in a bucket. ``keys`` are sorted."""
+    """Links within buckets, of members to the first one of their component by near names. ``keys`` are sorted."""
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(keys)])
     rest = np.repeat(first + size, size) - np.arange(len(keys))  # members from each one on
@@ -123,7 +139,10 @@ def near_names(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndar
             b.append(np.full(len(found), at))
             left = left[~near]
     a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-    return names[a], names[b]
+    linked, at = np.unique(np.r_[a, b], return_inverse=True)
+    least = least_linked(len(linked), at[: len(a)], at[len(a) :])
+    found = np.flatnonzero(least != np.arange(len(linked)))
+    return names[linked[found]], names[linked[least[found]]]
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +165,32 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield linked(keys, names)
 
 
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a batch's names to the least one of their component by its links."""
+    for batch in batches:
+        both = pa.concat_arrays([batch.column(0), batch.column(1)]).dictionary_encode()
+        order = pc.array_sort_indices(both.dictionary)
+        names, rank = both.dictionary.take(order), np.argsort(order.to_numpy())
+        ends = rank[both.indices.to_numpy()]
+        least = least_linked(len(names), ends[: batch.num_rows], ends[batch.num_rows :])
+        found = np.flatnonzero(least != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(found)), names.take(pa.array(least[found]))], names=["a", "b"])
+
+
+def thinned(links: DataFrame) -> DataFrame:
+    """Links with the components of ``links`` (a, b), of which few have one a."""
+    return links.repartition("a").mapInArrow(_thinned, _LINKS).distinct()
+
+
 def links(named: DataFrame) -> DataFrame:
-    """``named``: k_name, k_margins, distinct names. Returns a, b: candidates' names."""
+    """``named``: k_name, k_margins, distinct names. Returns a, b: candidates' names; their components are those of all that meet."""
     batch_rows(named.sparkSession, 20_000)
     found = []
     for first in range(0, TABLES, AT_ONCE):
         keys = named.select("k_name", "k_margins").mapInArrow(lambda b, first=first: _emitted(b, first), "k_key long, k_1 long, k_2 long")
-        met = keys.repartition("k_key").sortWithinPartitions("k_key").mapInArrow(_met, "a binary, b binary")
-        found.append(written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates"))
-    return reduce(DataFrame.unionByName, found)
+        met = keys.repartition("k_key").sortWithinPartitions("k_key", "k_1", "k_2").mapInArrow(_met, _LINKS)
+        found.append(written(thinned(met), "candidates"))
+    return thinned(reduce(DataFrame.unionByName, found))
 
 
 def tree_edges(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -214,9 +250,6 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept, pa.array(near, pa.bool_())], names=["k_comp", "k_set", "k_centre", "k_near"])
 
 
-_LINKS = "a binary, b binary"
-
-
 def _compared(sets: DataFrame) -> DataFrame:
     """Links within components that one task compares. ``sets``: k_task, k_set, k_content."""
     dealt = sets.select("k_task", "k_set", "k_content").repartition("k_task").sortWithinPartitions("k_task")
@@ -245,9 +278,8 @@ def large_links(sets: DataFrame) -> DataFrame:
     return found.unionByName(_compared(tasks.join(sets.select("k_set", "k_content"), "k_set")))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component: that with its smallest doc_id, null ids last."""
-    rows = written(docs.withColumn("k_row", F.monotonically_increasing_id()), "keyed-rows")
+def _distinct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets with their least row and name; distinct names with the sums of their tables' bits. ``rows``: doc_id, text, k_row."""
 
     def marks():
         def work(part: pa.RecordBatch) -> list:
@@ -257,22 +289,35 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
         return work
 
-    def contents():
-        return lambda part: [[shingles(t).astype("<u8").tobytes() for t in texts_of(part)]]
-
     fields = [T.StructField(c, T.BinaryType()) for c in ("k_set", "k_name", "k_margins")]
     marked = written(with_columns(rows.select("doc_id", "k_row", "text"), marks, fields, ["doc_id", "k_row"]), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k_row")
     least = written(marked.groupBy("k_set").agg(F.min(order).alias("k_least"), F.min("k_name").alias("k_name")), "distinct-sets")  # a set has one name
+    one = least.where("k_name is not null").groupBy("k_name").agg(F.min("k_least.k_row").alias("k_row")).select("k_row")
+    return least, written(marked.select("k_row", "k_name", "k_margins").join(one, "k_row", "left_semi"), "names")
+
+
+def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets, and links of names to the least one of their component of candidates."""
+    least, names = condensed(lambda: _distinct(rows))
+    return least, connected(links(names))
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """k_row of the rows that go."""
+
+    def contents():
+        return lambda part: [[shingles(t).astype("<u8").tobytes() for t in texts_of(part)]]
+
+    least, stars = condensed(lambda: _candidates(rows))
     sets = least.where("k_name is not null").select("k_set", "k_name", F.col("k_least.k_row").alias("k_row"))
-    one = sets.groupBy("k_name").agg(F.min("k_row").alias("k_row")).select("k_row")
-    stars = connected(links(written(marked.select("k_row", "k_name", "k_margins").join(one, "k_row", "left_semi"), "names")))
     grouped = sets.join(stars.select(F.col("a").alias("k_name"), F.col("b").alias("k_root")), "k_name", "left")
     grouped = written(grouped.select(F.coalesce("k_root", "k_name").alias("k_comp"), "k_set", "k_row"), "components")
     sizes = grouped.groupBy("k_comp").agg(F.count("*").alias("k_n")).where("k_n > 1")
-    wanted = rows.select("k_row", "text").join(spread_join(grouped, sizes, "k_comp", ["k_set"]), "k_row")
-    sets = written(with_columns(wanted, contents, [T.StructField("k_content", T.BinaryType())], ["k_comp", "k_set", "k_n"]), "compared-sets")
-    batch_rows(docs.sparkSession, SET_ROWS)
+    wanted = written(spread_join(grouped, sizes, "k_comp", ["k_set"]), "wanted-sets")
+    texts = picked(rows.select("k_row", "text"), wanted.select("k_row"), "k_row", "left_semi").join(wanted, "k_row")
+    sets = written(with_columns(texts, contents, [T.StructField("k_content", T.BinaryType())], ["k_comp", "k_set", "k_n"]), "compared-sets")
+    batch_rows(rows.sparkSession, SET_ROWS)
     found = _compared(sets.where(F.col("k_n") <= MEMBERS).withColumn("k_task", F.col("k_comp")))
     large = sets.where(F.col("k_n") > MEMBERS)
     if not large.isEmpty():
@@ -280,4 +325,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     stars = connected(found)
     rooted = least.join(stars.select(F.col("a").alias("k_set"), F.col("b").alias("k_root")), "k_set", "left")
     kept = rooted.groupBy(F.coalesce("k_root", "k_set")).agg(F.min("k_least").alias("k_least")).select("k_least.k_row")
-    return rows.join(kept, "k_row", "left_semi").select(docs.columns)
+    return rows.select("k_row").join(kept, "k_row", "left_anti")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of each component: that with its smallest doc_id, null ids last."""
+    rows = written(docs.withColumn("k_row", F.monotonically_increasing_id()), "keyed-rows")
+    gone = condensed(lambda: written(_copies(rows), "copies"))
+    return picked(rows, gone, "k_row", "left_anti").select(docs.columns)

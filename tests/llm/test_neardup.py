@@ -1,12 +1,14 @@
 """The pipeline's near-copy stage against brute force."""
 
+import os
 import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from quarry.llm import neardup
+from quarry.llm import common, neardup
 
 from .conftest import prose
 
@@ -118,3 +120,62 @@ def test_large_components_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "MEMBERS", 8)
     kept = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert Counter(r["doc_id"] for r in kept.collect()) == survivors(rows)[0]
+
+
+def test_links_of_a_large_group_are_few(spark):
+    """Members of a large group meet in very many buckets, but have hardly more links than the group needs; none is lost."""
+    rng = random.Random(21)
+    groups = [prose(rng, 150) for _ in range(2)]
+    texts = {edited(rng, groups[k % 2], rng.randint(1, 6)) for k in range(800)}
+    named = dict(neardup.fingerprint(neardup.shingles(t.encode())) for t in texts)
+    emitted = spark.createDataFrame(list(named.items()), "k_name binary, k_margins binary").repartition(3)
+    links = [(bytes(r["a"]), bytes(r["b"])) for r in neardup.links(emitted).collect()]
+    root = {n: n for n in named}
+
+    def of(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        root[of(a)] = of(b)
+    assert len({of(n) for n in named}) == 2
+    assert len(links) < 8 * len(named)
+
+
+def test_least_linked_equals_components():
+    rng = random.Random(22)
+    for _ in range(20):
+        n = rng.randint(1, 40)
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, n))]
+        least = list(range(n))
+        for _ in range(n):
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        ends = np.array(pairs, np.int64).reshape(-1, 2)
+        assert neardup.least_linked(n, ends[:, 0], ends[:, 1]).tolist() == least
+
+
+def test_stage_leaves_its_keyed_rows_alone(spark, texts, monkeypatch):
+    """Of the tables written on the way only those that the result reads are left; texts are the same with keys exchanged."""
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    before = tables(spark)
+    kept = neardup.drop_near_copies(docs)
+    assert sorted(t.rpartition("-")[0] for t in tables(spark) - before) == ["copies", "keyed-rows"]
+    few = Counter(r["doc_id"] for r in kept.collect())
+    monkeypatch.setattr(common, "MOST_KEYS", 0)
+    assert Counter(r["doc_id"] for r in neardup.drop_near_copies(docs).collect()) == few
+
+
+def tables(spark):
+    folder = os.path.dirname(common.work_path(spark, "any")).removeprefix("file://")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def test_only_written_tables_are_kept(spark):
+    one = common.condensed(lambda: common.written(common.written(spark.range(5), "first").where("id > 2"), "second"))
+    assert sorted(r["id"] for r in one.collect()) == [3, 4]
+    outer = common.condensed(lambda: common.written(common.condensed(lambda: common.written(one, "inner")), "outer"))
+    assert outer.count() == 2 and not any(t.startswith(("first-", "inner-")) for t in tables(spark))
+    with pytest.raises(ValueError):
+        common.condensed(lambda: common.written(spark.range(5), "third").where("id > 2"))
