@@ -39,6 +39,7 @@ from .texts import rolled, texts_of, with_columns
 SHINGLE = 5  # words
 NAME = 128  # bits of the fingerprint that names a text
 TABLES, BITS = 24, 26
+DEALT = 13  # lower bits of a fingerprint by which keys are not dealt, so that a text's variants share rows
 AT_ONCE = 4  # tables whose variants are on disk at the same time
 FAR = 38  # bits in which the names of candidates differ at most
 SIMILAR = (4, 5)  # Jaccard similarity of linked texts, as a fraction
@@ -95,10 +96,15 @@ def _emitted(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.Recor
         n = batch.num_rows
         if n:
             margins = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int8).reshape(n, TABLES, BITS)[:, first : first + AT_ONCE]
-            keys = variants(margins, first)
+            keys = np.sort(variants(margins, first), axis=1)
             names = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(n, 2)
-            ends = [pa.array(np.repeat(names[:, k], keys.shape[1])) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *ends], names=["k_key", "k_1", "k_2"])
+            deal = keys >> DEALT
+            new = np.flatnonzero(np.diff(deal, axis=1, prepend=-1).ravel())  # a row for each of a text's deals
+            ends = [pa.array(names[new // keys.shape[1], k]) for k in (0, 1)]
+            lower = (keys.ravel() & ((1 << DEALT) - 1)).astype("<u2")
+            offsets = np.r_[new, keys.size].astype(np.int32) * 2
+            lists = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(lower)])
+            yield pa.RecordBatch.from_arrays([pa.array(deal.ravel()[new]), *ends, lists], names=["k_deal", "k_1", "k_2", "k_lower"])
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,7 +152,7 @@ def near_names(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets come sorted by key; the last one of a batch may go on in the next."""
+    """Rows come sorted by deal; the last one of a batch may go on in the next."""
 
     def linked(keys: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
         both = np.unique(np.hstack(near_names(keys, names)), axis=0)
@@ -155,10 +161,15 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     keys, names = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
     for batch in batches:
-        own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-        keys, names = np.r_[keys, own[0]], np.r_[names, np.stack(own[1:], 1)]
+        deal, *name = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        times = np.asarray(pc.binary_length(batch.column(3))).astype(np.int64) // 2
+        lower = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2")
+        own = np.repeat(deal << DEALT, times) | lower
+        keys, names = np.r_[keys, own], np.r_[names, np.repeat(np.stack(name, 1), times, axis=0)]
         if len(keys):
-            cut = int(np.searchsorted(keys, keys[-1], "left"))
+            order = np.lexsort((names[:, 1], names[:, 0], keys))
+            keys, names = keys[order], names[order]
+            cut = int(np.searchsorted(keys, keys[-1] >> DEALT << DEALT, "left"))
             if cut:
                 yield linked(keys[:cut], names[:cut])
             keys, names = keys[cut:], names[cut:]
@@ -187,8 +198,8 @@ def links(named: DataFrame) -> DataFrame:
     batch_rows(named.sparkSession, 20_000)
     found = []
     for first in range(0, TABLES, AT_ONCE):
-        keys = named.select("k_name", "k_margins").mapInArrow(lambda b, first=first: _emitted(b, first), "k_key long, k_1 long, k_2 long")
-        met = keys.repartition("k_key").sortWithinPartitions("k_key", "k_1", "k_2").mapInArrow(_met, _LINKS)
+        keys = named.select("k_name", "k_margins").mapInArrow(lambda b, first=first: _emitted(b, first), "k_deal long, k_1 long, k_2 long, k_lower binary")
+        met = keys.repartition("k_deal").sortWithinPartitions("k_deal").mapInArrow(_met, _LINKS)
         found.append(written(thinned(met), "candidates"))
     return thinned(reduce(DataFrame.unionByName, found))
 
