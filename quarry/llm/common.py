@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 HOT_ROWS = 1024  # of a key in one task of a join
 MOST_KEYS = 1_000_000  # that are broadcast to pick rows
+FILE_ROWS = 50_000  # of keys, in a file of a written table
 
 _TABLES: ContextVar[list[tuple[str, DataFrame]] | None] = ContextVar("tables", default=None)  # written since ``condensed`` began
 
@@ -62,6 +63,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def in_files(keys: DataFrame, rows: int) -> DataFrame:
+    """``keys``, narrow rows that an exchange has dealt, about ``rows`` of them, in one partition for FILE_ROWS of these.
+
+    So a small table isn't written as a file for each shuffle partition: each file costs a task's commit and, on
+    local folders, processes that Hadoop forks to set its permissions, which count as large as the executor meanwhile.
+    """
+    return keys.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def condensed[T](make: Callable[[], T]) -> T:
     """What ``make`` returns: one or several tables of ``written``. The others that it wrote on its way are deleted.
 

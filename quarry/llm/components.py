@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, written
+from .common import in_files, spread_join, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -25,8 +25,8 @@ def connected(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = spread_join(both, least, "a", ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large-star")
+        large = written(in_files(large, now[0]), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = spread_join(large, least, "a", ["b"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        edges = written(in_files(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), now[0]), "small-star")
     return edges

@@ -7,8 +7,9 @@ and the PROBES - 1 variants with its weakest bits flipped (sums near zero differ
 middle, at a variant of both. At similarity 0.8 that fails in all tables with probability 0.00003. Of those that meet,
 names at more than FAR bits are no candidates (similarity 0.8: 19.4 expected, standard deviation 4.1; unrelated: 64).
 
-A group of many near-copies meets in very many buckets. A bucket links each member to one other at most, and links are
-thinned twice where they are dealt by their member: those of a batch become as few that join the same names.
+A group of many near-copies meets in very many buckets. The links of a batch of buckets become as few that join the same
+names, before and after they are dealt by their member. What the first tables have joined is one group from there on: its
+members still meet all others, but links are made between groups, so that a large group isn't linked anew by each table.
 
 Candidates are then compared exactly, by shingle sets: every pair of a component of candidates, whether it met or not, but
 for those that links found already join. A component of up to MEMBERS sets is handled in one task. A larger one is
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, condensed, picked, spread_join, written
+from .common import batch_rows, condensed, in_files, picked, spread_join, written
 from .components import connected
 from .texts import rolled, texts_of, with_columns
 
@@ -104,7 +105,8 @@ def _emitted(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.Recor
             lower = (keys.ravel() & ((1 << DEALT) - 1)).astype("<u2")
             offsets = np.r_[new, keys.size].astype(np.int32) * 2
             lists = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(lower)])
-            yield pa.RecordBatch.from_arrays([pa.array(deal.ravel()[new]), *ends, lists], names=["k_deal", "k_1", "k_2", "k_lower"])
+            group = batch.column(2).take(pa.array(new // keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(deal.ravel()[new]), *ends, lists, group], names=["k_deal", "k_1", "k_2", "k_lower", "k_group"])
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,7 +125,7 @@ def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_names(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets, of members to the first one of their component by near names. ``keys`` are sorted."""
+    """Links within buckets that join the members of each component by near names, as places. ``keys`` are sorted."""
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(keys)])
     rest = np.repeat(first + size, size) - np.arange(len(keys))  # members from each one on
@@ -144,36 +146,46 @@ def near_names(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndar
             a.append(found)
             b.append(np.full(len(found), at))
             left = left[~near]
-    a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-    linked, at = np.unique(np.r_[a, b], return_inverse=True)
-    least = least_linked(len(linked), at[: len(a)], at[len(a) :])
-    found = np.flatnonzero(least != np.arange(len(linked)))
-    return names[linked[found]], names[linked[least[found]]]
+    a, b = (np.concatenate(x).astype(np.int64) for x in (a, b))
+    return a, b
+
+
+def group_links(a: np.ndarray, b: np.ndarray, names: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of as few links as join what the links ``a``, ``b`` (places) join, if names of one group, not 0, are joined already."""
+    at, ends = np.unique(np.r_[a, b], return_inverse=True)
+    order = np.lexsort((names[at, 1], names[at, 0]))
+    at, rank = at[order], np.argsort(order)
+    known = groups[at] != 0
+    one, first, number = np.unique(np.c_[groups[at], np.where(known[:, None], 0, names[at])], axis=0, return_index=True, return_inverse=True)
+    ends = number.ravel()[rank[ends]]
+    least = least_linked(len(one), ends[: len(a)], ends[len(a) :])
+    found = np.flatnonzero(least != np.arange(len(one)))
+    return names[at[first[found]]], names[at[first[least[found]]]]
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by deal; the last one of a batch may go on in the next."""
 
-    def linked(keys: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-        both = np.unique(np.hstack(near_names(keys, names)), axis=0)
-        ends = [pa.array([r.tobytes() for r in both[:, k : k + 2]], pa.binary()) for k in (0, 2)]
+    def linked(keys: np.ndarray, names: np.ndarray, groups: np.ndarray) -> pa.RecordBatch:
+        ends = [pa.array([r.tobytes() for r in x], pa.binary()) for x in group_links(*near_names(keys, names), names, groups)]
         return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
-    keys, names = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    keys, names, groups = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
     for batch in batches:
         deal, *name = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        group = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
         times = np.asarray(pc.binary_length(batch.column(3))).astype(np.int64) // 2
         lower = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2")
         own = np.repeat(deal << DEALT, times) | lower
-        keys, names = np.r_[keys, own], np.r_[names, np.repeat(np.stack(name, 1), times, axis=0)]
+        keys, names, groups = np.r_[keys, own], np.r_[names, np.repeat(np.stack(name, 1), times, axis=0)], np.r_[groups, np.repeat(group, times)]
         if len(keys):
             order = np.lexsort((names[:, 1], names[:, 0], keys))
-            keys, names = keys[order], names[order]
+            keys, names, groups = keys[order], names[order], groups[order]
             cut = int(np.searchsorted(keys, keys[-1] >> DEALT << DEALT, "left"))
             if cut:
-                yield linked(keys[:cut], names[:cut])
-            keys, names = keys[cut:], names[cut:]
-    yield linked(keys, names)
+                yield linked(keys[:cut], names[:cut], groups[:cut])
+            keys, names, groups = keys[cut:], names[cut:], groups[cut:]
+    yield linked(keys, names, groups)
 
 
 def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,11 +208,15 @@ def thinned(links: DataFrame) -> DataFrame:
 def links(named: DataFrame) -> DataFrame:
     """``named``: k_name, k_margins, distinct names. Returns a, b: candidates' names; their components are those of all that meet."""
     batch_rows(named.sparkSession, 20_000)
-    found = []
+    count, found = named.count(), []
+    rows = named.withColumn("k_group", F.lit(None).cast("long"))
     for first in range(0, TABLES, AT_ONCE):
-        keys = named.select("k_name", "k_margins").mapInArrow(lambda b, first=first: _emitted(b, first), "k_deal long, k_1 long, k_2 long, k_lower binary")
+        keys = rows.select("k_name", "k_margins", "k_group").mapInArrow(lambda b, first=first: _emitted(b, first), "k_deal long, k_1 long, k_2 long, k_lower binary, k_group long")
         met = keys.repartition("k_deal").sortWithinPartitions("k_deal").mapInArrow(_met, _LINKS)
-        found.append(written(thinned(met), "candidates"))
+        found.append(written(in_files(thinned(met), count), "candidates"))
+        if first == 0:
+            groups = found[0].unionByName(found[0].select(F.col("b").alias("a"), "b")).groupBy(F.col("a").alias("k_name")).agg(F.xxhash64(F.min("b")).alias("k_group"))
+            rows = picked(named, written(in_files(groups, count), "groups"), "k_name", "left")
     return thinned(reduce(DataFrame.unionByName, found))
 
 
@@ -303,7 +319,8 @@ def _distinct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = [T.StructField(c, T.BinaryType()) for c in ("k_set", "k_name", "k_margins")]
     marked = written(with_columns(rows.select("doc_id", "k_row", "text"), marks, fields, ["doc_id", "k_row"]), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k_row")
-    least = written(marked.groupBy("k_set").agg(F.min(order).alias("k_least"), F.min("k_name").alias("k_name")), "distinct-sets")  # a set has one name
+    least = marked.groupBy("k_set").agg(F.min(order).alias("k_least"), F.min("k_name").alias("k_name"))  # a set has one name
+    least = written(in_files(least, rows.count()), "distinct-sets")
     one = least.where("k_name is not null").groupBy("k_name").agg(F.min("k_least.k_row").alias("k_row")).select("k_row")
     return least, written(marked.select("k_row", "k_name", "k_margins").join(one, "k_row", "left_semi"), "names")
 
@@ -323,9 +340,10 @@ def _copies(rows: DataFrame) -> DataFrame:
     least, stars = condensed(lambda: _candidates(rows))
     sets = least.where("k_name is not null").select("k_set", "k_name", F.col("k_least.k_row").alias("k_row"))
     grouped = sets.join(stars.select(F.col("a").alias("k_name"), F.col("b").alias("k_root")), "k_name", "left")
-    grouped = written(grouped.select(F.coalesce("k_root", "k_name").alias("k_comp"), "k_set", "k_row"), "components")
+    count = least.count()
+    grouped = written(in_files(grouped.select(F.coalesce("k_root", "k_name").alias("k_comp"), "k_set", "k_row"), count), "components")
     sizes = grouped.groupBy("k_comp").agg(F.count("*").alias("k_n")).where("k_n > 1")
-    wanted = written(spread_join(grouped, sizes, "k_comp", ["k_set"]), "wanted-sets")
+    wanted = written(in_files(spread_join(grouped, sizes, "k_comp", ["k_set"]), count), "wanted-sets")
     texts = picked(rows.select("k_row", "text"), wanted.select("k_row"), "k_row", "left_semi").join(wanted, "k_row")
     sets = written(with_columns(texts, contents, [T.StructField("k_content", T.BinaryType())], ["k_comp", "k_set", "k_n"]), "compared-sets")
     batch_rows(rows.sparkSession, SET_ROWS)
@@ -342,5 +360,5 @@ def _copies(rows: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component: that with its smallest doc_id, null ids last."""
     rows = written(docs.withColumn("k_row", F.monotonically_increasing_id()), "keyed-rows")
-    gone = condensed(lambda: written(_copies(rows), "copies"))
+    gone = condensed(lambda: written(in_files(_copies(rows), rows.count()), "copies"))
     return picked(rows, gone, "k_row", "left_anti").select(docs.columns)

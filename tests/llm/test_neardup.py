@@ -5,10 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quarry.llm import common, neardup
+from quarry.llm import common, components, neardup
 
 from .conftest import prose
 
@@ -143,6 +144,40 @@ def test_links_of_a_large_group_are_few(spark):
     assert len(links) < 8 * len(named)
 
 
+def met(named, groups, first):
+    """What buckets of the tables from ``first`` on link, in one batch; ``groups``: what is joined already."""
+    rows = pa.RecordBatch.from_arrays([pa.array(list(named), pa.binary()), pa.array(list(named.values()), pa.binary()), pa.array(groups, pa.int64())], names=["k_name", "k_margins", "k_group"])
+    keys = pa.Table.from_batches(list(neardup._emitted(iter([rows]), first))).sort_by("k_deal").combine_chunks()
+    found = pa.Table.from_batches(list(neardup._met(iter(keys.to_batches()))))
+    return list(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+
+
+def test_buckets_link_no_group_anew():
+    """A batch of buckets has fewer links than names, and none within a group; two groups and a name without one are still joined."""
+    rng = random.Random(23)
+    text = prose(rng, 150)
+    named = dict(neardup.fingerprint(neardup.shingles(edited(rng, text, rng.randint(1, 6)).encode())) for _ in range(300))
+    n = len(named)
+    assert 0.9 * n < len(met(named, [None] * n, 0)) < n
+    assert met(named, [5] * n, 4) == []
+    assert len(met(named, [5 + k % 2 for k in range(n - 1)] + [None], 4)) == 2
+
+
+def test_small_tables_are_in_few_files(spark):
+    """Components of few links are written in one file, not in one for each shuffle partition."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, ("12", "false"), strict=True):
+        spark.conf.set(name, value)
+    try:
+        stars = components.connected(spark.range(600).where("id % 20 > 0").selectExpr("id a", "id - 1 b"))
+        assert len(stars.inputFiles()) == 1
+        assert sorted((r["a"], r["b"]) for r in stars.collect()) == [(i, i - i % 20) for i in range(600) if i % 20]
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+
+
 def test_least_linked_equals_components():
     rng = random.Random(22)
     for _ in range(20):
