@@ -40,6 +40,7 @@ WORDS, CHARS, WIDTH = 4096, 1024, 4  # rows and numbers of the embeddings
 FIXED = 3  # features besides embeddings
 REMEMBERED = 300_000  # words whose inputs a worker keeps
 
+_CRC = np.array([zlib.crc32(bytes([b ^ 255])) ^ 0xFF000000 for b in range(256)], np.uint32)  # of the last byte, with none before it
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -77,6 +78,19 @@ def trigrams(word: bytes) -> list[bytes]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+def trigrams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words' trigrams in a row: each as a number, its crc32; and how many each word has (as many as bytes)."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    text = np.frombuffer(b"^" + b"$^".join(words) + b"$", np.uint8)
+    at = np.arange(size.sum()) + 2 * np.repeat(np.arange(len(words)), size)
+    code, crc = np.zeros(len(at), np.uint32), np.full(len(at), 0xFFFFFFFF, np.uint32)
+    for k in range(3):
+        byte = text[at + k]
+        code = code << np.uint32(8) | byte
+        crc = _CRC[crc.astype(np.uint8) ^ byte] ^ crc >> np.uint32(8)
+    return code, ~crc, size
+
+
 def window_starts(n: int) -> range:
     """Starts of the overlapping windows of n words; together they cover them."""
     return range(0, max(n - WINDOW + STEP, STEP) if n else 0, STEP)
@@ -99,31 +113,42 @@ class Model:
 
 
 class Scorer:
-    """Scores texts; a table of words' inputs grows as words are met, up to REMEMBERED."""
+    """Scores texts; tables of words' inputs and gates grow as words are met, up to REMEMBERED. Their first row stands for no word."""
 
     def __init__(self, model: Model):
         self.model, self.row = model, {}
-        self.table = np.zeros((1, FIXED + 2 * WIDTH), np.float32)
         self.folded = gru.gate_weights(model.weights)
+        self.odds = np.zeros(1 << 24, np.float32)  # of all trigrams; pages without any stay unused
+        self.odds[[int.from_bytes(g) for g in model.chars]] = list(model.chars.values())
+        self.table = np.zeros((1, FIXED + 2 * WIDTH), np.float32)
         self.gates = self.gates_of(self.table)
 
+    def inputs(self, words: list[bytes]) -> np.ndarray:
+        """Fixed features and embeddings of each word, as ``Model.inputs`` has them, of all words at once."""
+        code, crc, size = trigrams_of(words)
+        first, odds, w = np.cumsum(size) - size, self.odds[code], self.model.weights
+        x = np.empty((len(words), FIXED + 2 * WIDTH), np.float32)
+        x[:, 0] = [self.model.words.get(k, 0.0) for k in words]
+        x[:, 1] = np.maximum.reduceat(odds, first)
+        x[:, 2] = np.add.reduceat(odds, first, dtype=np.float64) / size
+        x[:, FIXED : FIXED + WIDTH] = w["words"][np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % WORDS]
+        x[:, FIXED + WIDTH :] = np.add.reduceat(w["chars"][crc % np.uint32(CHARS)], first) / size[:, None]
+        return x
+
     def gates_of(self, inputs: np.ndarray) -> np.ndarray:
         return inputs @ self.folded[0][:-1] + self.folded[0][-1]
 
     def rows_of(self, words: list[bytes]) -> np.ndarray:
         if len(self.row) > REMEMBERED:
-            self.row, self.table, self.gates = {}, self.table[:1], self.gates[:1]
+            self.row = {}
         got = list(map(self.row.get, words))
         if None in got:
-            new = {w: None for w, r in zip(words, got, strict=True) if r is None}
-            w, x = self.model.weights, np.zeros((len(new), FIXED + 2 * WIDTH), np.float32)
-            for i, word in enumerate(new):
-                a, b, c, at, *grams = self.model.inputs(word)
-                x[i, :FIXED] = a, b, c
-                x[i, FIXED : FIXED + WIDTH] = w["words"][at]
-                x[i, FIXED + WIDTH :] = w["chars"][grams].mean(0)
-                self.row[word] = len(self.table) + i
-            self.table, self.gates = np.concatenate([self.table, x]), np.concatenate([self.gates, self.gates_of(x)])
+            new = list(dict.fromkeys(w for w, r in zip(words, got, strict=True) if r is None))
+            n, end, x = len(self.row) + 1, len(self.row) + 1 + len(new), self.inputs(new)
+            if end > len(self.table):  # they double, so that rows are seldom copied
+                self.table, self.gates = (np.concatenate([t[:n], np.empty((2 * end - n, t.shape[1]), np.float32)]) for t in (self.table, self.gates))
+            self.table[n:end], self.gates[n:end] = x, self.gates_of(x)
+            self.row.update(zip(new, range(n, end), strict=True))
             got = list(map(self.row.__getitem__, words))
         return np.array(got, np.int64)
 

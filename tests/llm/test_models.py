@@ -150,6 +150,26 @@ def test_scorer_equals_forward_and_every_start():
     assert same >= 0.97 * len(held) and right >= 0.95 * len(held), (same, right, len(held))
 
 
+def test_new_words_are_taken_at_once(monkeypatch):
+    """The scorer has the same inputs of words as Model.inputs without cutting them one by one, also when it forgets words."""
+    rng = random.Random(5)
+    docs = planted_toxic(rng, 200)
+    model = toxicity.train(docs)
+    words = sorted({w for _, x in docs[:20] for w in x} | {b"x", b"zlorf9", "é漢字😀".encode(), b"q" * toxicity.LONGEST, b"\xff\x80"})
+    want = []
+    for word in words:
+        a, b, c, at, *grams = model.inputs(word)
+        want.append([a, b, c, *model.weights["words"][at], *model.weights["chars"][grams].mean(0)])
+    texts = [b" ".join(x) for _, x in docs] + [b"", b" ".join(words)]
+    monkeypatch.setattr(toxicity, "trigrams", None)
+    scorer = toxicity.Scorer(model)
+    all_at_once = scorer.scores(texts)
+    assert np.allclose(scorer.table[scorer.rows_of(words)], want, atol=1e-6) and not scorer.table[0].any()
+    monkeypatch.setattr(toxicity, "REMEMBERED", 50)
+    forgetful = toxicity.Scorer(model)
+    assert np.allclose([forgetful.scores([t])[0] for t in texts], all_at_once, atol=1e-5)
+
+
 @pytest.mark.parametrize("n", [0, 1, 16, 31, 32, 33, 48, 49, 200])
 def test_windows_cover_all_words(n):
     seen = {j for s in toxicity.window_starts(n) for j in range(s, min(n, s + toxicity.WINDOW))}
