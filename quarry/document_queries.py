@@ -9,7 +9,7 @@ from .functions import markup
 from .functions.rtf import rtf_text
 from .plans import sheets
 from .plans.pdf import pdf_metadata, pdf_text
-from .queries import _le, _t, query
+from .queries import _le, _spread, _t, query
 from .sources import sheets as source
 from .sources.pdf import pdf_objects
 from .work import kept
@@ -101,7 +101,7 @@ def biff_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     bof = _biff(source.BOF, F.unhex(F.lit("0006050000000000")))
     bound = lambda place: _biff(source.BOUNDSHEET, F.concat(_le(place), F.unhex(F.lit("00000300")), F.lit(b"One")))
-    rows = _t(spark, sf_dir, "part").withColumns({"sst": sst, "double": double, "bof": bof})  # steps, so that each part is made once
+    rows = _spread(_t(spark, sf_dir, "part")).withColumns({"sst": sst, "double": double, "bof": bof})  # steps, so that each part is made once
     rows = rows.withColumn("one", one).withColumn("bound", bound(F.octet_length("bof") + F.octet_length("sst") + 15))
     files = rows.withColumn("stream", F.concat("bof", "bound", "sst", "bof", "one")).select("p_partkey", _ole2(F.col("stream"), 9).alias("content"))
     cells = sheets.biff_cells(kept(source.records(files, "p_partkey")), "p_partkey")

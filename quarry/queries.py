@@ -412,12 +412,15 @@ def unzip_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("path").alias("member"), F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in a partition for each core at least: a table's few bytes make whole files."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _extracted(spark: SparkSession, sf_dir: str, table: str, key: str, extension: str, content: Column, *paths: tuple[str, str]) -> DataFrame:
     """Metadata of files built from a table's columns: a column for each (name, key of the metadata)."""
-    rows = _t(spark, sf_dir, table)
-    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few bytes here, whole files below
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    rows = rows.select(key, F.lit(extension).alias("extension"), content.alias("content"))
+    rows = _spread(_t(spark, sf_dir, table)).select(key, F.lit(extension).alias("extension"), content.alias("content"))
     found = gathered(entries(parts(rows, key), key, [extension]), key)
     return found.select(key, *(F.get_json_object("deepMeta", f"$['{k}']").alias(n) for n, k in paths))
 
