@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def _last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row a key: the last by ``order``."""
-    return rows.withColumn("k_rank", F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))).where("k_rank = 1").drop("k_rank")
+def _last_of_each(rows: DataFrame, key: str, order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key: the last by ``order``, of equal ones the first by ``ties``."""
+    return rows.withColumn("k_rank", F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc(), *ties))).where("k_rank = 1").drop("k_rank")
 
 
-def merge_records(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+def merge_records(existing: DataFrame, incoming: DataFrame, order: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """Upsert by id: incoming rows win, but edits of existing ones stay.
 
     notes, description and referenceCode stay where incoming ones are null or empty;
     levelOfDescription stays unless it is File. Of incoming rows with the same id the last by
-    ``order`` counts. Reference codes are to be assigned after the merge, so that a file that comes
-    again keeps its code.
+    ``order`` counts, of equal ones the first by ``ties``. Reference codes are to be assigned after the
+    merge, so that a file that comes again keeps its code.
     """
-    new = _last_of_each(incoming, "id", order)
+    new = _last_of_each(incoming, "id", order, ties)
     e, n = existing.alias("e"), new.alias("n")
     out = []
     for c in existing.columns:

@@ -16,11 +16,15 @@ from .work import work_dir
 
 @query("""select o_orderkey::varchar as id, coalesce(title, 'old') as title, title is not null as there from orders left join (select l_orderkey, arg_max(l_returnflag, l_linenumber) title from lineitem group by 1) on l_orderkey = o_orderkey""")
 def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines as edits of their orders: the last of each counts, and orders without lines stay as they are."""
+    """All lines as edits of their orders: the last of each counts, and orders without lines stay as they are.
+
+    Of lines with one number that which is read first counts, as it stands in its file; lines without a number or a flag say nothing.
+    """
     empty = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
     existing = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("old").alias("title"), *empty("notes", "description", "referenceCode", "levelOfDescription"))
-    incoming = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_returnflag").alias("title"), F.col("l_linenumber").alias("line"), *empty("notes", "description", "referenceCode", "levelOfDescription"))
-    return merge.merge_records(existing, incoming, "line").select("id", "title", (F.col("title") != "old").alias("there"))
+    lines = _t(spark, sf_dir, "lineitem").where("l_linenumber is not null and l_returnflag is not null")
+    incoming = lines.select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_returnflag").alias("title"), F.col("l_linenumber").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), *empty("notes", "description", "referenceCode", "levelOfDescription"))
+    return merge.merge_records(existing, incoming, "line", ("file", "place")).select("id", "title", (F.col("title") != "old").alias("there"))
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:

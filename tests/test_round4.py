@@ -1,6 +1,10 @@
-"""What the review of round 4 found: padding of workbooks, spread rows."""
+"""What the review of round 4 found: padding of workbooks, spread rows, lines that tie."""
 
-from quarry.queries import QUERIES
+from collections import Counter
+
+import duckdb
+
+from quarry.queries import ORACLE_SQL, QUERIES
 from quarry.sources import sheets
 
 from .test_queries import SF_DIR
@@ -19,3 +23,19 @@ def test_workbooks_are_built_and_read_on_all_cores(spark, monkeypatch):
     monkeypatch.setattr(sheets, "records", lambda files, key: met.append(files.rdd.getNumPartitions()) or read(files, key))
     assert QUERIES["biff_cells"](spark, SF_DIR).count() == 4 * spark.read.parquet(f"{SF_DIR}/part.parquet").count()
     assert met == [spark.sparkContext.defaultParallelism]
+
+
+def test_first_read_line_counts_of_those_with_one_number(spark, tmp_path):
+    """Spark deals out larger files first, SQL reads them by name."""
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute("create table orders as select range as o_orderkey from range(6)")
+    con.execute("create table first as select * from (values (0, 1, 'A'), (1, 2, 'A'), (1, 2, 'N'), (1, 1, 'R'), (2, 3, null), (2, 1, 'N'), (3, null, 'R')) as t(l_orderkey, l_linenumber, l_returnflag)")
+    con.execute("create table second as select (range % 2)::int l_orderkey, (range % 2)::int + 1 l_linenumber, case when range % 3 = 0 then 'R' else 'N' end l_returnflag from range(20000) union all values (2, 1, 'R'), (4, 1, 'R')")
+    (tmp_path / "lineitem.parquet").mkdir()
+    con.execute(f"copy orders to '{tmp_path}/orders.parquet'")
+    for number, name in enumerate(("first", "second")):
+        con.execute(f"copy {name} to '{tmp_path}/lineitem.parquet/part-{number}.parquet'")
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = Counter(con.execute(ORACLE_SQL["merge_last_wins"]).fetchall())
+    assert Counter(map(tuple, QUERIES["merge_last_wins"](spark, str(tmp_path)).collect())) == want
