@@ -228,7 +228,7 @@ def _own_entries(kinds: list[str], forms: set[str]) -> Column:
     return found
 
 
-TOGETHER = ("gps:0001", "gps:0002", "gps:0003", "gps:0004", "trak", "tkhd", "hdlr", "stsd", "fmt ", "data")
+TOGETHER = ("gps:0001", "gps:0002", "gps:0003", "gps:0004", "trak", "tkhd", "hdlr", "stsd", "fmt ", "data", "ds64")
 
 
 def _first(kind: str, among: Column = None) -> Column:
@@ -275,10 +275,16 @@ def _film() -> Column:
 
 
 def _wav_length() -> Column:
-    """Duration of a WAV file: bytes of its data over bytes a second."""
-    rate, n = h.little(_first("fmt "), 12), h.big(_first("data"), 0)
+    """Duration of a WAV file: bytes of its data over bytes a second; those of data beyond four gigabytes stand in ds64."""
+
+    def seconds(p: Column) -> Column:
+        own, long = h.big(p["data"], 0), p["long"]
+        n = F.when((own == 2**32 - 1) & long.isNotNull(), h.little(long, 12) + h.little(long, 16) * 2.0**32).otherwise(own)
+        return _let(h.little(p["fmt"], 12), lambda rate: F.when(rate > 0, n / rate))
+
     seq = F.array_max(F.transform(F.filter("k_parts", lambda x: x["kind"].isin("fmt ", "data")), lambda x: x["seq"]))
-    return F.when((rate > 0) & n.isNotNull(), _named({"duration": minutes_clock(n / rate), "durationSeconds": F.round(n / rate, 2)}, seq))
+    told = F.struct(_let(F.struct(_first("fmt ").alias("fmt"), _first("data").alias("data"), _first("ds64").alias("long")), seconds).alias("s"), seq.alias("seq"))
+    return _let(told, lambda x: F.when(x["s"].isNotNull(), _named({"duration": minutes_clock(x["s"]), "durationSeconds": F.round(x["s"], 2)}, x["seq"])))
 
 
 def entries(parts: DataFrame, key: str = "id", extensions: list[str] | None = None) -> DataFrame:
